@@ -1,115 +1,91 @@
-"""Grading of one e-mail address or phone number, as column expressions."""
+"""Grading of one e-mail address or phone number."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from leadloom import constants as K
-from leadloom.functions.text import digits, let, no_text, strip
-
-def check_email(c: Column) -> Column:
-    """STRUCT<value, valid, reason, is_disposable, quality, is_role_based> of an address."""
-    return let(F.lower(strip(F.coalesce(c, F.lit("")))), _email_struct)
+from leadloom.functions.text import NO_TEXT, digits, in_list, let, q, strip, struct
 
 
-def _email_struct(v: Column) -> Column:
-    shaped = v.rlike(K.STRICT_EMAIL)
-    role = shaped & F.split_part(v, F.lit("@"), F.lit(1)).isin(*K.ROLE_PREFIXES)
-    disposable = shaped & F.split_part(v, F.lit("@"), F.lit(2)).isin(*K.DISPOSABLE_DOMAINS)
-    valid = shaped & ~disposable
-    reason = (
-        F.when(v == "", "empty_email")
-        .when(~shaped, "invalid_format")
-        .when(disposable, "disposable_domain")
-        .otherwise("valid_email")
+def check_email(x: str) -> str:
+    """STRUCT<value, valid, reason, is_disposable, quality, is_role_based> of an address."""
+    facts = struct(
+        v="em",
+        shaped=f"em RLIKE {q(K.STRICT_EMAIL)}",
+        disposable=f"em RLIKE {q(K.STRICT_EMAIL)} AND split_part(em, '@', 2) IN {in_list(K.DISPOSABLE_DOMAINS)}",
+        role=f"em RLIKE {q(K.STRICT_EMAIL)} AND split_part(em, '@', 1) IN {in_list(K.ROLE_PREFIXES)}",
     )
-    quality = F.when(~valid, "low").when(role, "medium").otherwise("high")
-    return F.struct(
-        F.when(valid, v).alias("value"),
-        valid.alias("valid"),
-        reason.alias("reason"),
-        disposable.alias("is_disposable"),
-        quality.alias("quality"),
-        role.alias("is_role_based"),
+    verdict = struct(
+        value="if(ef.shaped AND NOT ef.disposable, ef.v, NULL)",
+        valid="ef.shaped AND NOT ef.disposable",
+        reason="CASE WHEN ef.v = '' THEN 'empty_email' WHEN NOT ef.shaped THEN 'invalid_format' "
+        "WHEN ef.disposable THEN 'disposable_domain' ELSE 'valid_email' END",
+        is_disposable="ef.disposable",
+        quality="CASE WHEN NOT ef.shaped OR ef.disposable THEN 'low' WHEN ef.role THEN 'medium' ELSE 'high' END",
+        is_role_based="ef.role",
     )
+    return let("em", f"lower({strip(f'coalesce({x}, {q(str())})')})", let("ef", facts, verdict))
 
 
-def check_phone(c: Column, default_region: str = K.DEFAULT_PHONE_REGION) -> Column:
+def check_phone(x: str, default_region: str = K.DEFAULT_PHONE_REGION) -> str:
     """STRUCT<value, valid, reason> of a phone number, in E.164 form where a numbering plan knows it.
 
-    Calling codes are prefix-free, so at most one plan can apply to an international number.
-    A number no plan can read is kept as digits when it has enough of them.
+    All plans are folded into one pattern over calling code and national number. Calling codes are
+    prefix-free, so at most one plan can apply. A number no plan can read is kept as digits when it
+    has enough of them.
     """
     home = next((r for r in K.PHONE_REGIONS if r[0] == default_region), None)
     if home is None:
         raise ValueError(f"no numbering plan for region: {default_region}")
-    return let(
-        strip(F.coalesce(c, F.lit(""))),
-        lambda raw: let(
-            F.struct(raw.alias("raw"), _dialled(raw).alias("num"), digits(raw).alias("all")),
-            lambda p: let(_candidate(p, home), lambda q: _phone_struct(p, q)),
-        ),
-    )
-
-
-def _dialled(raw: Column) -> Column:
-    """From the first '+' or digit on, without an extension."""
-    start = F.regexp_extract(raw, r"(?s)[+0-9].*$", 0)
-    return F.regexp_replace(start, r"(?i)[\s,;]*(ext(ension)?\.?|x|#)[\s:.]*[0-9]{1,7}#?$", "")
-
-
-def _candidate(p: Column, home: tuple) -> Column:
-    """STRUCT<readable, code, nsn>: nsn is the national number if it fits the plan, else null."""
-    num, d = p["num"], digits(p["num"])
-    readable = num.rlike(r"^[+]*[-\s0-9().\[\]/~*]*$") & ((F.length(d) >= 3) | num.rlike(r"^[0-9]{2}$"))
     _, code, trunk, idd, shape = home
-    by_idd = ~num.startswith("+") & d.startswith(idd)
-    international = num.startswith("+") | by_idd
-    intl_digits = F.when(by_idd, F.substring(d, len(idd) + 1, 64)).otherwise(d)
-
-    plan_code = F.coalesce(*[F.when(intl_digits.startswith(r[1]), r[1]) for r in K.PHONE_REGIONS])
-    plan_nsn = F.coalesce(
-        *[
-            F.when(intl_digits.startswith(r[1]), _national(F.substring(intl_digits, len(r[1]) + 1, 64), r[2], r[4]))
-            for r in K.PHONE_REGIONS
-        ]
+    known = "^(" + "|".join(r[1] for r in K.PHONE_REGIONS) + ")"
+    full = "^(" + "|".join(f"{r[1]}({r[4]})" for r in K.PHONE_REGIONS) + ")$"
+    at_home = f"^{code}({shape})$"
+
+    # from the first '+' or digit on, without an extension
+    start = f"regexp_extract(pr, {q(r'(?s)[+0-9].*$')}, 0)"
+    dialled = f"regexp_replace({start}, {q(r'(?i)[\s,;]*(ext(ension)?\.?|x|#)[\s:.]*[0-9]{1,7}#?$')}, '')"
+    readable = (
+        f"pa.num RLIKE {q(r'^[+]*[-\s0-9().\[\]/~*]*$')} "
+        f"AND (length(pa.d) >= 3 OR pa.num RLIKE '^[0-9][0-9]$') AND length(pa.d) <= {K.MAX_NATIONAL_DIGITS}"
     )
-    national = _national(d, trunk, shape)
-    with_code = F.when(d.startswith(code), _national(F.substring(d, len(code) + 1, 64), trunk, shape))
-    home_nsn = F.coalesce(national, with_code)
-    too_long = F.length(d) > K.MAX_NATIONAL_DIGITS
-    return F.struct(
-        (readable & ~too_long & F.when(international, plan_code.isNotNull()).otherwise(True)).alias("readable"),
-        F.when(international, plan_code).otherwise(code).alias("code"),
-        F.when(international, plan_nsn).otherwise(home_nsn).alias("nsn"),
+    by_idd = f"(NOT startswith(pa.num, '+') AND startswith(pa.d, '{idd}'))"
+    abroad = f"(startswith(pa.num, '+') OR {by_idd})"
+    intl = f"if({by_idd}, substring(pa.d, {len(idd) + 1}), pa.d)"
+    # digits with calling code, in the order in which they are tried
+    tries = (
+        f"if(pb.abroad, array({_drop_trunk('pb.intl')}, pb.intl), "
+        f"array(if(startswith(pb.d, '{trunk}'), '{code}' || substring(pb.d, {len(trunk) + 1}), NULL), "
+        f"'{code}' || pb.d, if(startswith(pb.d, '{code}'), {_drop_trunk('pb.d')}, NULL)))"
     )
-
-
-def _national(d: Column, trunk: str, shape: str) -> Column:
-    """National number without trunk prefix where that fits the plan, else as dialled, else null."""
-    full = f"^({shape})$"
-    return F.coalesce(
-        F.when(d.rlike(f"^{trunk}({shape})$"), F.substring(d, len(trunk) + 1, 64)),
-        F.when(d.rlike(full), d),
+    hit = f"try_element_at(filter({tries}, t -> t RLIKE if(pb.abroad, {q(full)}, {q(at_home)})), 1)"
+    as_digits = f"if(startswith(pc.raw, '+'), '+', '') || {digits('pc.raw')}"
+    verdict = (
+        f"CASE WHEN pc.raw = '' THEN {_verdict(NO_TEXT, False, 'empty_phone')} "
+        f"WHEN pc.readable AND pc.hit IS NOT NULL THEN {_verdict(f'{q("+")} || pc.hit', True, 'valid_e164')} "
+        f"WHEN pc.readable THEN {_verdict(NO_TEXT, False, 'invalid_number')} "
+        f"WHEN length({digits('pc.raw')}) >= {K.MIN_PHONE_DIGITS} THEN {_verdict(as_digits, True, 'fallback_normalized')} "
+        f"ELSE {_verdict(NO_TEXT, False, 'invalid_digits')} END"
     )
-
-
-def _phone_struct(p: Column, q: Column) -> Column:
-    empty = p["raw"] == ""
-    enough = F.length(p["all"]) >= K.MIN_PHONE_DIGITS
-    as_digits = F.when(p["raw"].startswith("+"), F.concat(F.lit("+"), p["all"])).otherwise(p["all"])
-    return (
-        F.when(empty, _verdict(no_text(), False, "empty_phone"))
-        .when(
-            q["readable"] & q["nsn"].isNotNull(),
-            _verdict(F.concat(F.lit("+"), q["code"], q["nsn"]), True, "valid_e164"),
-        )
-        .when(q["readable"], _verdict(no_text(), False, "invalid_number"))
-        .when(enough, _verdict(as_digits, True, "fallback_normalized"))
-        .otherwise(_verdict(no_text(), False, "invalid_digits"))
-    )
-
-
-def _verdict(value: Column, valid: bool, reason: str) -> Column:
-    return F.struct(value.alias("value"), F.lit(valid).alias("valid"), F.lit(reason).alias("reason"))
+    return let(
+        "pr", strip(f"coalesce({x}, '')"),
+        let("pn", dialled,
+            let("pa", struct(num="pn", d=digits("pn")),
+                let("pb", struct(d="pa.d", intl=intl, abroad=abroad, readable=readable),
+                    let("pc", struct(raw="pr", hit=hit,
+                                     readable=f"pb.readable AND (NOT pb.abroad OR pb.intl RLIKE {q(known)})"),
+                        verdict)))),
+    )
+
+
+def _drop_trunk(d: str) -> str:
+    """Digits with calling code, without a trunk prefix dialled after it."""
+    by_trunk: dict[str, list[str]] = {}
+    for _, code, trunk, _, _ in K.PHONE_REGIONS:
+        by_trunk.setdefault(trunk, []).append(code)
+    pattern = "|".join(f"({'|'.join(codes)}){trunk}" for trunk, codes in by_trunk.items())
+    groups = "".join(f"${i + 1}" for i in range(len(by_trunk)))
+    return f"regexp_replace({d}, {q(f'^(?:{pattern})')}, {q(groups)})"
+
+
+def _verdict(value: str, valid: bool, reason: str) -> str:
+    return struct(value=value, valid=str(valid).lower(), reason=q(reason))

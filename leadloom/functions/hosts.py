@@ -2,54 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from leadloom import constants as K
-from leadloom.functions.text import let
+from leadloom.functions.text import in_list, let, q, struct
 
 # fixed values: words shortened to "prop" in host names
 PROPERTY_WORDS = ("property", "properties")
 
 
-def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+def host_of(url: str) -> str:
+    return f"lower(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
-def blocked_host(host: Column, match: str = "contains") -> Column:
+def blocked_host(host: str, match: str = "contains") -> str:
     if match == "contains":
-        tests = [F.contains(host, F.lit(b)) for b in K.BLOCKED_HOSTS]
-    elif match == "suffix":
-        bare = F.regexp_replace(host, r":[0-9]+$", "")
-        tests = [(bare == b) | bare.endswith(f".{b}") for b in K.BLOCKED_HOSTS]
-    else:
-        raise ValueError(f"unknown host match: {match}")
-    hit = F.lit(False)
-    for t in tests:
-        hit = hit | t
-    return hit
-
-
-def plausible_site(company: Column, url: Column, host_match: str = "contains") -> Column:
-    """Host shares a name word, the initials, or initials + "prop" with the company."""
-    words = F.filter(F.split(F.lower(company), r"[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    return let(
-        F.struct(words.alias("words"), host_of(url).alias("host")),
-        lambda p: (p["host"] != "") & ~blocked_host(p["host"], host_match) & _shares_name(p["words"], p["host"]),
-    )
+        return "(" + " OR ".join(f"contains({host}, {q(b)})" for b in K.BLOCKED_HOSTS) + ")"
+    if match == "suffix":
+        names = "|".join(b.replace(".", "\\.") for b in K.BLOCKED_HOSTS)
+        return f"({host} RLIKE {q(rf'(^|\.)({names})(:[0-9]+)?$')})"
+    raise ValueError(f"unknown host match: {match}")
 
 
-def _initials(words: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+def plausible_site(company: str, url: str, host_match: str = "contains") -> str:
+    """Host shares a name word, the initials, or initials + "prop" with the company."""
+    parts = struct(
+        words=f"filter(split(lower({company}), '[^a-z0-9]+'), wd -> length(wd) > 2)",
+        host=host_of(url),
+        compact=f"regexp_replace({host_of(url)}, '[^a-z0-9]', '')",
+    )
+    others = f"filter(ps.words, wd -> wd NOT IN {in_list(PROPERTY_WORDS)})"
+    shared = (
+        "size(ps.words) = 0 OR exists(ps.words, wd -> contains(ps.host, wd)) "
+        f"OR (size(ps.words) >= 2 AND contains(ps.compact, {_initials('ps.words')})) "
+        f"OR (size({others}) BETWEEN 1 AND size(ps.words) - 1 "
+        f"AND contains(ps.compact, {_initials(others)} || 'prop'))"
+    )
+    return let("ps", parts, f"ps.host <> '' AND NOT {blocked_host('ps.host', host_match)} AND ({shared})")
 
 
-def _shares_name(words: Column, host: Column) -> Column:
-    compact = F.regexp_replace(host, "[^a-z0-9]", "")
-    others = F.filter(words, lambda w: ~w.isin(*PROPERTY_WORDS))
-    named_property = (F.size(others) < F.size(words)) & (F.size(others) > 0)
-    return (
-        (F.size(words) == 0)
-        | F.exists(words, lambda w: F.contains(host, w))
-        | ((F.size(words) >= 2) & F.contains(compact, _initials(words)))
-        | (named_property & F.contains(compact, F.concat(_initials(others), F.lit("prop"))))
-    )
+def _initials(words: str) -> str:
+    return f"array_join(transform({words}, wi -> substring(wi, 1, 1)), '')"

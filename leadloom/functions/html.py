@@ -1,7 +1,7 @@
-"""Contacts, links and signals of one web page, as column expressions over its html.
+"""Contacts, links and signals of one web page.
 
-Everything is a native string or array function, so a page never leaves the JVM and never
-needs a shuffle. Steps that are used more than once are meant to be selected as columns of
+Everything is a native string or array function over the html, so a page never leaves the JVM and
+never needs a shuffle. Steps that are used more than once are meant to be selected as columns of
 their own first (see operators.pages), so that each is computed once per page.
 """
 
@@ -9,11 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from leadloom import constants as K
-from leadloom.functions.text import let, squash, strip
+from leadloom.functions.text import NO_STRINGS, let, q, squash, strip
 
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
@@ -25,209 +22,169 @@ JSONLD = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(
 # fixed values: named entities decoded in text; "amp" goes last
 NAMED_ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "))
 
-_STRINGS = "array<string>"
-
-
-def no_strings() -> Column:
-    return F.array().cast(_STRINGS)
-
 
-def find_all(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+def find_all(x: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({x}, {q(pattern)}, {group})"
 
 
-def without_code(html: Column) -> Column:
+def without_code(html: str) -> str:
     """Html without comments, scripts and styles: what is left holds the real anchors and text."""
     for pattern in (COMMENT, SCRIPT, STYLE):
-        html = F.regexp_replace(html, pattern, " ")
+        html = f"regexp_replace({html}, {q(pattern)}, ' ')"
     return html
 
 
-def visible_text(markup: Column) -> Column:
+def visible_text(markup: str) -> str:
     """Text of html that went through `without_code`."""
-    text = F.regexp_replace(F.regexp_replace(markup, TEMPLATE, " "), TAG, " ")
-    return squash(F.translate(decode_entities(text), "\u00a0", " "))
+    bare = f"regexp_replace(regexp_replace({markup}, {q(TEMPLATE)}, ' '), {q(TAG)}, ' ')"
+    return squash(f"translate({decode_entities(bare)}, '\u00a0', ' ')")
 
 
-def decode_entities(c: Column) -> Column:
-    named = c
+def decode_entities(x: str) -> str:
+    named = "de"
     for name, char in NAMED_ENTITIES:
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    numeric = F.when(F.contains(named, F.lit("&#")), _decode_numeric(named)).otherwise(named)
-    return F.when(F.contains(c, F.lit("&")), F.replace(numeric, F.lit("&amp;"), F.lit("&"))).otherwise(c)
-
-
-def _decode_numeric(c: Column) -> Column:
-    parts = F.split(c, "&#")
-    decoded = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), _numeric_part)
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(decoded, ""))
-
-
-def _numeric_part(part: Column) -> Column:
-    """Turn '64;rest' or 'x40;rest' into '@rest'; leave anything else as it was."""
-    body = F.regexp_extract(part, r"^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
-    code = F.when(
-        body.startswith("x"), F.conv(F.substring(body, 2, 8), 16, 10).cast("int")
-    ).otherwise(body.try_cast("int"))
-    real = (body != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(real, F.concat(char, F.substring(part, F.length(body) + 2, 1 << 30))).otherwise(
-        F.concat(F.lit("&#"), part)
+        named = f"replace({named}, '&{name};', {q(char)})"
+    numeric = let("dn", named, f"if(contains(dn, '&#'), {_decode_numeric('dn')}, dn)")
+    return let("de", x, f"if(contains(de, '&'), replace({numeric}, '&amp;', '&'), de)")
+
+
+def _decode_numeric(x: str) -> str:
+    """Decimal and hexadecimal character references; anything else after '&#' stays as it was."""
+    body = r"^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});"
+    code = "if(startswith(nb, 'x'), CAST(conv(substring(nb, 2), 16, 10) AS INT), try_cast(nb AS INT))"
+    real = "nb <> '' AND nc BETWEEN 1 AND 1114111 AND NOT nc BETWEEN 55296 AND 57343"
+    char = "decode(unhex(lpad(hex(nc), 8, '0')), 'UTF-32')"
+    part = let(
+        "nb", f"regexp_extract(np, {q(body)}, 1)",
+        let("nc", code, f"if({real}, {char} || substring(np, length(nb) + 2), '&#' || np)"),
+    )
+    return let(
+        "ns", f"split({x}, '&#')",
+        f"ns[0] || array_join(transform(slice(ns, 2, greatest(size(ns) - 1, 0)), np -> {part}), '')",
     )
 
 
-def hrefs(markup: Column) -> Column:
+def hrefs(markup: str) -> str:
     """Targets of all anchors, in document order, unquoted and trimmed."""
-    return F.transform(
-        find_all(markup, HREF, 1), lambda h: strip(decode_entities(F.regexp_replace(h, "^[\"']|[\"']$", "")))
-    )
+    bare = "regexp_replace(hr, '^[\"\\']|[\"\\']$', '')"
+    return f"transform({find_all(markup, HREF, 1)}, hr -> {strip(decode_entities(bare))})"
 
 
-def text_emails(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("@")), find_all(text, K.EMAIL_IN_TEXT)).otherwise(no_strings())
+def text_emails(text: str) -> str:
+    return f"if(contains({text}, '@'), {find_all(text, K.EMAIL_IN_TEXT)}, {NO_STRINGS})"
 
 
-def text_phones(text: Column) -> Column:
+def text_phones(text: str) -> str:
     return find_all(text, K.PHONE_IN_TEXT)
 
 
-def link_emails(links: Column) -> Column:
-    mails = F.filter(links, lambda h: h.startswith("mailto:"))
-    found = F.transform(mails, lambda h: strip(F.regexp_extract(F.substring(h, 8, 1 << 30), r"^[^?]*", 0)))
-    return F.filter(found, lambda m: m != "")
+def link_emails(links: str) -> str:
+    address = strip("regexp_extract(substring(lm, 8), '^[^?]*', 0)")
+    return f"filter(transform(filter({links}, lm -> startswith(lm, 'mailto:')), lm -> {address}), lm -> lm <> '')"
 
 
-def link_phones(links: Column) -> Column:
-    tels = F.filter(links, lambda h: h.startswith("tel:"))
-    return F.filter(F.transform(tels, lambda h: strip(F.substring(h, 5, 1 << 30))), lambda t: t != "")
+def link_phones(links: str) -> str:
+    number = strip("substring(lt, 5)")
+    return f"filter(transform(filter({links}, lt -> startswith(lt, 'tel:')), lt -> {number}), lt -> lt <> '')"
 
 
-def value_set(*arrays: Column) -> Column:
+def value_set(*arrays: str) -> str:
     """Distinct values of several arrays, sorted by code point."""
-    return F.array_sort(F.array_distinct(F.concat(*arrays)))
+    return f"array_sort(array_distinct(concat({', '.join(arrays)})))"
 
 
 # --- JSON-LD -------------------------------------------------------------------------------
 
 
-def _as_items(v: Column) -> Column:
+def _as_items(v: str) -> str:
     """A variant that is an array as its elements, anything else as one element."""
-    is_list = F.schema_of_variant(v).startswith("ARRAY<")
-    return F.when(is_list, F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    return f"if(schema_of_variant({v}) LIKE 'ARRAY<%', try_variant_get({v}, '$', 'array<variant>'), array({v}))"
 
 
-def _objects(items: Column) -> Column:
-    return F.filter(items, lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)))
+def _objects(items: str) -> str:
+    return f"filter({items}, ob -> coalesce(schema_of_variant(ob) LIKE 'OBJECT<%', false))"
 
 
-def jsonld_objects(html: Column) -> Column:
+def jsonld_objects(html: str) -> str:
     """Objects of all valid JSON-LD blocks, each followed by its contact points."""
-    parsed = F.transform(find_all(html, JSONLD, 1), lambda raw: F.try_parse_json(strip(raw)))
-    roots = F.flatten(F.transform(F.filter(parsed, lambda v: v.isNotNull()), _as_items))
-    return F.flatten(
-        F.transform(
-            _objects(roots),
-            lambda v: F.concat(
-                F.array(v),
-                let(
-                    F.try_variant_get(v, "$.contactPoint", "variant"),
-                    lambda cp: F.when(cp.isNull(), F.array().cast("array<variant>")).otherwise(
-                        _objects(_as_items(cp))
-                    ),
-                ),
-            ),
-        )
+    parsed = f"filter(transform({find_all(html, JSONLD, 1)}, jb -> try_parse_json({strip('jb')})), jp -> jp IS NOT NULL)"
+    roots = f"flatten(transform({parsed}, jp -> {_as_items('jp')}))"
+    points = let(
+        "cp", "try_variant_get(jo, '$.contactPoint', 'variant')",
+        f"if(cp IS NULL, CAST(array() AS ARRAY<VARIANT>), {_objects(_as_items('cp'))})",
     )
+    return f"flatten(transform({_objects(roots)}, jo -> concat(array(jo), {points})))"
 
 
-def jsonld_values(objects: Column, name: str) -> Column:
+def jsonld_values(objects: str, name: str) -> str:
     """Sorted distinct non-blank scalars under `name`; 0 and false count as absent."""
-
-    def scalar(v: Column) -> Column:
-        inner = F.try_variant_get(v, f"$.{name}", "variant")
-        kind = F.schema_of_variant(inner)
-        text = strip(F.try_variant_get(v, f"$.{name}", "string"))
-        falsy = (kind != "STRING") & text.isin("0", "0.0", "false")
-        nested = kind.startswith("ARRAY<") | kind.startswith("OBJECT<")
-        return F.when(~falsy & ~nested, text)
-
-    return value_set(F.filter(F.transform(objects, scalar), lambda t: t.isNotNull() & (t != "")))
+    kind = f"schema_of_variant(try_variant_get(jv, '$.{name}', 'variant'))"
+    text = strip(f"try_variant_get(jv, '$.{name}', 'string')")
+    scalar = (
+        f"CASE WHEN {kind} LIKE 'ARRAY<%' OR {kind} LIKE 'OBJECT<%' THEN NULL "
+        f"WHEN {kind} <> 'STRING' AND {text} IN ('0', '0.0', 'false') THEN NULL ELSE {text} END"
+    )
+    return value_set(f"filter(transform({objects}, jv -> {scalar}), js -> js IS NOT NULL AND js <> '')")
 
 
 # --- links ---------------------------------------------------------------------------------
 
 
-def resolve_url(base: Column, href: Column) -> Column:
-    """Absolute form of `href` found on page `base`."""
-    scheme = F.regexp_extract(base, r"^(https?:)", 1)
-    origin = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
-    path = F.regexp_extract(base, r"^https?://[^/?#]*([^?#]*)", 1)
-    no_fragment = F.regexp_replace(base, "#.*$", "")
-    folder = F.regexp_replace(path, r"[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    merged = F.when(href.startswith("/"), href).otherwise(F.concat(folder, href))
+def resolve_url(base: str, href: str) -> str:
+    """Absolute form of `href` found on page `base`; both are names, not expressions."""
+    path = f"regexp_extract({base}, '^https?://[^/?#]*([^?#]*)', 1)"
+    origin = f"regexp_extract({base}, '^(https?://[^/?#]*)', 1)"
+    folder = f"coalesce(nullif(regexp_replace({path}, '[^/]*$', ''), ''), '/')"
+    merged = let("um", f"if(startswith({href}, '/'), {href}, {folder} || {href})", _without_dots("um"))
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("#"), F.concat(no_fragment, href))
-        .when(href.startswith("?"), F.concat(origin, path, href))
-        .otherwise(F.concat(origin, _without_dots(merged)))
+        f"CASE WHEN {href} RLIKE '^[A-Za-z][A-Za-z0-9+.-]*:' THEN {href} "
+        f"WHEN startswith({href}, '//') THEN regexp_extract({base}, '^(https?:)', 1) || {href} "
+        f"WHEN startswith({href}, '#') THEN regexp_replace({base}, '#.*$', '') || {href} "
+        f"WHEN startswith({href}, '?') THEN {origin} || {path} || {href} "
+        f"ELSE {origin} || {merged} END"
     )
 
 
-def _without_dots(url_path: Column) -> Column:
+def _without_dots(url: str) -> str:
     """Apply '.' and '..' segments of the path part."""
-    path = F.regexp_extract(url_path, r"^[^?#]*", 0)
-    rest = F.substring(url_path, F.length(path) + 1, 1 << 30)
-
-    def step(acc: Column, seg: Column) -> Column:
-        up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
-        return F.when(seg == "..", up).when(seg == ".", acc).otherwise(F.array_append(acc, seg))
-
-    kept = F.aggregate(F.split(path, "/"), no_strings(), step)
-    open_end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
-    joined = F.concat(F.array_join(kept, "/"), open_end, rest)
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), joined).otherwise(url_path)
+    step = (
+        "CASE WHEN sg = '..' THEN slice(ac, 1, greatest(size(ac) - 1, 1)) WHEN sg = '.' THEN ac "
+        "ELSE array_append(ac, sg) END"
+    )
+    kept = f"array_join(aggregate(split(up, '/'), {NO_STRINGS}, (ac, sg) -> {step}), '/')"
+    applied = f"{kept} || if(up RLIKE {q(r'/\.\.?$')}, '/', '') || substring({url}, length(up) + 1)"
+    return let(
+        "up", f"regexp_extract({url}, '^[^?#]*', 0)", f"if(up RLIKE {q(r'(^|/)\.\.?(/|$)')}, {applied}, {url})"
+    )
 
 
-def contact_links(base: Column, links: Column) -> Column:
+def contact_links(base: str, links: str) -> str:
     """First distinct absolute http(s) links that look like contact pages, in document order."""
-    wanted = F.filter(links, lambda h: F.lower(h).rlike("|".join(K.CONTACT_LINK_WORDS)))
-    absolute = F.filter(
-        F.transform(wanted, lambda h: resolve_url(base, h)), lambda u: u.rlike(r"(?i)^https?:")
-    )
-    return F.slice(F.array_distinct(absolute), 1, K.MAX_CONTACT_PAGES)
+    wanted = f"filter({links}, cl -> lower(cl) RLIKE {q('|'.join(K.CONTACT_LINK_WORDS))})"
+    absolute = f"filter(transform({wanted}, cl -> {resolve_url(base, 'cl')}), cu -> cu RLIKE '(?i)^https?:')"
+    return f"slice(array_distinct({absolute}), 1, {K.MAX_CONTACT_PAGES})"
 
 
 # --- page signals --------------------------------------------------------------------------
 
 
-def chat_signal(html_lower: Column, keywords: Sequence[str] = K.CHAT_KEYWORDS) -> Column:
+def chat_signal(html_lower: str, keywords: Sequence[str] = K.CHAT_KEYWORDS) -> str:
     """True if a keyword or a chat vendor's marker occurs. Markers that contain another are implied by it."""
     wanted = sorted({w.lower() for w in (*keywords, *K.CHAT_VENDOR_MARKERS)})
     minimal = [w for w in wanted if not any(o != w and o in w for o in wanted)]
-    hit = F.lit(False)
-    for word in minimal:
-        hit = hit | F.contains(html_lower, F.lit(word))
-    return hit
-
-
-def fresh_wording(html_lower: Column) -> Column:
-    return html_lower.rlike("|".join(f"({p})" for p in K.FRESHNESS_PATTERNS))
+    return "(" + " OR ".join(f"contains({html_lower}, {q(w)})" for w in minimal) + ")"
 
 
-def says_updated(html_lower: Column) -> Column:
-    return F.contains(html_lower, F.lit("updated"))
+def fresh_wording(html_lower: str) -> str:
+    return f"{html_lower} RLIKE {q('|'.join(f'({p})' for p in K.FRESHNESS_PATTERNS))}"
 
 
-def fresh_signal(wording: Column, updated: Column, length: Column) -> Column:
-    return wording | (updated & (length > K.FRESHNESS_MIN_CHARS))
+def fresh_signal(wording: str, updated: str, length: str) -> str:
+    return f"({wording} OR ({updated} AND {length} > {K.FRESHNESS_MIN_CHARS}))"
 
 
-def speed_score(elapsed_ms: Column) -> Column:
+def speed_score(ms: str) -> str:
     """0-100 from a response time; unknown or negative times have none."""
-    ladder = F.when(elapsed_ms.isNull() | (elapsed_ms < 0), F.lit(None))
-    for bound, score in K.SPEED_LADDER:
-        ladder = ladder.when(elapsed_ms < bound, score)
-    slow = F.greatest(F.lit(5), 25 - F.least(F.lit(20), F.floor((elapsed_ms - 6000) / 500)))
-    return ladder.otherwise(slow).cast("int")
+    ladder = " ".join(f"WHEN {ms} < {bound} THEN {score}" for bound, score in K.SPEED_LADDER)
+    slow = f"greatest(5, 25 - least(20, floor(({ms} - 6000) / 500)))"
+    return f"CAST(CASE WHEN {ms} IS NULL OR {ms} < 0 THEN NULL {ladder} ELSE {slow} END AS INT)"

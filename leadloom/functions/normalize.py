@@ -2,47 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from leadloom.functions.text import digits, let, q, squash, strip
 
-from leadloom.functions.text import digits, squash, strip
 
-
-def website_key(c: Column, www: str = "chars") -> Column:
-    v = F.regexp_replace(F.lower(strip(c)), "^https?://", "")
+def website_key(x: str, www: str = "chars") -> str:
+    v = f"regexp_replace(lower({strip(x)}), '^https?://', '')"
     if www == "prefix":
-        v = F.regexp_replace(v, r"^www\.", "")
+        v = f"regexp_replace({v}, {q(r'^www\.')}, '')"
     elif www == "chars":
-        v = F.ltrim(v, F.lit("w."))
+        v = f"trim(LEADING 'w.' FROM {v})"
     else:
         raise ValueError(f"unknown www option: {www}")
-    return F.nullif(F.rtrim(v, F.lit("/")), F.lit(""))
+    return f"nullif(trim(TRAILING '/' FROM {v}), '')"
 
 
-def email_key(c: Column) -> Column:
-    return F.nullif(F.lower(strip(c)), F.lit(""))
+def email_key(x: str) -> str:
+    return f"nullif(lower({strip(x)}), '')"
 
 
-def phone_key(c: Column) -> Column:
-    v = strip(c)
-    d = F.nullif(digits(v), F.lit(""))
-    return F.when(v.startswith("+"), F.concat(F.lit("+"), d)).otherwise(d)
+def phone_key(x: str) -> str:
+    return let(
+        "ph", strip(x), f"if(startswith(ph, '+'), '+', '') || nullif({digits('ph')}, '')"
+    )
 
 
-def company_key(c: Column) -> Column:
-    return F.nullif(F.lower(squash(c)), F.lit(""))
+def company_key(x: str) -> str:
+    return f"nullif(lower({squash(x)}), '')"
 
 
-def page_key(url: Column) -> Column:
+def page_key(url: str) -> str:
     """Key under which a page of the crawl snapshot is looked up: no scheme, www, fragment or end slash."""
-    return F.nullif(F.rtrim(F.regexp_replace(website_key(url), "#.*$", ""), F.lit("/")), F.lit(""))
+    return f"nullif(trim(TRAILING '/' FROM regexp_replace({website_key(url)}, '#.*$', '')), '')"
 
 
-def request_key(*parts: Column) -> Column:
+def request_key(*parts: str) -> str:
     """Key of a text query: its parts joined by a blank, lower-cased."""
-    return F.nullif(F.lower(squash(F.concat_ws(" ", *parts))), F.lit(""))
+    return f"nullif(lower({squash('concat_ws(' + q(' ') + ', ' + ', '.join(parts) + ')')}), '')"
 
 
-def with_scheme(url: Column) -> Column:
-    v = F.nullif(strip(url), F.lit(""))
-    return F.when(v.startswith("http://") | v.startswith("https://"), v).otherwise(F.concat(F.lit("https://"), v))
+def with_scheme(url: str) -> str:
+    return let("wu", f"nullif({strip(url)}, '')", "if(wu RLIKE '^https?://', wu, 'https://' || wu)")

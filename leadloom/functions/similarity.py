@@ -28,19 +28,18 @@ def gestalt_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def name_similarity(a: Column, b: Column, threshold: float, method: str = "gestalt") -> Column:
+def name_similarity(a: str, b: str, threshold: float, method: str = "gestalt") -> Column:
     """Similarity of lower-cased names; 0 where a side is blank or the lengths alone rule out `threshold`.
 
     Neither measure can exceed 2*min/(sum) of the lengths, so only open pairs reach the Arrow function.
     """
-    x, y = F.lower(strip(F.coalesce(a, F.lit("")))), F.lower(strip(F.coalesce(b, F.lit(""))))
-    lx, ly = F.length(x), F.length(y)
-    hopeless = (x == "") | (y == "") | (2.0 * F.least(lx, ly) < threshold * (lx + ly))
+    x, y = (f"lower({strip(f'coalesce({v}, {empty})')})" for v, empty in ((a, "''"), (b, "''")))
+    shorter, total = f"least(length({x}), length({y}))", f"(length({x}) + length({y}))"
+    hopeless = f"({x} = '' OR {y} = '' OR 2.0D * {shorter} < {float(threshold)}D * {total})"
     if method == "levenshtein":
-        score = 1.0 - F.levenshtein(x, y) / F.greatest(lx, ly)
-    elif method == "gestalt":
-        undecided = ~hopeless & (x != y)
-        score = F.when(x == y, 1.0).otherwise(gestalt_ratio(F.when(undecided, x), F.when(undecided, y)))
-    else:
+        return F.expr(f"if({hopeless}, 0.0D, 1.0D - levenshtein({x}, {y}) / greatest(length({x}), length({y})))")
+    if method != "gestalt":
         raise ValueError(f"unknown similarity: {method}")
-    return F.when(hopeless, 0.0).otherwise(score)
+    undecided = f"NOT {hopeless} AND {x} <> {y}"
+    ratio = gestalt_ratio(F.expr(f"if({undecided}, {x}, NULL)"), F.expr(f"if({undecided}, {y}, NULL)"))
+    return F.coalesce(ratio, F.expr(f"if({hopeless}, 0.0D, 1.0D)"))

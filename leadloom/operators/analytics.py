@@ -2,91 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import constants as K
-from leadloom.functions.text import half_up
-from leadloom.operators.explore import score_or_zero
+from leadloom.functions.text import half_up, q
 
-
-def _count_if(cond: Column) -> Column:
-    return F.count_if(F.coalesce(cond, F.lit(False)))
+SCORE = "coalesce(lead_score, 0)"
 
 
 def kpis(leads: DataFrame) -> DataFrame:
     """Lead count, average score and share of verified leads in percent; zeros when there is none."""
-    n = F.count("*")
-    verified = _count_if(F.col("contact_quality") == "verified")
-    zero = F.lit(0).cast("long")
+    share = half_up("count_if(contact_quality = 'verified') / nullif(count(*), 0) * 100")
     return leads.agg(
-        n.alias("leads"),
-        F.coalesce(half_up(F.sum(score_or_zero()) / n), zero).alias("avg_score"),
-        F.when(n == 0, zero).otherwise(half_up(verified / n * 100)).alias("verified_rate"),
+        F.expr("count(*)").alias("leads"),
+        F.expr(f"coalesce({half_up(f'sum({SCORE}) / nullif(count(*), 0)')}, 0)").alias("avg_score"),
+        F.expr(f"coalesce({share}, 0)").alias("verified_rate"),
     )
 
 
 def score_histogram(leads: DataFrame) -> DataFrame:
     """Count per score bucket; empty buckets are kept."""
-    s = score_or_zero()
-    counts = leads.agg(
-        *[F.count_if(s.between(lo, hi)).alias(f"b{i}") for i, (_, lo, hi) in enumerate(K.SCORE_BUCKETS)]
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(label).alias("bucket"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(f"b{i}").alias("leads"))
-            for i, (label, lo, hi) in enumerate(K.SCORE_BUCKETS)
-        ]
-    )
-    return counts.select(F.inline(rows))
-
-
-def _or_unknown(name: str) -> Column:
-    value = F.lower(F.coalesce(F.col(name), F.lit("")))
-    return F.when(value == "", "unknown").otherwise(value)
+    buckets = list(enumerate(K.SCORE_BUCKETS))
+    counts = leads.agg(*[F.expr(f"count_if({SCORE} BETWEEN {lo} AND {hi})").alias(f"b{i}") for i, (_, lo, hi) in buckets])
+    rows = ", ".join(f"struct({q(label)}, {lo}, {hi}, b{i})" for i, (label, lo, hi) in buckets)
+    return counts.selectExpr(f"inline(array({rows})) AS (bucket, lo, hi, leads)")
 
 
 def signal_splits(leads: DataFrame) -> DataFrame:
     """Lead counts by quality, by chatbot status and by freshness, in one aggregation."""
-    chat = F.when(F.col("has_chatbot"), "has chatbot").when(~F.col("has_chatbot"), "no chatbot").otherwise("unknown")
-    keyed = leads.select(
-        _or_unknown("contact_quality").alias("quality"), chat.alias("chatbot"),
-        _or_unknown("last_updated_signal").alias("freshness"),
-    )
     dims = ("quality", "chatbot", "freshness")
-    sets = [[F.col(d)] for d in dims]
-    grouped = keyed.groupingSets(sets, *dims).agg(
+    keyed = leads.selectExpr(
+        "coalesce(nullif(lower(contact_quality), ''), 'unknown') AS quality",
+        "CASE WHEN has_chatbot THEN 'has chatbot' WHEN NOT has_chatbot THEN 'no chatbot' ELSE 'unknown' END AS chatbot",
+        "coalesce(nullif(lower(last_updated_signal), ''), 'unknown') AS freshness",
+    )
+    grouped = keyed.groupingSets([[F.col(d)] for d in dims], *dims).agg(
         F.count("*").alias("leads"), *[F.grouping(d).alias(f"g_{d}") for d in dims]
     )
-    name = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.lit(d)) for d in dims])
-    return grouped.select(name.alias("signal"), F.coalesce(*dims).alias("name"), "leads")
+    which = "CASE " + " ".join(f"WHEN g_{d} = 0 THEN '{d}'" for d in dims) + " END AS signal"
+    return grouped.selectExpr(which, f"coalesce({', '.join(dims)}) AS name", "leads")
 
 
 def missing_fields(leads: DataFrame) -> DataFrame:
     """Per profiled field: how many leads lack it, and the share in percent, most missing first."""
-    n = F.count("*")
+    fields = list(enumerate(K.PROFILE_FIELDS))
     counts = leads.agg(
-        n.alias("n"),
-        *[_count_if(F.col(f).isNull() | (F.col(f).cast("string") == "")).alias(f) for f in K.PROFILE_FIELDS],
-    ).where(F.col("n") > 0)
-    rows = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f).alias("missing"), F.lit(i).alias("pos"))
-          for i, f in enumerate(K.PROFILE_FIELDS)]
-    )
-    each = counts.select("n", F.inline(rows))
-    return each.select(
-        "field", half_up(F.col("missing") / F.col("n") * 100).alias("pct"), "missing", "pos"
-    ).orderBy(F.desc("pct"), "pos").drop("pos")
+        F.expr("count(*)").alias("n"),
+        *[F.expr(f"count_if({f} IS NULL OR CAST({f} AS STRING) = '')").alias(f) for _, f in fields],
+    ).where("n > 0")
+    rows = ", ".join(f"struct('{f}', {f}, {i})" for i, f in fields)
+    each = counts.selectExpr("n", f"inline(array({rows})) AS (field, missing, pos)")
+    return each.selectExpr("field", f"{half_up('missing / n * 100')} AS pct", "missing", "pos").orderBy(
+        F.desc("pct"), "pos"
+    ).drop("pos")
 
 
 def source_mix(leads: DataFrame) -> DataFrame:
-    """Lead counts by provenance: input only, place directory only, or mixed."""
-    parts = F.array_distinct(F.split(F.lower(F.coalesce("source", F.lit(""))), r"\s*,\s*"))
-    on_map = F.array_contains(parts, "google_maps")
-    kind = (
-        F.when(on_map & (F.size(parts) > 1), "mixed").when(on_map, "google_maps").otherwise("input")
-    )
-    return leads.groupBy(kind.alias("source_kind")).agg(F.count("*").alias("leads"))
+    """Lead counts by provenance: input only, place directory only, or both."""
+    parts = "array_distinct(split(lower(coalesce(source, '')), ' *, *'))"
+    on_map = f"array_contains({parts}, 'google_maps')"
+    kind = f"CASE WHEN {on_map} AND size({parts}) > 1 THEN 'mixed' WHEN {on_map} THEN 'google_maps' ELSE 'input' END"
+    return leads.groupBy(F.expr(kind).alias("source_kind")).agg(F.count("*").alias("leads"))
 
 
 def reject_reasons(rejected: DataFrame, top: int = 10) -> DataFrame:

@@ -12,23 +12,15 @@ at the price of that many copies of the (smaller) lookup table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 HOT_KEY_SALTS = 16
 
 
 def lookup_left(left: DataFrame, table: DataFrame, on: str, row_id: str = "row_id", salts: int = 1) -> DataFrame:
-    probe = F.coalesce(F.col(on), F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))
-    keyed = left.withColumn("_probe", probe)
+    own_key = f"coalesce({on}, concat('\u0000', CAST({row_id} AS STRING))) AS _probe"
     answers = table.withColumnRenamed(on, "_probe")
     if salts <= 1:
-        return keyed.join(answers, "_probe", "left").drop("_probe")
-    return (
-        keyed.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-        .join(
-            answers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
-            ["_probe", "_salt"],
-            "left",
-        )
-        .drop("_probe", "_salt")
-    )
+        return left.selectExpr("*", own_key).join(answers, "_probe", "left").drop("_probe")
+    salted = left.selectExpr("*", own_key, f"CAST(pmod(xxhash64({row_id}), {salts}) AS INT) AS _salt")
+    copies = answers.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
+    return salted.join(copies, ["_probe", "_salt"], "left").drop("_probe", "_salt")

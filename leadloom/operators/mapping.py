@@ -6,11 +6,11 @@ present wins over later ones, even if its value is blank.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import constants as K
-from leadloom.functions.text import blank_to_null, digits, no_text
+from leadloom.functions.text import NO_TEXT, blank_to_null, digits, q
 from leadloom.settings import MappingOptions
 
 REASON = "reject_reason"
@@ -21,11 +21,9 @@ def _candidate_keys(field: str, opts: MappingOptions) -> list[str]:
     return list(dict.fromkeys(keys))
 
 
-def _with_default(field: str, value: Column, opts: MappingOptions) -> Column:
-    default = opts.defaults.get(field)
-    if default is None or not str(default).strip():
-        return value
-    return F.coalesce(value, F.lit(str(default).strip()))
+def _field(field: str, value: str, opts: MappingOptions) -> str:
+    default = str(opts.defaults.get(field) or "").strip()
+    return f"coalesce({value}, {q(default)}) AS {field}" if default else f"{value} AS {field}"
 
 
 def map_columns(
@@ -35,89 +33,88 @@ def map_columns(
 
     `headers` gives the raw header of each column but `row_id`, where column names had to be made unique.
     """
+    types = dict(df.dtypes)
     columns = [c for c in df.columns if c != row_id]
     by_key = {h.strip().lower(): c for h, c in zip(headers or columns, columns)}  # rightmost wins
     picked = []
     for field in K.CANONICAL_FIELDS:
         source = next((by_key[k] for k in _candidate_keys(field, opts) if k in by_key), None)
-        is_text = source is not None and dict(df.dtypes)[source] == "string"
-        value = blank_to_null(F.col(f"`{source}`")) if is_text else no_text()
-        picked.append(_with_default(field, value, opts).alias(field))
-    return df.select(F.col(row_id), *picked)
+        is_text = source is not None and types[source] == "string"
+        picked.append(_field(field, blank_to_null(f"`{source}`") if is_text else NO_TEXT, opts))
+    return df.selectExpr(row_id, *picked)
 
 
 def map_records(
     df: DataFrame, opts: MappingOptions = MappingOptions(), row_id: str = "row_id", record: str = "record"
 ) -> DataFrame:
     """Map one VARIANT object per row. Key presence and value types are per record; nothing is shuffled."""
-    is_object = F.coalesce(F.schema_of_variant(F.col(record)).startswith("OBJECT<"), F.lit(False))
-    entries = F.transform(
-        F.map_entries(F.when(is_object, F.try_variant_get(F.col(record), "$", "map<string,variant>"))),
-        lambda e: F.struct(F.lower(F.trim(e["key"])).alias("k"), e["value"].alias("v")),
+    is_object = f"coalesce(schema_of_variant({record}) LIKE 'OBJECT<%', false)"
+    entries = (
+        f"transform(map_entries(if({is_object}, try_variant_get({record}, '$', 'map<string,variant>'), NULL)), "
+        "en -> named_struct('k', lower(trim(en.key)), 'v', en.value))"
     )
-    keyed = df.select(F.col(row_id), is_object.alias("_is_object"), entries.alias("_entries"))
+    keyed = df.selectExpr(row_id, f"{is_object} AS _is_object", f"{entries} AS _entries")
 
-    def last_value(key: str) -> Column:
-        return F.try_element_at(F.filter(F.col("_entries"), lambda e: e["k"] == key), F.lit(-1))
+    def entry(field: str) -> str:
+        # several keys may differ only in case or blanks: the last one counts
+        found = [f"try_element_at(filter(_entries, en -> en.k = {q(k)}), -1)" for k in _candidate_keys(field, opts)]
+        return f"coalesce({', '.join(found)})"
 
-    picked = []
-    for field in K.CANONICAL_FIELDS:
-        entry = F.coalesce(*[last_value(k) for k in _candidate_keys(field, opts)])
-        text = F.when(F.schema_of_variant(entry["v"]) == "STRING", F.try_variant_get(entry["v"], "$", "string"))
-        picked.append(_with_default(field, blank_to_null(text), opts).alias(field))
-    return keyed.select(row_id, *picked, F.when(~F.col("_is_object"), "invalid_record_type").alias("_bad_record"))
+    found = keyed.selectExpr(row_id, "_is_object", *[f"{entry(f)}.v AS {f}" for f in K.CANONICAL_FIELDS])
 
+    def text(field: str) -> str:
+        return f"if(schema_of_variant({field}) = 'STRING', try_variant_get({field}, '$', 'string'), NULL)"
+
+    return found.selectExpr(
+        row_id,
+        *[_field(f, blank_to_null(text(f)), opts) for f in K.CANONICAL_FIELDS],
+        "if(_is_object, NULL, 'invalid_record_type') AS _bad_record",
+    )
 
-def listing_record(record: Column) -> Column:
+
+def listing_record(record: str) -> str:
     """Listing export -> lead-like object: fixed renames; listing address and link are left out on purpose."""
 
-    def first_filled(*names: str) -> Column:
-        texts = [F.try_variant_get(record, f"$.{n}", "string") for n in names]
-        raw = [F.when(F.schema_of_variant(F.try_variant_get(record, f"$.{n}", "variant")) == "STRING", t)
-               for n, t in zip(names, texts)]
-        return F.coalesce(*[F.nullif(t, F.lit("")) for t in raw])
-
-    lead = F.struct(
-        first_filled("agency_name").alias("company_name"),
-        first_filled("agent_name").alias("agent_name"),
-        first_filled("agent_phone").alias("phone"),
-        first_filled("agent_email", "email").alias("email"),
-        first_filled("source_site", "source").alias("source"),
+    def filled(*names: str) -> str:
+        texts = [
+            f"if(schema_of_variant(try_variant_get({record}, '$.{n}', 'variant')) = 'STRING', "
+            f"nullif(try_variant_get({record}, '$.{n}', 'string'), ''), NULL)"
+            for n in names
+        ]
+        return f"coalesce({', '.join(texts)})" if len(texts) > 1 else texts[0]
+
+    lead = (
+        f"named_struct('company_name', {filled('agency_name')}, 'agent_name', {filled('agent_name')}, "
+        f"'phone', {filled('agent_phone')}, 'email', {filled('agent_email', 'email')}, "
+        f"'source', {filled('source_site', 'source')})"
     )
-    return F.when(F.schema_of_variant(record).startswith("OBJECT<"), F.to_variant_object(lead)).otherwise(record)
+    return f"if(schema_of_variant({record}) LIKE 'OBJECT<%', to_variant_object({lead}), {record})"
 
 
-def reject_reason(opts: MappingOptions = MappingOptions()) -> Column:
+def reject_reason(opts: MappingOptions = MappingOptions()) -> str:
     """Reason a mapped row is refused, or null. The first failing check wins."""
     required = list(opts.required_any) or list(K.REQUIRED_ANY)
-    nameless = F.lit(True)
-    for field in required:
-        nameless = nameless & F.col(field).isNull()
-    reason = F.when(nameless, "missing_required_identity")
-    if opts.strict_contacts:
-        email, phone, website = F.col("email"), F.col("phone"), F.col("website")
-        no_scheme = ~(website.startswith("http://") | website.startswith("https://"))
-        reason = (
-            reason.when(email.isNotNull() & ~email.rlike(K.LOOSE_EMAIL), "invalid_email")
-            .when(phone.isNotNull() & (F.length(digits(phone)) < K.MIN_PHONE_DIGITS), "invalid_phone")
-            .when(F.contains(website, F.lit(" ")) | (no_scheme & ~F.contains(website, F.lit("."))), "invalid_website")
-        )
-    return reason
+    nameless = " AND ".join(f"{f} IS NULL" for f in required)
+    strict = (
+        f"WHEN NOT email RLIKE {q(K.LOOSE_EMAIL)} THEN 'invalid_email' "
+        f"WHEN length({digits('phone')}) < {K.MIN_PHONE_DIGITS} THEN 'invalid_phone' "
+        "WHEN contains(website, ' ') OR (NOT website RLIKE '^https?://' AND NOT contains(website, '.')) "
+        "THEN 'invalid_website' "
+    )
+    return f"CASE WHEN {nameless} THEN 'missing_required_identity' {strict if opts.strict_contacts else ''}END"
 
 
 def tag_rejects(mapped: DataFrame, opts: MappingOptions = MappingOptions()) -> DataFrame:
     """Mapped rows with their reject reason; both sides of the split then come from one scan."""
     if "_bad_record" in mapped.columns:
-        reason = F.coalesce(F.col("_bad_record"), reject_reason(opts))
-        return mapped.withColumn(REASON, reason).drop("_bad_record")
-    return mapped.withColumn(REASON, reject_reason(opts))
+        reason = f"coalesce(_bad_record, {reject_reason(opts)})"
+        return mapped.withColumn(REASON, F.expr(reason)).drop("_bad_record")
+    return mapped.withColumn(REASON, F.expr(reject_reason(opts)))
 
 
 def valid_leads(tagged: DataFrame) -> DataFrame:
-    return tagged.where(F.col(REASON).isNull()).drop(REASON)
+    return tagged.where(f"{REASON} IS NULL").drop(REASON)
 
 
 def rejected_rows(tagged: DataFrame, row_id: str = "row_id") -> DataFrame:
-    return tagged.where(F.col(REASON).isNotNull()).select(
-        F.col(row_id).alias("row_index"), F.col(REASON).alias("reason")
-    )
+    return tagged.where(f"{REASON} IS NOT NULL").selectExpr(f"{row_id} AS row_index", f"{REASON} AS reason")

@@ -5,34 +5,35 @@ Html is read once, turned into a narrow row of signals per page, and never shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom import constants as K
 from leadloom.functions import html as H
 from leadloom.functions.contacts import check_email, check_phone
 from leadloom.functions.hosts import plausible_site
 from leadloom.functions.normalize import company_key, page_key, with_scheme
-from leadloom.functions.text import has_text, let
-from leadloom import constants as K
+from leadloom.functions.text import NO_TEXT, has_text, let, struct
 from leadloom.operators.dedup import first_per_key
 from leadloom.operators.lookup import HOT_KEY_SALTS, lookup_left
+from leadloom.operators.normalize import replace_columns
 from leadloom.settings import PageOptions
 
 NOT_IN_SNAPSHOT = "not_in_snapshot"
+_RAW = ("url", "status_code", "elapsed_ms", "html")
 
 
 def fetch_status(pages: DataFrame) -> DataFrame:
     """Status of each page as a fetch would have reported it; html only where the fetch was good."""
-    ok = F.coalesce(F.col("status_code") < 400, F.lit(False))
-    rest = [c for c in pages.columns if c not in ("url", "status_code", "elapsed_ms", "html")]
-    return pages.select(
-        *rest,
-        with_scheme(F.col("url")).alias("url"),
-        F.col("status_code"),
-        F.col("elapsed_ms"),
-        ok.alias("ok"),
-        F.when(~ok, F.coalesce(F.concat(F.lit("http_"), F.col("status_code")), F.lit("no_status"))).alias("error"),
-        F.when(ok, F.col("html")).otherwise("").alias("html"),
+    kept = [c for c in pages.columns if c not in _RAW]
+    return pages.selectExpr(
+        *kept,
+        f"{with_scheme('url')} AS url",
+        "status_code",
+        "elapsed_ms",
+        "coalesce(status_code < 400, false) AS ok",
+        "if(coalesce(status_code < 400, false), NULL, coalesce(concat('http_', status_code), 'no_status')) AS error",
+        "if(coalesce(status_code < 400, false), html, '') AS html",
     )
 
 
@@ -41,30 +42,30 @@ def page_signals(pages: DataFrame, opts: PageOptions = PageOptions()) -> DataFra
 
     The steps are separate projections so that cleaned markup and text are computed once per page.
     """
-    kept = [c for c in pages.columns if c not in ("url", "status_code", "elapsed_ms", "html")]
-    status = ["url", "status_code", "ok", "error", "elapsed_ms"]
-    cleaned = fetch_status(pages).select(
-        *kept, *status, "html", F.lower("html").alias("_lower"), H.without_code(F.col("html")).alias("_markup"),
-        H.jsonld_objects(F.col("html")).alias("_objects"),
+    kept = [c for c in pages.columns if c not in _RAW]
+    facts = [*kept, "url", "status_code", "ok", "error", "elapsed_ms"]
+    cleaned = fetch_status(pages).selectExpr(
+        *facts, "CAST(length(html) AS BIGINT) AS html_chars", "lower(html) AS _lower",
+        f"{H.without_code('html')} AS _markup", f"{H.jsonld_objects('html')} AS _objects",
     )
-    split = cleaned.select(
-        *kept, *status, F.length("html").cast("long").alias("html_chars"),
-        H.visible_text(F.col("_markup")).alias("_text"), H.hrefs(F.col("_markup")).alias("_links"), "_objects",
-        H.chat_signal(F.col("_lower"), opts.chat_keywords).alias("has_chatbot"),
-        H.fresh_wording(F.col("_lower")).alias("fresh_wording"),
-        H.says_updated(F.col("_lower")).alias("says_updated"),
+    read = cleaned.selectExpr(
+        *facts, "html_chars", "_objects",
+        f"{H.visible_text('_markup')} AS _text",
+        f"{H.hrefs('_markup')} AS _links",
+        f"{H.chat_signal('_lower', opts.chat_keywords)} AS has_chatbot",
+        f"{H.fresh_wording('_lower')} AS fresh_wording",
+        "contains(_lower, 'updated') AS says_updated",
     )
-    text, links, objects = F.col("_text"), F.col("_links"), F.col("_objects")
-    return split.select(
-        *kept, page_key(F.col("url")).alias("page_key"), *status, "html_chars",
-        H.value_set(H.text_emails(text), H.link_emails(links)).alias("emails"),
-        H.value_set(H.text_phones(text), H.link_phones(links)).alias("phones"),
-        H.jsonld_values(objects, "email").alias("schema_emails"),
-        H.jsonld_values(objects, "telephone").alias("schema_phones"),
-        H.contact_links(F.col("url"), links).alias("contact_links"),
+    return read.selectExpr(
+        *facts, "html_chars", f"{page_key('url')} AS page_key",
+        f"{H.value_set(H.text_emails('_text'), H.link_emails('_links'))} AS emails",
+        f"{H.value_set(H.text_phones('_text'), H.link_phones('_links'))} AS phones",
+        f"{H.jsonld_values('_objects', 'email')} AS schema_emails",
+        f"{H.jsonld_values('_objects', 'telephone')} AS schema_phones",
+        f"{H.contact_links('url', '_links')} AS contact_links",
         "has_chatbot", "fresh_wording", "says_updated",
-        H.fresh_signal(F.col("fresh_wording"), F.col("says_updated"), F.col("html_chars")).alias("fresh"),
-        H.speed_score(F.col("elapsed_ms")).alias("speed_score"),
+        f"{H.fresh_signal('fresh_wording', 'says_updated', 'html_chars')} AS fresh",
+        f"{H.speed_score('elapsed_ms')} AS speed_score",
     )
 
 
@@ -74,71 +75,73 @@ _LOOKUP_FIELDS = ("ok", "error", "elapsed_ms", "html_chars", "emails", "phones",
 
 def page_lookup(signals: DataFrame) -> DataFrame:
     """(page_key, page): one page per key; of several copies a good one, then the first by URL."""
-    best = first_per_key(
-        signals.where(F.col("page_key").isNotNull()).select("page_key", "url", *_LOOKUP_FIELDS),
-        ["page_key"],
-        F.struct(~F.col("ok"), F.col("url")),
-    )
+    keyed = signals.where("page_key IS NOT NULL").select("page_key", "url", *_LOOKUP_FIELDS)
+    best = first_per_key(keyed, ["page_key"], "struct(NOT ok, url)")
     return best.select("page_key", F.struct(*_LOOKUP_FIELDS).alias("page"))
 
 
 def discovered_sites(search_results: DataFrame, opts: PageOptions = PageOptions()) -> DataFrame:
     """(company_key, discovered): first plausible of the top links of each company's search."""
-    link = with_scheme(F.col("link"))
-    plausible = plausible_site(F.col("company_name"), link, opts.blocked_host_match)
+    links = search_results.where(f"rank <= {K.MAX_SEARCH_LINKS}").selectExpr(
+        "company_name", f"{company_key('company_name')} AS company_key", "rank", f"{with_scheme('link')} AS link"
+    )
+    plausible = plausible_site("company_name", "link", opts.blocked_host_match)
     return (
-        search_results.where((F.col("rank") <= K.MAX_SEARCH_LINKS) & link.isNotNull() & plausible)
-        .groupBy(company_key(F.col("company_name")).alias("company_key"))
-        .agg(F.min_by(link, F.struct(F.col("rank"), link)).alias("discovered"))
-        .where(F.col("company_key").isNotNull())
+        links.where(f"company_key IS NOT NULL AND link IS NOT NULL AND {plausible}")
+        .groupBy("company_key")
+        .agg(F.expr("min_by(link, struct(rank, link))").alias("discovered"))
     )
 
 
 def discover_websites(leads: DataFrame, search_results: DataFrame, opts: PageOptions = PageOptions()) -> DataFrame:
-    """Leads with the site a web search would have found for their company."""
-    keyed = leads.withColumn("company_key", company_key(F.col("company_name")))
+    """Leads with the site a web search would have found for their company, as `discovered`."""
+    keyed = leads.selectExpr("*", f"{company_key('company_name')} AS company_key")
     sites = discovered_sites(search_results, opts)
     return lookup_left(keyed, sites, "company_key", salts=HOT_KEY_SALTS).drop("company_key")
 
 
-def fetch_homepages(leads: DataFrame, lookup: DataFrame, discovered: Column | None) -> DataFrame:
+def discovery_candidates(
+    leads: DataFrame, search_results: DataFrame | None, opts: PageOptions = PageOptions()
+) -> DataFrame:
+    """Leads with `discovered`, which is null without search results or with discovery off."""
+    if opts.discover and search_results is not None:
+        return discover_websites(leads, search_results, opts)
+    return leads.selectExpr("*", f"{NO_TEXT} AS discovered")
+
+
+def fetch_homepages(leads: DataFrame, lookup: DataFrame, discover: bool = True) -> DataFrame:
     """Leads with `website` as finally used, `page` (null if none) and `enrichment_error`.
 
     Up to two fetches per lead, primary and fallback, are looked up in one join and folded back by row.
     """
-    own = has_text(F.col("website"))
-    found = F.lit(None).cast("string") if discovered is None else discovered
-    first = F.when(own, F.col("website")).otherwise(found)
-    second = F.when(own & found.isNotNull() & ~found.eqNullSafe(F.col("website")), found)
-    tries = leads.select(
-        "row_id",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.lit(1).alias("nr"), first.alias("url")),
-                    F.struct(F.lit(2).alias("nr"), second.alias("url")),
-                ),
-                lambda t: t["url"].isNotNull(),
-            )
-        ).alias("try"),
-    ).select("row_id", "try.nr", "try.url", page_key(F.col("try.url")).alias("page_key"))
-    answered = lookup_left(tries, lookup, "page_key").select(
-        "row_id",
-        F.struct("nr", "url", F.coalesce(F.col("page.ok"), F.lit(False)).alias("ok"), "page").alias("t"),
+    own = has_text("website")
+    first = f"if({own}, website, discovered)"
+    second = f"if({own} AND NOT discovered <=> website, discovered, NULL)"
+    tries = (
+        leads.selectExpr(
+            "row_id",
+            f"explode(filter(array(named_struct('nr', 1, 'url', {first}), named_struct('nr', 2, 'url', {second})), "
+            "ft -> ft.url IS NOT NULL)) AS try",
+        )
+        .selectExpr("row_id", "try.nr AS nr", "try.url AS url", f"{page_key('try.url')} AS page_key")
+    )
+    answered = lookup_left(tries, lookup, "page_key").selectExpr(
+        "row_id", "named_struct('nr', nr, 'url', url, 'ok', coalesce(page.ok, false), 'page', page) AS t"
     )
     # the first good fetch decides; without one, the last fetch made
-    order = F.struct((~F.col("t.ok")).cast("int"), F.when(F.col("t.ok"), F.col("t.nr")).otherwise(-F.col("t.nr")))
-    chosen = answered.groupBy("row_id").agg(F.min_by("t", order).alias("t"))
-    joined = leads.join(chosen, "row_id", "left")
-    failed = F.col("t").isNotNull() & ~F.col("t.ok")
-    drop_site = failed if discovered is None else F.lit(False)
-    return joined.withColumns(
+    chosen = answered.groupBy("row_id").agg(
+        F.expr("min_by(t, struct(if(t.ok, 0, 1), if(t.ok, t.nr, -t.nr)))").alias("t")
+    )
+    # a site that cannot be fetched is dropped only where no other one is looked for
+    site = "coalesce(t.url, website)" if discover else "if(t.ok, t.url, NULL)"
+    return replace_columns(
+        leads.join(chosen, "row_id", "left"),
         {
-            "website": F.when(drop_site, F.lit(None)).otherwise(F.coalesce(F.col("t.url"), F.col("website"))),
-            "page": F.when(F.col("t.ok"), F.col("t.page")),
-            "enrichment_error": F.when(failed, F.coalesce(F.col("t.page.error"), F.lit(NOT_IN_SNAPSHOT))),
-        }
-    ).drop("t")
+            "website": site,
+            "page": "if(t.ok, t.page, NULL)",
+            "enrichment_error": f"if(NOT t.ok, coalesce(t.page.error, '{NOT_IN_SNAPSHOT}'), NULL)",
+        },
+    ).drop("t", "discovered")
 
 
 _EXTRA_FIELDS = ("html_chars", "emails", "phones", "schema_emails", "schema_phones", "has_chatbot",
@@ -150,90 +153,79 @@ def gather_pages(homes: DataFrame, lookup: DataFrame) -> DataFrame:
 
     At most four narrow structs are collected per lead.
     """
-    narrow = F.struct(*[F.col(f"page.{f}").alias(f) for f in _EXTRA_FIELDS])
-    links = homes.select("row_id", F.posexplode("page.contact_links").alias("nr", "url")).select(
-        "row_id", "nr", page_key(F.col("url")).alias("page_key")
+    narrow = "named_struct(" + ", ".join(f"'{f}', page.{f}" for f in _EXTRA_FIELDS) + ")"
+    links = homes.selectExpr("row_id", "posexplode(page.contact_links) AS (nr, url)").selectExpr(
+        "row_id", "nr", f"{page_key('url')} AS page_key"
     )
+    good = lookup.where("page.ok").selectExpr("page_key", f"{narrow} AS page")
     loaded = (
-        links.join(lookup.where(F.col("page.ok")).select("page_key", narrow.alias("page")), "page_key")
+        links.join(good, "page_key")
         .groupBy("row_id")
-        .agg(F.array_sort(F.collect_list(F.struct("nr", "page"))).alias("_extra"))
+        .agg(F.expr("array_sort(collect_list(struct(nr, page)))").alias("_extra"))
     )
-    extra = F.when(F.col("_extra").isNotNull(), F.transform("_extra", lambda e: e["page"])).otherwise(
-        F.slice(F.array(narrow), 1, 0)
+    extra = f"coalesce(transform(_extra, ex -> ex.page), slice(array({narrow}), 1, 0))"
+    return homes.join(loaded, "row_id", "left").selectExpr(
+        *[f"`{c}`" for c in homes.columns], f"if(page IS NOT NULL, concat(array({narrow}), {extra}), NULL) AS pages"
     )
-    pages = F.when(F.col("page").isNotNull(), F.concat(F.array(narrow), extra))
-    return homes.join(loaded, "row_id", "left").withColumn("pages", pages).drop("_extra")
-
-
-def picked_contacts(pages: Column, phone_region: str = K.DEFAULT_PHONE_REGION) -> dict[str, Column]:
-    """Columns derived from the array of a lead's pages. Structured data goes before page text."""
-    emails = F.flatten(F.transform(pages, lambda p: F.concat(p["schema_emails"], p["emails"])))
-    phones = F.flatten(F.transform(pages, lambda p: F.concat(p["schema_phones"], p["phones"])))
-    return {
-        "email_pick": let(F.transform(emails, check_email), _pick_email),
-        "phone_pick": let(F.transform(phones, lambda p: check_phone(p, phone_region)), _pick_phone),
-    }
 
 
-def _pick_email(checked: Column) -> Column:
-    first = F.try_element_at(F.filter(checked, lambda e: e["valid"]), F.lit(1))
-    # disposable addresses are counted only up to the pick
-    before = F.when(first.isNull(), checked).otherwise(
-        F.slice(checked, 1, F.greatest(F.array_position(F.transform(checked, lambda e: e["valid"]), True), F.lit(1)))
-    )
-    return F.struct(
-        first["value"].alias("value"),
-        F.coalesce(first["reason"], F.lit("none")).alias("reason"),
-        F.coalesce(first["quality"], F.lit("low")).alias("quality"),
-        F.size(F.filter(before, lambda e: e["is_disposable"])).alias("disposable"),
+def _pick_email(pages: str) -> str:
+    """First valid address; disposable ones are counted only up to the pick."""
+    checked = f"transform(flatten(transform({pages}, pg -> concat(pg.schema_emails, pg.emails))), ea -> {check_email('ea')})"
+    facts = struct(all="ck", first="try_element_at(filter(ck, ce -> ce.valid), 1)",
+                   at="array_position(transform(ck, ce -> ce.valid), true)")
+    pick = struct(
+        value="pk.first.value",
+        reason="coalesce(pk.first.reason, 'none')",
+        quality="coalesce(pk.first.quality, 'low')",
+        disposable="size(filter(if(pk.at > 0, slice(pk.all, 1, CAST(pk.at AS INT)), pk.all), ce -> ce.is_disposable))",
     )
+    return let("ck", checked, let("pk", facts, pick))
 
 
-def _pick_phone(checked: Column) -> Column:
-    valid = F.filter(checked, lambda p: p["valid"])
-    first = F.try_element_at(valid, F.lit(1))
-    return F.struct(
-        first["value"].alias("value"),
-        F.coalesce(first["reason"], F.lit("none")).alias("reason"),
-        F.size(valid).alias("valid_count"),
-        F.size(checked).alias("total"),
+def _pick_phone(pages: str, region: str) -> str:
+    checked = f"transform(flatten(transform({pages}, pg -> concat(pg.schema_phones, pg.phones))), pa0 -> {check_phone('pa0', region)})"
+    facts = struct(total="size(ck)", valid="filter(ck, cp -> cp.valid)")
+    pick = struct(
+        value="try_element_at(pk.valid, 1).value",
+        reason="coalesce(try_element_at(pk.valid, 1).reason, 'none')",
+        valid_count="size(pk.valid)",
+        total="pk.total",
     )
-
-
-def _any(pages: Column, name: str) -> Column:
-    return F.exists(pages, lambda p: p[name])
+    return let("ck", checked, let("pk", facts, pick))
 
 
 def with_site(gathered: DataFrame, phone_region: str = K.DEFAULT_PHONE_REGION) -> DataFrame:
     """Add `site`: picks, counts and signals over all pages of a lead; null without a homepage."""
-    pages = F.col("pages")
-    # length of all pages joined by newlines
-    chars = F.aggregate(pages, F.lit(-1).cast("long"), lambda n, p: n + p["html_chars"] + 1)
-    schema_pages = F.filter(pages, lambda p: (F.size(p["schema_emails"]) + F.size(p["schema_phones"])) > 0)
-    site = F.struct(
-        F.col("email_pick.value").alias("email"),
-        F.col("phone_pick.value").alias("phone"),
-        _any(pages, "has_chatbot").alias("has_chatbot"),
-        H.fresh_signal(_any(pages, "fresh_wording"), _any(pages, "says_updated"), chars).alias("fresh"),
-        H.speed_score(F.col("page.elapsed_ms")).alias("speed_score"),
-        F.struct(
-            F.size(schema_pages).alias("schema_contacts_used"),
-            F.col("email_pick.disposable").alias("email_disposable_rejected"),
-            (F.size(pages) - 1).alias("multi_page_fetch_success"),
-            F.col("phone_pick.valid_count").alias("phone_valid_count"),
-            F.col("phone_pick.total").alias("phone_total_candidates"),
-            F.col("email_pick.reason").alias("email_validation_reason"),
-            F.col("phone_pick.reason").alias("phone_validation_reason"),
-            F.col("email_pick.quality").alias("email_quality"),
-            F.col("page.elapsed_ms").cast("long").alias("fetch_elapsed_ms"),
-        ).alias("stats"),
+    kept = [c for c in gathered.columns if c not in ("page", "pages")]
+    picked = gathered.selectExpr(
+        *kept, "page.elapsed_ms AS _ms", "pages",
+        f"{_pick_email('pages')} AS _email",
+        f"{_pick_phone('pages', phone_region)} AS _phone",
+        # length of all pages joined by newlines
+        "aggregate(pages, CAST(-1 AS BIGINT), (n, pg) -> n + pg.html_chars + 1) AS _chars",
     )
-    return (
-        gathered.withColumns(picked_contacts(pages, phone_region))
-        .withColumn("site", F.when(pages.isNotNull(), site))
-        .drop("email_pick", "phone_pick", "page", "pages")
+    wording, updated = "exists(pages, pg -> pg.fresh_wording)", "exists(pages, pg -> pg.says_updated)"
+    stats = struct(
+        schema_contacts_used="size(filter(pages, pg -> size(pg.schema_emails) + size(pg.schema_phones) > 0))",
+        email_disposable_rejected="_email.disposable",
+        multi_page_fetch_success="size(pages) - 1",
+        phone_valid_count="_phone.valid_count",
+        phone_total_candidates="_phone.total",
+        email_validation_reason="_email.reason",
+        phone_validation_reason="_phone.reason",
+        email_quality="_email.quality",
+        fetch_elapsed_ms="CAST(_ms AS BIGINT)",
+    )
+    site = struct(
+        email="_email.value",
+        phone="_phone.value",
+        has_chatbot="exists(pages, pg -> pg.has_chatbot)",
+        fresh=H.fresh_signal(wording, updated, "_chars"),
+        speed_score=H.speed_score("_ms"),
+        stats=stats,
     )
+    return picked.selectExpr(*kept, f"if(pages IS NOT NULL, {site}, NULL) AS site")
 
 
 STATS_TYPE = (
@@ -245,24 +237,12 @@ STATS_TYPE = (
 
 def skip_pages(leads: DataFrame) -> DataFrame:
     """Columns of the page stage for a run that leaves it out."""
-    text = F.lit(None).cast("string")
-    return leads.withColumns(
-        {"enrichment_error": text, "page_email": text, "page_phone": text, "page_stats": F.lit(None).cast(STATS_TYPE)}
+    return leads.selectExpr(
+        "*", f"{NO_TEXT} AS enrichment_error", f"{NO_TEXT} AS page_email", f"{NO_TEXT} AS page_phone",
+        f"CAST(NULL AS {STATS_TYPE}) AS page_stats",
     )
 
 
-def discovery_candidates(
-    leads: DataFrame, search_results: DataFrame | None, opts: PageOptions = PageOptions()
-) -> tuple[DataFrame, Column | None]:
-    """Leads with a `_discovered` column, and that column; no column when discovery is off."""
-    if not opts.discover:
-        return leads, None
-    if search_results is None:
-        return leads.withColumn("_discovered", F.lit(None).cast("string")), F.col("_discovered")
-    found = discover_websites(leads, search_results, opts).withColumnRenamed("discovered", "_discovered")
-    return found, F.col("_discovered")
-
-
 def enrich_from_pages(
     leads: DataFrame,
     lookup: DataFrame,
@@ -273,24 +253,18 @@ def enrich_from_pages(
     """Fill contacts and signals of each lead from its homepage and contact pages (see `page_lookup`)."""
     if not opts.enabled:
         return skip_pages(leads)
-    candidates, discovered = discovery_candidates(leads, search_results, opts)
-    homes = fetch_homepages(candidates, lookup, discovered)
-    site = F.col("site")
-    loaded = site.isNotNull()
-    replaced = ("email", "phone", "has_chatbot", "last_updated_signal", "website_speed_score")
-    return with_site(gather_pages(homes, lookup), phone_region).select(
-        *[c for c in leads.columns if c not in replaced],
-        F.coalesce(F.nullif(F.col("email"), F.lit("")), site["email"]).alias("email"),
-        F.coalesce(F.nullif(F.col("phone"), F.lit("")), site["phone"]).alias("phone"),
-        F.when(loaded, site["has_chatbot"]).otherwise(F.col("has_chatbot")).alias("has_chatbot"),
-        F.when(loaded & site["fresh"], "detected")
-        .when(loaded, "unknown")
-        .otherwise(F.col("last_updated_signal"))
-        .alias("last_updated_signal"),
-        F.coalesce(site["speed_score"], F.col("website_speed_score")).alias("website_speed_score"),
-        "enrichment_error",
-        site["email"].alias("page_email"),
-        site["phone"].alias("page_phone"),
-        site["stats"].alias("page_stats"),
-    )
-
+    homes = fetch_homepages(discovery_candidates(leads, search_results, opts), lookup, opts.discover)
+    return replace_columns(
+        with_site(gather_pages(homes, lookup), phone_region),
+        {
+            "email": "coalesce(nullif(email, ''), site.email)",
+            "phone": "coalesce(nullif(phone, ''), site.phone)",
+            "has_chatbot": "if(site IS NOT NULL, site.has_chatbot, has_chatbot)",
+            "last_updated_signal": "CASE WHEN site.fresh THEN 'detected' WHEN site IS NOT NULL THEN 'unknown' "
+            "ELSE last_updated_signal END",
+            "website_speed_score": "coalesce(site.speed_score, website_speed_score)",
+            "page_email": "site.email",
+            "page_phone": "site.phone",
+            "page_stats": "site.stats",
+        },
+    ).drop("site")

@@ -6,99 +6,100 @@ candidates per query. Matching is done once per distinct (company, location), no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import constants as K
 from leadloom.functions.normalize import request_key
 from leadloom.functions.similarity import name_similarity
-from leadloom.functions.text import blank_to_null, has_text, strip
+from leadloom.functions.text import NO_TEXT, blank_to_null, has_text, strip
 from leadloom.operators.dedup import first_per_key
 from leadloom.operators.lookup import HOT_KEY_SALTS, lookup_left
+from leadloom.operators.normalize import replace_columns
 from leadloom.settings import PlaceOptions
 from leadloom.sources.tables import Snapshots
 
 MISSING_SOURCE = "missing_place_source"
 
 
-def usable_location(c: Column) -> Column:
-    return F.coalesce(F.length(strip(c)) >= K.MIN_LOCATION_CHARS, F.lit(False))
+def usable_location(x: str) -> str:
+    return f"coalesce(length({strip(x)}) >= {K.MIN_LOCATION_CHARS}, false)"
 
 
 def normalize_locations(leads: DataFrame, geocodes: DataFrame | None) -> DataFrame:
     """Add `normalized_location`: the first geocoding answer for the location, if it is long enough to ask."""
     if geocodes is None:
-        return leads.withColumn("normalized_location", F.lit(None).cast("string"))
-    answers = geocodes.groupBy(strip(F.col("raw_location")).alias("_asked")).agg(
-        blank_to_null(F.min_by("formatted_address", F.struct("rank", "formatted_address"))).alias(
-            "normalized_location"
-        )
+        return leads.selectExpr("*", f"{NO_TEXT} AS normalized_location")
+    first = "min_by(formatted_address, struct(rank, formatted_address))"
+    answers = geocodes.groupBy(F.expr(strip("raw_location")).alias("_asked")).agg(
+        F.expr(blank_to_null(first)).alias("normalized_location")
     )
-    asked = F.when(usable_location(F.col("location")), strip(F.col("location")))
-    return lookup_left(leads.withColumn("_asked", asked), answers, "_asked", salts=HOT_KEY_SALTS).drop("_asked")
+    asked = leads.selectExpr("*", f"if({usable_location('location')}, {strip('location')}, NULL) AS _asked")
+    return lookup_left(asked, answers, "_asked", salts=HOT_KEY_SALTS).drop("_asked")
 
 
-def place_queries(leads: DataFrame) -> DataFrame:
-    """Distinct (place_request, company, normalized_location) of leads that have a company name."""
-    return with_request(leads).where(F.col("place_request").isNotNull()).select(
-        "place_request", F.col("company_name").alias("company"), "normalized_location"
-    ).distinct()
+def with_request(leads: DataFrame) -> DataFrame:
+    """Add `place_request`, the key of a lead's (company, normalized_location); null without a company."""
+    key = f"concat_ws('\u0001', {strip('company_name')}, coalesce(normalized_location, ''))"
+    return leads.selectExpr("*", f"if({has_text('company_name')}, {key}, NULL) AS place_request")
 
 
-def with_request(leads: DataFrame) -> DataFrame:
-    request = F.concat_ws("\u0001", strip(F.col("company_name")), F.coalesce("normalized_location", F.lit("")))
-    return leads.withColumn("place_request", F.when(has_text(F.col("company_name")), request))
+def place_queries(leads: DataFrame) -> DataFrame:
+    """Distinct (place_request, company, normalized_location) of leads that have a company name."""
+    return (
+        with_request(leads)
+        .where("place_request IS NOT NULL")
+        .selectExpr("place_request", f"{strip('company_name')} AS company", "normalized_location")
+        .distinct()
+    )
 
 
 def match_candidates(queries: DataFrame, place_search: DataFrame, opts: PlaceOptions = PlaceOptions()) -> DataFrame:
     """Scored candidates of each query: name and location first (tier 1), name only (tier 2) as fallback."""
-    located = F.col("normalized_location")
-    tiers = F.filter(
-        F.array(
-            F.struct(F.lit(1).alias("tier"), request_key(F.col("company"), located).alias("query")),
-            F.struct(F.lit(2).alias("tier"), F.when(located.isNotNull(), request_key(F.col("company"))).alias("query")),
-        ),
-        lambda t: t["query"].isNotNull(),
+    tiers = (
+        f"array(named_struct('tier', 1, 'query', {request_key('company', 'normalized_location')}), "
+        f"named_struct('tier', 2, 'query', if(normalized_location IS NOT NULL, {request_key('company')}, NULL)))"
     )
-    asked = queries.select("*", F.explode(tiers).alias("t")).select("*", "t.tier", "t.query").drop("t")
-    answers = place_search.where(F.col("rank") <= K.MAX_PLACE_CANDIDATES).select(
-        request_key(F.col("query")).alias("query"), "rank", "place_id", "name", "formatted_address"
+    asked = queries.selectExpr("*", f"inline(filter({tiers}, tq -> tq.query IS NOT NULL)) AS (tier, query)")
+    answers = place_search.where(f"rank <= {K.MAX_PLACE_CANDIDATES}").selectExpr(
+        f"{request_key('query')} AS query", "rank", "place_id", "name", "formatted_address"
     )
-    names = name_similarity(F.col("company"), F.col("name"), opts.min_name_match, opts.similarity)
-    near = F.contains(F.lower(strip(F.col("formatted_address"))), F.lower(strip(located)))
-    adjust = F.when(~usable_location(located), 0.0).when(near, K.LOCATION_BONUS).otherwise(-K.LOCATION_PENALTY)
-    return (
-        asked.join(answers, "query")
-        .withColumn("name_score", names)
-        .withColumn("match_score", F.when(F.col("name_score") >= opts.min_name_match, F.col("name_score") + adjust))
+    near = f"contains(lower({strip('formatted_address')}), lower({strip('normalized_location')}))"
+    adjust = (
+        f"CASE WHEN NOT {usable_location('normalized_location')} THEN 0D "
+        f"WHEN {near} THEN {K.LOCATION_BONUS}D ELSE -{K.LOCATION_PENALTY}D END"
+    )
+    scored = asked.join(answers, "query").withColumn(
+        "name_score", name_similarity("company", "name", opts.min_name_match, opts.similarity)
+    )
+    return scored.selectExpr(
+        "*", f"if(name_score >= {float(opts.min_name_match)}D, name_score + {adjust}, NULL) AS match_score"
     )
 
 
 def best_places(candidates: DataFrame) -> DataFrame:
     """(place_request, place_id, ...): best candidate of the first tier that had any answer; earlier rank on ties."""
-    score = F.coalesce("match_score", F.lit(-10.0))
     best = candidates.groupBy("place_request").agg(
-        F.max_by(
-            F.struct("tier", "rank", "place_id", "name", "match_score"),
-            F.struct(-F.col("tier"), score, -F.col("rank"), F.col("place_id")),
+        F.expr(
+            "max_by(struct(tier, rank, place_id, name, match_score), "
+            "struct(-tier, coalesce(match_score, -10D), -rank, place_id))"
         ).alias("b")
     )
-    return best.where(F.col("b.match_score").isNotNull() & has_text(F.col("b.place_id"))).select(
-        "place_request", F.trim("b.place_id").alias("place_id"), F.col("b.name").alias("place_name"),
-        F.col("b.tier").alias("tier"), F.col("b.match_score").alias("match_score"),
+    return best.where(f"b.match_score IS NOT NULL AND {has_text('b.place_id')}").selectExpr(
+        "place_request", f"{strip('b.place_id')} AS place_id", "b.name AS place_name", "b.tier", "b.match_score"
     )
 
 
 def place_details(places: DataFrame) -> DataFrame:
     """(place_id, details): international phone preferred over national, blanks as null."""
-    cleaned = places.where(has_text(F.col("place_id"))).select(
-        F.trim("place_id").alias("place_id"),
-        blank_to_null(F.col("website_uri")).alias("website"),
-        F.coalesce(blank_to_null(F.col("international_phone")), blank_to_null(F.col("national_phone"))).alias("phone"),
-        blank_to_null(F.col("formatted_address")).alias("address"),
+    cleaned = places.where(has_text("place_id")).selectExpr(
+        f"{strip('place_id')} AS place_id",
+        f"{blank_to_null('website_uri')} AS website",
+        f"coalesce({blank_to_null('international_phone')}, {blank_to_null('national_phone')}) AS phone",
+        f"{blank_to_null('formatted_address')} AS address",
     )
-    one = first_per_key(cleaned, ["place_id"], F.struct("website", "phone", "address"))
-    return one.select("place_id", F.struct("website", "phone", "address").alias("details"))
+    one = first_per_key(cleaned, ["place_id"], "struct(website, phone, address)")
+    return one.selectExpr("place_id", "struct(website, phone, address) AS details")
 
 
 def match_places(leads: DataFrame, snapshots: Snapshots, opts: PlaceOptions = PlaceOptions()) -> DataFrame:
@@ -108,47 +109,41 @@ def match_places(leads: DataFrame, snapshots: Snapshots, opts: PlaceOptions = Pl
     """
     matched = best_places(match_candidates(place_queries(leads), snapshots.place_search, opts))
     # details are joined per distinct request; a place without details counts as no match
-    detailed = matched.join(place_details(snapshots.places), "place_id").select(
-        "place_request", F.struct("place_id", "place_name", "tier", "match_score", "details").alias("place")
+    detailed = matched.join(place_details(snapshots.places), "place_id").selectExpr(
+        "place_request", "struct(place_id, place_name, tier, match_score, details) AS place"
     )
     return lookup_left(with_request(leads), detailed, "place_request", salts=HOT_KEY_SALTS).drop("place_request")
 
 
-def append_source(source: Column, tag: str = "google_maps") -> Column:
-    s = F.nullif(strip(F.coalesce(source, F.lit(""))), F.lit(""))
-    return F.when(s.isNull(), F.lit(tag)).when(F.contains(s, F.lit(tag)), source).otherwise(F.concat_ws(",", s, F.lit(tag)))
+def append_source(source: str, tag: str = "google_maps") -> str:
+    s = strip(f"coalesce({source}, '')")
+    return f"CASE WHEN {s} = '' THEN '{tag}' WHEN contains({s}, '{tag}') THEN {source} ELSE {s} || ',{tag}' END"
 
 
 def fill_from_place(matched: DataFrame) -> DataFrame:
     """Write a matched place onto its lead: missing website and phone, location, source tag."""
-    hit = F.col("place").isNotNull()
-    details, known = F.col("place.details"), F.col("normalized_location")
-    address = details["address"]
-    # a location that could not be geocoded gives way to the place's address
-    located = F.when(hit & address.isNotNull(), F.coalesce(known, address)).otherwise(F.col("location"))
-    return matched.withColumns(
+    return replace_columns(
+        matched,
         {
-            "website": F.coalesce(F.nullif(F.col("website"), F.lit("")), details["website"]),
-            "phone": F.coalesce(F.nullif(F.col("phone"), F.lit("")), details["phone"]),
-            "location": located,
-            "source": F.when(hit, append_source(F.col("source"))).otherwise(F.col("source")),
-            "place_website": details["website"],
-            "place_phone": details["phone"],
-            "place_location": F.when(hit, F.coalesce(address, known)),
-            "google_maps_error": F.lit(None).cast("string"),
-        }
+            "website": "coalesce(nullif(website, ''), place.details.website)",
+            "phone": "coalesce(nullif(phone, ''), place.details.phone)",
+            # a location that could not be geocoded gives way to the place's address
+            "location": "if(place.details.address IS NOT NULL, "
+            "coalesce(normalized_location, place.details.address), location)",
+            "source": f"if(place IS NOT NULL, {append_source('source')}, source)",
+            "place_website": "place.details.website",
+            "place_phone": "place.details.phone",
+            "place_location": "if(place IS NOT NULL, coalesce(place.details.address, normalized_location), NULL)",
+            "google_maps_error": NO_TEXT,
+        },
     ).drop("place", "normalized_location")
 
 
 def skip_places(leads: DataFrame, error: str | None = None) -> DataFrame:
-    text = F.lit(None).cast("string")
-    return leads.withColumns(
-        {
-            "place_website": text,
-            "place_phone": text,
-            "place_location": text,
-            "google_maps_error": F.lit(error).cast("string"),
-        }
+    message = f"'{error}'" if error else NO_TEXT
+    return leads.selectExpr(
+        "*", f"{NO_TEXT} AS place_website", f"{NO_TEXT} AS place_phone", f"{NO_TEXT} AS place_location",
+        f"{message} AS google_maps_error",
     )
 
 

@@ -1,174 +1,147 @@
 """Conflict resolution: candidates per field, the choice among them, and a record of why.
 
-Each lead has at most three candidates per field, so both steps are array expressions within the row.
+Each lead has at most three candidates per field, so both steps are array expressions within the
+row. All fields go through the same expression, as elements of one array.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from leadloom import constants as K
-from leadloom.functions.text import let
+from leadloom.functions.text import NO_TEXT, let, q, struct
+from leadloom.operators.normalize import replace_columns
 from leadloom.settings import ResolveOptions
 
-CANDIDATE_TYPE = (
-    "struct<field:string,source:string,value:string,validated:boolean,confidence:double,"
-    "validation_reason:string,timestamp:timestamp>"
+CANDIDATES_TYPE = (
+    "ARRAY<STRUCT<field:STRING,source:STRING,value:STRING,validated:BOOLEAN,confidence:DOUBLE,"
+    "validation_reason:STRING,timestamp:TIMESTAMP>>"
 )
-CANDIDATES_TYPE = f"array<{CANDIDATE_TYPE}>"
-
-
-def _candidate(field: str, source: str, value: Column, validated, confidence, reason, ts: Column) -> Column:
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        F.lit(field).alias("field"),
-        F.lit(source).alias("source"),
-        value.alias("value"),
-        as_col(validated).alias("validated"),
-        as_col(confidence).cast("double").alias("confidence"),
-        as_col(reason).alias("validation_reason"),
-        ts.alias("timestamp"),
-    )
+ALTERNATIVES_TYPE = (
+    "ARRAY<STRUCT<source:STRING,value:STRING,confidence:DOUBLE,validated:BOOLEAN,losing_reason:STRING>>"
+)
+
+
+def keep_stage(df: DataFrame, prefix: str) -> DataFrame:
+    """Copy the tracked fields as they are now, so that later stages can be compared with them."""
+    return df.selectExpr("*", *[f"{f} AS {prefix}_{f}" for f in K.TRACKED_FIELDS])
 
 
-def field_candidates(field: str, ts: Column, opts: ResolveOptions = ResolveOptions()) -> Column:
+def _candidate(field: str, source: str, value: str, validated: str, confidence: str, reason: str, ts: str) -> str:
+    return struct(field=q(field), source=q(source), value=value, validated=validated,
+                  confidence=f"CAST({confidence} AS DOUBLE)", validation_reason=reason, timestamp=ts)
+
+
+def field_candidates(field: str, ts: str, opts: ResolveOptions = ResolveOptions()) -> str:
     """Candidates of one field from columns base_<field>, site_<field> and <field> (after the place stage)."""
-    base = F.col(f"base_{field}")
-    current = F.col(field)
     contact = field in ("email", "phone")
-    site = F.coalesce(F.col(f"page_{field}"), F.col(f"site_{field}")) if contact else F.col(f"site_{field}")
-    from_place = F.lit(None).cast("string") if field == "email" else F.col(f"place_{field}")
+    base = f"base_{field}"
+    site = f"coalesce(page_{field}, site_{field})" if contact else f"site_{field}"
+    from_place = NO_TEXT if field == "email" else f"place_{field}"
     # without a place value, whatever the row holds now counts as proposed by the place stage
-    leftover = F.when(~current.eqNullSafe(site), current)
+    leftover = f"if({field} <=> {site}, NULL, {field})"
     if opts.strict_provenance:
-        leftover = F.when(~current.eqNullSafe(base), leftover)
-    place = F.coalesce(from_place, leftover)
-
-    page_ok = F.col("enrichment_error").isNull()
-    page_conf = F.when(page_ok, K.PAGE_EMAIL_CONFIDENCE if field == "email" else K.STAGE_CONFIDENCE)
-    page_reason = F.coalesce(F.col(f"page_stats.{field}_validation_reason"), F.lit("website_fetch_ok")) if contact \
-        else F.lit("website_fetch_ok")
-    place_ok = F.col("google_maps_error").isNull()
-    place_conf = F.when(place_ok, K.PLACE_PHONE_CONFIDENCE if field == "phone" else K.STAGE_CONFIDENCE)
-    proposals = F.array(
-        F.when(base.isNotNull(), _candidate(field, "input", base, True, K.INPUT_CONFIDENCE, "from_input", ts)),
-        F.when(
-            site.isNotNull() & ~site.eqNullSafe(base),
-            _candidate(field, "website_enrichment", site, page_ok, page_conf.otherwise(K.FAILED_STAGE_CONFIDENCE),
-                       F.when(page_ok, page_reason).otherwise("website_fetch_failed"), ts),
-        ),
-        F.when(
-            place.isNotNull(),
-            _candidate(field, "google_maps", place, place_ok, place_conf.otherwise(K.FAILED_STAGE_CONFIDENCE),
-                       F.when(place_ok, "google_maps_ok").otherwise("google_maps_error"), ts),
-        ),
-    )
-    return F.filter(proposals, lambda c: c.isNotNull()).cast(CANDIDATES_TYPE)
-
-
-def resolve_field(field: str, candidates: Column, current: Column, current_source: str = "current") -> Column:
-    """Decision STRUCT of one field. Validated candidates first, then confidence, then the tie rules."""
-    valid = F.filter(candidates, lambda c: c["validated"])
-    pool = F.when(F.size(valid) > 0, valid).otherwise(candidates)
-
-    def decide(pool: Column) -> Column:
-        best = F.array_max(F.transform(pool, lambda c: c["confidence"]))
-        return let(F.filter(pool, lambda c: c["confidence"] == best), choose)
-
-    def choose(top: Column) -> Column:
-        tie = F.size(top) > 1
-        places = F.filter(top, lambda c: (c["source"] == "google_maps") & c["validated"])
-        places = F.when(F.lit(field == "website"), places).otherwise(F.slice(top, 1, 0))
-        kept = F.filter(top, lambda c: c["value"].eqNullSafe(current))
-        chosen = (
-            F.when(tie & (F.size(places) > 0), F.try_element_at(places, F.lit(1)))
-            .when(tie & (F.size(kept) > 0), F.try_element_at(kept, F.lit(1)))
-            .otherwise(F.try_element_at(top, F.lit(1)))
-        )
-        reason = (
-            F.when(~tie, "highest_confidence")
-            .when(F.size(places) > 0, "prefer_google_maps_if_verified")
-            .when(F.size(kept) > 0, "keep_current_on_tie")
-            .otherwise("tie_first_candidate")
-        )
-        return let(F.struct(chosen.alias("c"), tie.alias("tie"), reason.alias("reason")), record)
-
-    def record(pick: Column) -> Column:
-        # sources differ within a field, so the source names the candidate
-        losers = F.filter(candidates, lambda c: c["source"] != pick["c"]["source"])
-        losing = F.when(pick["tie"], "not_selected_after_tie_break").otherwise("lower_confidence_or_invalid")
-        return F.struct(
-            F.lit(field).alias("field"),
-            pick["c"]["source"].alias("chosen_source"),
-            pick["c"]["value"].alias("chosen_value"),
-            pick["tie"].alias("tie_break_applied"),
-            pick["reason"].alias("tie_break_reason"),
-            F.when(pick["tie"], F.concat(F.lit("tie_break:"), pick["reason"]))
-            .otherwise("highest_validated_confidence").alias("decision_reason"),
-            F.transform(
-                losers,
-                lambda c: F.struct(c["source"], c["value"], c["confidence"], c["validated"],
-                                   losing.alias("losing_reason")),
-            ).alias("alternatives"),
-        )
-
-    alternative = "struct<source:string,value:string,confidence:double,validated:boolean,losing_reason:string>"
-    decision_type = (
-        "struct<field:string,chosen_source:string,chosen_value:string,tie_break_applied:boolean,"
-        f"tie_break_reason:string,decision_reason:string,alternatives:array<{alternative}>>"
+        leftover = f"if({field} <=> {base}, NULL, {leftover})"
+    place = f"coalesce({from_place}, {leftover})"
+
+    page_ok, place_ok = "enrichment_error IS NULL", "google_maps_error IS NULL"
+    page_top = K.PAGE_EMAIL_CONFIDENCE if field == "email" else K.STAGE_CONFIDENCE
+    place_top = K.PLACE_PHONE_CONFIDENCE if field == "phone" else K.STAGE_CONFIDENCE
+    page_reason = f"coalesce(page_stats.{field}_validation_reason, 'website_fetch_ok')" if contact else "'website_fetch_ok'"
+    from_input = _candidate(field, "input", base, "true", str(K.INPUT_CONFIDENCE), "'from_input'", ts)
+    from_page = _candidate(field, "website_enrichment", site, page_ok,
+                           f"if({page_ok}, {page_top}, {K.FAILED_STAGE_CONFIDENCE})",
+                           f"if({page_ok}, {page_reason}, 'website_fetch_failed')", ts)
+    from_dir = _candidate(field, "google_maps", place, place_ok,
+                          f"if({place_ok}, {place_top}, {K.FAILED_STAGE_CONFIDENCE})",
+                          f"if({place_ok}, 'google_maps_ok', 'google_maps_error')", ts)
+    proposals = (
+        f"array(if({base} IS NOT NULL, {from_input}, NULL), "
+        f"if({site} IS NOT NULL AND NOT {site} <=> {base}, {from_page}, NULL), "
+        f"if({place} IS NOT NULL, {from_dir}, NULL))"
     )
-    none = F.struct(
-        F.lit(field).alias("field"), F.lit(current_source).alias("chosen_source"), current.alias("chosen_value"),
-        F.lit(False).alias("tie_break_applied"), F.lit("no_candidates").alias("tie_break_reason"),
-        F.lit(None).cast("string").alias("decision_reason"), F.array().cast(f"array<{alternative}>").alias("alternatives"),
-    )
-    return F.when(F.size(candidates) == 0, none.cast(decision_type)).otherwise(let(pool, decide).cast(decision_type))
+    return f"CAST(filter({proposals}, fc -> fc IS NOT NULL) AS {CANDIDATES_TYPE})"
 
 
-def with_candidates(staged: DataFrame, ts: Column, opts: ResolveOptions = ResolveOptions()) -> DataFrame:
-    return staged.withColumns({f"cand_{f}": field_candidates(f, ts, opts) for f in K.TRACKED_FIELDS})
+def with_candidates(
+    staged: DataFrame, run_ts: datetime | None = None, opts: ResolveOptions = ResolveOptions()
+) -> DataFrame:
+    """Add `candidates`: ARRAY<STRUCT<field, current, list>>, one element per tracked field."""
+    ts = f"TIMESTAMP '{run_ts.isoformat(sep=' ')}'" if run_ts is not None else "current_timestamp()"
+    each = [struct(field=q(f), current=f, list=field_candidates(f, ts, opts)) for f in K.TRACKED_FIELDS]
+    return staged.selectExpr("*", f"array({', '.join(each)}) AS candidates")
+
+
+def decision(c: str, current_source: str = "current") -> str:
+    """Decision STRUCT over an element of `candidates`: validated first, then confidence, then the tie rules."""
+    pool = (
+        f"if(exists({c}.list, cd -> cd.validated), filter({c}.list, cd -> cd.validated), {c}.list)"
+    )
+    top = let("po", pool, "filter(po, cd -> cd.confidence = array_max(transform(po, cx -> cx.confidence)))")
+    facts = struct(
+        top="tp",
+        places=f"filter(tp, cd -> {c}.field = 'website' AND cd.source = 'google_maps' AND cd.validated)",
+        kept=f"filter(tp, cd -> cd.value <=> {c}.current)",
+    )
+    pick = struct(
+        tie="size(fa.top) > 1",
+        c="CASE WHEN size(fa.top) > 1 AND size(fa.places) > 0 THEN fa.places[0] "
+        "WHEN size(fa.top) > 1 AND size(fa.kept) > 0 THEN fa.kept[0] ELSE try_element_at(fa.top, 1) END",
+        reason="CASE WHEN size(fa.top) = 0 THEN 'no_candidates' WHEN size(fa.top) = 1 THEN 'highest_confidence' "
+        "WHEN size(fa.places) > 0 THEN 'prefer_google_maps_if_verified' "
+        "WHEN size(fa.kept) > 0 THEN 'keep_current_on_tie' ELSE 'tie_first_candidate' END",
+    )
+    # sources differ within a field, so the source names the candidate
+    losing = "if(pi.tie, 'not_selected_after_tie_break', 'lower_confidence_or_invalid')"
+    loser = struct(source="cd.source", value="cd.value", confidence="cd.confidence", validated="cd.validated",
+                   losing_reason=losing)
+    record = struct(
+        field=f"{c}.field",
+        chosen_source=f"coalesce(pi.c.source, {q(current_source)})",
+        chosen_value=f"if(pi.c IS NULL, {c}.current, pi.c.value)",
+        tie_break_applied="pi.tie",
+        tie_break_reason="pi.reason",
+        decision_reason="CASE WHEN pi.tie THEN 'tie_break:' || pi.reason "
+        "WHEN pi.c IS NOT NULL THEN 'highest_validated_confidence' END",
+        alternatives=f"CAST(transform(filter({c}.list, cd -> cd.source <> pi.c.source), cd -> {loser}) "
+        f"AS {ALTERNATIVES_TYPE})",
+    )
+    return let("tp", top, let("fa", facts, let("pi", pick, record)))
 
 
 def with_decisions(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"dec_{f}": resolve_field(f, F.col(f"cand_{f}"), F.col(f)) for f in K.TRACKED_FIELDS})
+    """Add `decisions`: one decision per element of `candidates`, in the same order."""
+    return df.selectExpr("*", f"transform(candidates, ca -> {decision('ca')}) AS decisions")
 
 
 def apply_decisions(df: DataFrame) -> DataFrame:
     """Write chosen values, count outcomes for the run summary, and fold everything into `enrichment_history`."""
-    fields = K.TRACKED_FIELDS
-    ties = sum((F.col(f"dec_{f}.tie_break_applied").cast("int") for f in fields), F.lit(0))
-    replaced = sum(((~F.col(f"dec_{f}.chosen_value").eqNullSafe(F.col(f"base_{f}"))).cast("int") for f in fields), F.lit(0))
-    refused = sum((F.size(F.filter(f"cand_{f}", lambda c: ~c["validated"])) for f in fields), F.lit(0))
-    history = F.struct(
-        F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f"cand_{f}"))]).alias("candidates"),
-        F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f"dec_{f}"))]).alias("decisions"),
-        F.map_filter(
-            F.create_map(F.lit("website_enrichment"), F.col("enrichment_error"),
-                         F.lit("google_maps"), F.col("google_maps_error")),
-            lambda _, v: v.isNotNull(),
-        ).alias("stage_errors"),
-        F.struct(F.col("page_stats").alias("website")).alias("diagnostics"),
+    fields = list(enumerate(K.TRACKED_FIELDS))
+    history = struct(
+        candidates="map_from_entries(transform(candidates, ca -> struct(ca.field, ca.list)))",
+        decisions="map_from_entries(transform(decisions, de -> struct(de.field, de)))",
+        stage_errors="map_filter(map('website_enrichment', enrichment_error, 'google_maps', google_maps_error), "
+        "(k, v) -> v IS NOT NULL)",
+        diagnostics="named_struct('website', page_stats)",
     )
-    resolved = df.withColumns(
+    changed = " + ".join(f"int(NOT decisions[{i}].chosen_value <=> base_{f})" for i, f in fields)
+    resolved = replace_columns(
+        df,
         {
             "enrichment_history": history,
-            "ties_resolved": ties,
-            "fields_replaced": replaced,
-            "invalid_candidates": refused,
-        }
-    ).withColumns({f: F.col(f"dec_{f}.chosen_value") for f in fields})
-    spent = [f"{p}_{f}" for f in fields for p in ("cand", "dec", "base", "site")]
-    return resolved.drop(*spent, "page_email", "page_phone", "place_website", "place_phone", "place_location")
-
-
-def keep_stage(df: DataFrame, prefix: str) -> DataFrame:
-    """Copy the tracked fields as they are now, so that later stages can be compared with them."""
-    return df.withColumns({f"{prefix}_{f}": F.col(f) for f in K.TRACKED_FIELDS})
+            "ties_resolved": "size(filter(decisions, de -> de.tie_break_applied))",
+            "fields_replaced": changed,
+            "invalid_candidates": "size(filter(flatten(transform(candidates, ca -> ca.list)), cd -> NOT cd.validated))",
+            **{f: f"decisions[{i}].chosen_value" for i, f in fields},
+        },
+    )
+    spent = [f"{p}_{f}" for f in K.TRACKED_FIELDS for p in ("base", "site", "place", "page")]
+    return resolved.drop(*spent, "candidates", "decisions")
 
 
-def resolve_leads(staged: DataFrame, run_ts: datetime | None = None, opts: ResolveOptions = ResolveOptions()) -> DataFrame:
-    ts = F.lit(run_ts).cast("timestamp") if run_ts is not None else F.current_timestamp()
-    return apply_decisions(with_decisions(with_candidates(staged, ts, opts)))
+def resolve_leads(
+    staged: DataFrame, run_ts: datetime | None = None, opts: ResolveOptions = ResolveOptions()
+) -> DataFrame:
+    return apply_decisions(with_decisions(with_candidates(staged, run_ts, opts)))

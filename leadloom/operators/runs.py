@@ -98,4 +98,4 @@ def roll_up(counters: DataFrame, keys: Sequence[str], rates: Mapping[str, tuple[
     """Add up counters per key; a rate is recomputed from its two sums, never added."""
     sums = [c for c, t in counters.dtypes if c not in keys and t in ("int", "bigint", "double")]
     added = counters.groupBy(*keys).agg(*[F.sum(c).cast(dict(counters.dtypes)[c]).alias(c) for c in sums])
-    return added.withColumns({name: rate(F.col(a), F.col(b)) for name, (a, b) in rates.items()})
+    return added.withColumns({name: rate(a, b) for name, (a, b) in rates.items()})

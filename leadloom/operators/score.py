@@ -4,121 +4,112 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from leadloom import constants as K
 from leadloom.functions.text import has_text, strip
+from leadloom.operators.normalize import replace_columns
 from leadloom.settings import ScoreOptions
 
+_QUALITY = f"lower({strip('coalesce(contact_quality, \'\')')})"
+_FRESH = f"lower({strip('coalesce(last_updated_signal, \'\')')})"
+_ON_MAP = "contains(lower(coalesce(source, '')), 'google_maps')"
+_BOTH = f"({_QUALITY} = 'likely' AND verification.email.valid AND verification.phone.valid)"
+_SPEED = "greatest(0, least(100, website_speed_score))"
+_TIMED = "website_speed_score IS NOT NULL"
 
-def _terms(weight: Callable[[str], Column]) -> list[tuple[Column, Column]]:
+
+def _when(*branches: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {cond} THEN {value}" for cond, value in branches) + " END"
+
+
+def _terms(weight: Callable[[str], str]) -> list[tuple[str, str]]:
     """(points, reason) per dimension, in the order reasons are listed; null points count as 0."""
-    quality = F.lower(strip(F.coalesce("contact_quality", F.lit(""))))
-    both = (quality == "likely") & F.col("verification.email.valid") & F.col("verification.phone.valid")
-    website = has_text(F.col("website"))
-    chat = F.col("has_chatbot")
-    fresh = F.lower(strip(F.coalesce("last_updated_signal", F.lit(""))))
-    speed = F.greatest(F.lit(0), F.least(F.lit(100), F.col("website_speed_score")))
-    timed = F.col("website_speed_score").isNotNull()
-    fast = timed & (speed >= weight("website_speed_high_threshold").cast("int"))
-    fair = timed & (speed >= weight("website_speed_mid_threshold").cast("int"))
-    slow = timed & (speed < weight("website_speed_low_threshold").cast("int"))
-    on_map = F.contains(F.lower(F.coalesce("source", F.lit(""))), F.lit("google_maps"))
+
+    def threshold(name: str) -> str:
+        return f"CAST({weight(name)} AS INT)"
+
+    fast = f"{_SPEED} >= {threshold('website_speed_high_threshold')}"
+    fair = f"{_SPEED} >= {threshold('website_speed_mid_threshold')}"
+    slow = f"{_SPEED} < {threshold('website_speed_low_threshold')}"
+    website, location, agent = has_text("website"), has_text("location"), has_text("agent_name")
     return [
         (
-            F.when(quality == "verified", weight("contact_quality_verified"))
-            .when(quality == "likely", weight("contact_quality_likely"))
-            .when(quality == "low", weight("contact_quality_low")),
-            F.when(quality.isin("verified", "likely", "low"), F.concat(F.lit("Contact quality "), quality))
-            .otherwise("Contact quality unknown"),
-        ),
-        (F.when(both, weight("both_channels_bonus")), F.when(both, "Both email and phone valid")),
-        (F.when(website, weight("has_website")), F.when(website, "Website on record")),
-        (
-            F.when(chat, weight("chatbot_penalty")),
-            F.when(chat.isNull(), "Chatbot status unknown (no site crawl)")
-            .when(chat, "Chatbot or live-widget signal on site")
-            .otherwise("No chatbot-style widgets detected"),
+            _when(*[(f"{_QUALITY} = '{v}'", weight(f"contact_quality_{v}")) for v in ("verified", "likely", "low")]),
+            f"if({_QUALITY} IN ('verified', 'likely', 'low'), 'Contact quality ' || {_QUALITY}, 'Contact quality unknown')",
         ),
+        (_when((_BOTH, weight("both_channels_bonus"))), _when((_BOTH, "'Both email and phone valid'"))),
+        (_when((website, weight("has_website"))), _when((website, "'Website on record'"))),
         (
-            F.when(fresh == "detected", weight("last_updated_bonus")).otherwise(weight("last_updated_unknown_penalty")),
-            F.when(fresh == "detected", "Freshness wording on page")
-            .when(fresh.isin("unknown", ""), "No freshness signal in crawl"),
+            _when(("has_chatbot", weight("chatbot_penalty"))),
+            _when(
+                ("has_chatbot IS NULL", "'Chatbot status unknown (no site crawl)'"),
+                ("has_chatbot", "'Chatbot or live-widget signal on site'"),
+                ("true", "'No chatbot-style widgets detected'"),
+            ),
         ),
         (
-            F.when(fast, weight("website_speed_high_bonus"))
-            .when(fair, weight("website_speed_mid_bonus"))
-            .when(slow, weight("website_speed_low_penalty"))
-            .when(~timed, weight("website_speed_unknown_penalty")),
-            F.when(fast, "Fast website response")
-            .when(fair, "Moderate website response time")
-            .when(slow, "Slow website response")
-            .when(timed, "Website response time acceptable")
-            .when(website, "Website speed not measured"),
+            _when((f"{_FRESH} = 'detected'", weight("last_updated_bonus")), ("true", weight("last_updated_unknown_penalty"))),
+            _when(
+                (f"{_FRESH} = 'detected'", "'Freshness wording on page'"),
+                (f"{_FRESH} IN ('unknown', '')", "'No freshness signal in crawl'"),
+            ),
         ),
-        (F.when(on_map, weight("google_maps_source_bonus")), F.when(on_map, "Google Maps enrichment")),
         (
-            F.when(has_text(F.col("location")), weight("has_location_bonus")),
-            F.when(has_text(F.col("location")), "Location on record"),
-        ),
-        (
-            F.when(has_text(F.col("agent_name")), weight("has_agent_name_bonus")),
-            F.when(has_text(F.col("agent_name")), "Agent name on record"),
+            _when(
+                (f"NOT ({_TIMED})", weight("website_speed_unknown_penalty")),
+                (fast, weight("website_speed_high_bonus")),
+                (fair, weight("website_speed_mid_bonus")),
+                (slow, weight("website_speed_low_penalty")),
+            ),
+            _when(
+                (f"NOT ({_TIMED}) AND {website}", "'Website speed not measured'"),
+                (f"NOT ({_TIMED})", "NULL"),
+                (fast, "'Fast website response'"),
+                (fair, "'Moderate website response time'"),
+                (slow, "'Slow website response'"),
+                ("true", "'Website response time acceptable'"),
+            ),
         ),
+        (_when((_ON_MAP, weight("google_maps_source_bonus"))), _when((_ON_MAP, "'Google Maps enrichment'"))),
+        (_when((location, weight("has_location_bonus"))), _when((location, "'Location on record'"))),
+        (_when((agent, weight("has_agent_name_bonus"))), _when((agent, "'Agent name on record'"))),
     ]
 
 
-def score_expr(weight: Callable[[str], Column], base: Column) -> Column:
-    total = base.cast("double")
-    for points, _ in _terms(weight):
-        total = total + F.coalesce(points, F.lit(0.0))
-    # half-even rounding
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 0).cast("int")
+def score_expr(weight: Callable[[str], str], base: str) -> str:
+    """Clamped sum, rounded half to even."""
+    total = " + ".join([f"CAST({base} AS DOUBLE)", *[f"coalesce({points}, 0D)" for points, _ in _terms(weight)]])
+    return f"CAST(bround(greatest(0D, least(100D, {total})), 0) AS INT)"
+
 
+def reason_expr(weight: Callable[[str], str]) -> str:
+    return "concat_ws('; ', " + ", ".join(reason for _, reason in _terms(weight)) + ")"
 
-def reason_expr(weight: Callable[[str], Column]) -> Column:
-    return F.concat_ws("; ", *[reason for _, reason in _terms(weight)])
 
+def _scores(weight: Callable[[str], str], base: str) -> dict[str, str]:
+    return {"lead_score": score_expr(weight, base), "lead_reason": reason_expr(weight)}
 
-def confidence_expr(score: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")
+
+def with_confidence(scored: DataFrame) -> DataFrame:
+    return replace_columns(scored, {"confidence_score": "greatest(0, least(100, lead_score))"})
 
 
 def score_leads(leads: DataFrame, opts: ScoreOptions = ScoreOptions()) -> DataFrame:
     """Set lead_score, lead_reason and confidence_score of verified leads."""
     if not opts.enabled:
         return leads
-
-    def weight(name: str) -> Column:
-        return F.lit(opts.weight(name))
-
-    score = score_expr(weight, F.lit(opts.base_score))
-    return leads.withColumns({"lead_score": score, "lead_reason": reason_expr(weight)}).withColumn(
-        "confidence_score", confidence_expr(F.col("lead_score"))
-    )
+    return with_confidence(replace_columns(leads, _scores(lambda name: f"{opts.weight(name)!r}D", str(opts.base_score))))
 
 
 def score_under_profiles(leads: DataFrame, profiles: Mapping[str, ScoreOptions]) -> DataFrame:
     """One row per lead and profile, from one pass over the leads."""
-    names = list(K.SCORE_WEIGHTS)
     rows = [
-        F.struct(
-            F.lit(name).alias("profile"),
-            F.lit(opts.base_score).alias("base"),
-            *[F.lit(opts.weight(w)).alias(w) for w in names],
-        )
+        f"named_struct('profile', '{name}', 'base', {opts.base_score}, "
+        + ", ".join(f"'{w}', {opts.weight(w)!r}D" for w in K.SCORE_WEIGHTS)
+        + ")"
         for name, opts in profiles.items()
     ]
-    each = leads.select("*", F.explode(F.array(*rows)).alias("_p"))
-
-    def weight(name: str) -> Column:
-        return F.col(f"_p.{name}")
-
-    return each.withColumns(
-        {
-            "profile": F.col("_p.profile"),
-            "lead_score": score_expr(weight, F.col("_p.base")),
-            "lead_reason": reason_expr(weight),
-        }
-    ).withColumn("confidence_score", confidence_expr(F.col("lead_score"))).drop("_p")
+    each = leads.selectExpr("*", f"explode(array({', '.join(rows)})) AS _p")
+    scored = replace_columns(each, {"profile": "_p.profile", **_scores(lambda name: f"_p.{name}", "_p.base")})
+    return with_confidence(scored).drop("_p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import has_text, strip
+from leadloom.functions.text import has_text, q, strip
 from leadloom.operators.mapping import REASON
 
 # fixed values: names of the run counters, in report order
@@ -18,55 +18,45 @@ COUNTERS = (
 
 
 def _input_counts(tagged: DataFrame) -> DataFrame:
-    # a file whose root holds no records is one reject without a row
     return tagged.agg(
-        F.count("*").alias("input_rows"),
-        F.count_if(F.col(REASON).isNull()).alias("mapped_valid_rows"),
-        F.count_if(F.col(REASON).isNotNull()).alias("rejected_rows"),
+        F.expr("count(*)").alias("input_rows"),
+        F.expr(f"count_if({REASON} IS NULL)").alias("mapped_valid_rows"),
+        F.expr(f"count_if({REASON} IS NOT NULL)").alias("rejected_rows"),
     )
 
 
-def _total(c: Column) -> Column:
-    return F.coalesce(F.sum(c).cast("long"), F.lit(0).cast("long"))
-
-
 def lead_counts(resolved: DataFrame, places_on: bool = True, scoring_on: bool = True) -> DataFrame:
     """Counters over resolved leads, with the phone rate's two sums so that they can be added up further."""
-    stats = F.col("enrichment_history.diagnostics.website")
-    n = F.count("*")
-    zero = F.lit(0).cast("long")
-    moved = has_text(F.col("staged_location")) & ~strip(F.col("staged_location")).eqNullSafe(
-        strip(F.coalesce("before_place_location", F.lit("")))
+    stats = "enrichment_history.diagnostics.website"
+    moved = (
+        f"{has_text('staged_location')} "
+        f"AND NOT {strip('staged_location')} <=> {strip('coalesce(before_place_location, ' + q('') + ')')}"
     )
-    placed = {
-        "google_maps_attempted": n,
-        "google_maps_matched": F.count_if(F.contains(F.coalesce("source", F.lit("")), F.lit("google_maps"))),
-        "google_maps_failed": F.count_if(F.col("google_maps_error").isNotNull()),
-        "google_maps_location_normalized": F.count_if(moved),
+    counters = {
+        "deduped_rows": "count(*)",
+        "enriched_rows": "count(*)",
+        "google_maps_attempted": "count(*)" if places_on else "0",
+        "google_maps_matched": "count_if(contains(coalesce(source, ''), 'google_maps'))" if places_on else "0",
+        "google_maps_failed": "count(google_maps_error)" if places_on else "0",
+        "google_maps_location_normalized": f"count_if({moved})" if places_on else "0",
+        "conflicts_resolved": "sum(ties_resolved)",
+        "replacements_performed": "sum(fields_replaced)",
+        "invalid_candidates": "sum(invalid_candidates)",
+        **{n: f"sum({stats}.{n})" for n in ("schema_contacts_used", "email_disposable_rejected", "multi_page_fetch_success")},
+        "phones_valid": f"sum({stats}.phone_valid_count)",
+        "phones_total": f"sum({stats}.phone_total_candidates)",
+        "scored_rows": "count(*)" if scoring_on else "0",
     }
-    return resolved.agg(
-        n.alias("deduped_rows"),
-        n.alias("enriched_rows"),
-        *[(c if places_on else zero).alias(k) for k, c in placed.items()],
-        _total(F.col("ties_resolved")).alias("conflicts_resolved"),
-        _total(F.col("fields_replaced")).alias("replacements_performed"),
-        _total(F.col("invalid_candidates")).alias("invalid_candidates"),
-        _total(stats["schema_contacts_used"]).alias("schema_contacts_used"),
-        _total(stats["email_disposable_rejected"]).alias("email_disposable_rejected"),
-        _total(stats["multi_page_fetch_success"]).alias("multi_page_fetch_success"),
-        _total(stats["phone_valid_count"]).alias("phones_valid"),
-        _total(stats["phone_total_candidates"]).alias("phones_total"),
-        (n if scoring_on else zero).alias("scored_rows"),
-    )
+    return resolved.agg(*[F.expr(f"CAST(coalesce({x}, 0) AS BIGINT)").alias(n) for n, x in counters.items()])
 
 
-def rate(valid: Column, total: Column) -> Column:
+def rate(valid: str, total: str) -> Column:
     """Share rounded to four decimals, 0 when there is nothing to divide by."""
-    return F.when(total > 0, F.round(valid / total, 4)).otherwise(0.0)
+    return F.expr(f"if({total} > 0, round({valid} / {total}, 4), 0D)")
 
 
 def run_summary(tagged: DataFrame, resolved: DataFrame, places_on: bool = True, scoring_on: bool = True) -> DataFrame:
     """One row with all counters of a run."""
     parts = _input_counts(tagged).unionByName(lead_counts(resolved, places_on, scoring_on), allowMissingColumns=True)
     merged = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
-    return merged.withColumn("phone_e164_valid_rate", rate(F.col("phones_valid"), F.col("phones_total"))).select(*COUNTERS)
+    return merged.withColumn("phone_e164_valid_rate", rate("phones_valid", "phones_total")).select(*COUNTERS)

@@ -64,9 +64,7 @@ def staged_leads(cleaned: DataFrame, snapshots: Snapshots, opts: RunOptions = Ru
     else:
         paged = skip_pages(based)
     placed = enrich_from_places(keep_stage(paged, "site"), snapshots, opts.places)
-    return placed.withColumns(
-        {"before_place_location": F.col("site_location"), "staged_location": F.col("location")}
-    )
+    return placed.selectExpr("*", "site_location AS before_place_location", "location AS staged_location")
 
 
 def finish_leads(staged: DataFrame, opts: RunOptions = RunOptions()) -> DataFrame:

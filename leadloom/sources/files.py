@@ -119,7 +119,7 @@ def read_leads(
         return _from_records(read_json_file(spark, path), mapping, dense_index, "invalid_json_root")
     if kind == "listing":
         listings = read_json_file(spark, path, K.LISTING_LIST_KEYS)
-        leads = listings.withColumn("record", listing_record(F.col("record")))
+        leads = listings.withColumn("record", F.expr(listing_record("record")))
         return _from_records(leads, mapping, dense_index, "invalid_listing_root")
     raise ValueError(f"unsupported input format: {fmt}")
 

@@ -70,7 +70,9 @@ class IncrementalLeads:
         mapping = self.options.mapping
         tagged = tag_rejects(map_columns(raw, mapping), mapping)
         self._write(rejected_rows(tagged), "rejects", batch_id)
-        fresh = clean_leads(tagged, self.options).withColumn("identity", dedup_key(self.options.normalize))
+        fresh = clean_leads(tagged, self.options).withColumn(
+            "identity", F.expr(dedup_key(self.options.normalize))
+        )
         seen = self._earlier("keys", batch_id)
         if seen is not None:
             fresh = fresh.join(seen.select("identity"), "identity", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom import sinks
-from leadloom.constants import CANONICAL_FIELDS, TRACKED_FIELDS
+from leadloom.constants import CANONICAL_FIELDS
 from leadloom.functions import html as H
 from leadloom.functions.contacts import check_email, check_phone
 from leadloom.operators import analytics, dedup, explore, mapping, pages, places, resolve, runs, score, stages, verify
@@ -78,8 +78,8 @@ def offline_leads(spark: SparkSession, sf: str) -> DataFrame:
 
 def gathered_sites(spark: SparkSession, sf: str) -> DataFrame:
     lookup = pages.page_lookup(signals(spark, sf))
-    leads, found = pages.discovery_candidates(clean(spark, sf), view(spark, sf, "search_results"))
-    return pages.with_site(pages.gather_pages(pages.fetch_homepages(leads, lookup, found), lookup))
+    leads = pages.discovery_candidates(clean(spark, sf), view(spark, sf, "search_results"))
+    return pages.with_site(pages.gather_pages(pages.fetch_homepages(leads, lookup), lookup))
 
 
 def located(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,8 +106,9 @@ def alias_mapping(spark, sf):
 
 @query
 def listing_mapping(spark, sf):
-    records = view(spark, sf, "raw_records").select(
-        "row_id", mapping.listing_record(F.try_parse_json("record")).alias("record")
+    parsed = view(spark, sf, "raw_records").select("row_id", F.try_parse_json("record").alias("parsed"))
+    records = parsed.select(
+        "row_id", F.expr(mapping.listing_record("parsed")).alias("record")
     )
     out = mapping.tag_rejects(mapping.map_records(records))
     return out.select("row_id", "company_name", "agent_name", "email", "phone", "location", "source", mapping.REASON)
@@ -141,8 +142,7 @@ def dedup_leads(spark, sf):
 
 @query
 def dedup_leads_batch(spark, sf):
-    batch = dedup.batch_of(F.col("row_id"), 100).alias("batch_id")
-    return dedup.dedup_leads(normalized(spark, sf), scope=[batch]).select("row_id", "company_name", "website", "email")
+    return dedup.dedup_leads(normalized(spark, sf), scope=[dedup.batch_of("row_id", 100)]).select("row_id", "company_name", "website", "email")
 
 
 # --- pages ---------------------------------------------------------------------------------
@@ -161,11 +161,9 @@ def page_contacts(spark, sf):
 
 @query
 def text_contacts(spark, sf):
-    docs = view(spark, sf, "documents").select("doc_id", H.visible_text(H.without_code(F.col("text"))).alias("text"))
-    text = F.col("text")
-    return docs.select(
-        "doc_id", joined(H.value_set(H.text_emails(text))).alias("emails"), joined(H.value_set(H.text_phones(text))).alias("phones")
-    )
+    docs = view(spark, sf, "documents").selectExpr("doc_id", f"{H.visible_text(H.without_code('text'))} AS text")
+    emails, phones = H.value_set(H.text_emails("text")), H.value_set(H.text_phones("text"))
+    return docs.selectExpr("doc_id", f"array_join({emails}, '|') AS emails", f"array_join({phones}, '|') AS phones")
 
 
 @query
@@ -259,16 +257,16 @@ def unmatched_leads(spark, sf):
 @query
 def field_candidates(spark, sf):
     staged = staged_leads(clean(spark, sf), snapshots(spark, sf), FULL)
-    found = resolve.with_candidates(staged, F.lit(None).cast("timestamp"))
-    each = found.select("row_id", F.inline(F.concat(*[F.col(f"cand_{f}") for f in TRACKED_FIELDS])))
+    found = resolve.with_candidates(staged)
+    each = found.selectExpr("row_id", "inline(flatten(transform(candidates, c -> c.list)))")
     return each.select("row_id", "field", "source", "value", "validated", "confidence", "validation_reason")
 
 
 @query
 def field_resolution(spark, sf):
     staged = staged_leads(clean(spark, sf), snapshots(spark, sf), FULL)
-    decided = resolve.with_decisions(resolve.with_candidates(staged, F.lit(None).cast("timestamp")))
-    each = decided.select("row_id", F.inline(F.array(*[F.col(f"dec_{f}") for f in TRACKED_FIELDS])))
+    decided = resolve.with_decisions(resolve.with_candidates(staged))
+    each = decided.selectExpr("row_id", "inline(decisions)")
     return each.select("row_id", "field", "chosen_source", "chosen_value", "tie_break_applied", "tie_break_reason",
                        "decision_reason", F.size("alternatives").alias("alternatives"))
 
@@ -276,7 +274,7 @@ def field_resolution(spark, sf):
 @query
 def verify_email(spark, sf):
     each = mapping.map_columns(view(spark, sf, "leads_raw").withColumnRenamed("row_index", "row_id"))
-    return each.select("row_id", check_email(F.col("email")).alias("e")).select(
+    return each.selectExpr("row_id", f"{check_email('email')} AS e").select(
         "row_id", "e.value", "e.valid", "e.reason", "e.is_disposable", "e.quality", "e.is_role_based"
     )
 
@@ -284,7 +282,7 @@ def verify_email(spark, sf):
 @query
 def verify_phone(spark, sf):
     each = mapping.map_columns(view(spark, sf, "leads_raw").withColumnRenamed("row_index", "row_id"))
-    return each.select("row_id", check_phone(F.col("phone")).alias("p")).select(
+    return each.selectExpr("row_id", f"{check_phone('phone')} AS p").select(
         "row_id", "p.value", "p.valid", "p.reason"
     )
 
@@ -390,7 +388,7 @@ def runs_search(spark, sf):
 @query
 def lead_upsert(spark, sf):
     written = view(spark, sf, "run_batches")
-    order = F.struct("written_at", "seq1", "seq2", "end_row", "status")
+    order = "struct(written_at, seq1, seq2, end_row, status)"
     return dedup.latest_per_key(written, ["job_id", "batch_index"], order).select(
         "job_id", "batch_index", "end_row", "status", "processed_rows"
     )
