@@ -25,8 +25,8 @@ def score_histogram(leads: DataFrame) -> DataFrame:
     """Count per score bucket; empty buckets are kept."""
     buckets = list(enumerate(K.SCORE_BUCKETS))
     counts = leads.agg(*[F.expr(f"count_if({SCORE} BETWEEN {lo} AND {hi})").alias(f"b{i}") for i, (_, lo, hi) in buckets])
-    rows = ", ".join(f"struct({q(label)}, {lo}, {hi}, b{i})" for i, (label, lo, hi) in buckets)
-    return counts.selectExpr(f"inline(array({rows})) AS (bucket, lo, hi, leads)")
+    rows = ", ".join(f"{q(label)}, {lo}, {hi}, b{i}" for i, (label, lo, hi) in buckets)
+    return counts.selectExpr(f"stack({len(buckets)}, {rows}) AS (bucket, lo, hi, leads)")
 
 
 def signal_splits(leads: DataFrame) -> DataFrame:
@@ -51,8 +51,8 @@ def missing_fields(leads: DataFrame) -> DataFrame:
         F.expr("count(*)").alias("n"),
         *[F.expr(f"count_if({f} IS NULL OR CAST({f} AS STRING) = '')").alias(f) for _, f in fields],
     ).where("n > 0")
-    rows = ", ".join(f"struct('{f}', {f}, {i})" for i, f in fields)
-    each = counts.selectExpr("n", f"inline(array({rows})) AS (field, missing, pos)")
+    rows = ", ".join(f"'{f}', {f}, {i}" for i, f in fields)
+    each = counts.selectExpr("n", f"stack({len(fields)}, {rows}) AS (field, missing, pos)")
     return each.selectExpr("field", f"{half_up('missing / n * 100')} AS pct", "missing", "pos").orderBy(
         F.desc("pct"), "pos"
     ).drop("pos")

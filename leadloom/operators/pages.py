@@ -74,9 +74,14 @@ _LOOKUP_FIELDS = ("ok", "error", "elapsed_ms", "html_chars", "emails", "phones",
 
 
 def page_lookup(signals: DataFrame) -> DataFrame:
-    """(page_key, page): one page per key; of several copies a good one, then the first by URL."""
+    """(page_key, page): one page per key; of several copies a good one, then the first by URL.
+
+    Copies under one URL are told apart by what was found on them, so the choice never depends on
+    the order in which they are read.
+    """
     keyed = signals.where("page_key IS NOT NULL").select("page_key", "url", *_LOOKUP_FIELDS)
-    best = first_per_key(keyed, ["page_key"], "struct(NOT ok, url)")
+    rest = ", ".join(f for f in _LOOKUP_FIELDS if f not in ("ok", "error"))
+    best = first_per_key(keyed, ["page_key"], f"struct(NOT ok, url, {rest})")
     return best.select("page_key", F.struct(*_LOOKUP_FIELDS).alias("page"))
 
 

@@ -430,6 +430,14 @@ def recent_runs_kpi(spark, sf):
     return analytics.kpis(runs.recent_leads(leads, all_runs, last=100))
 
 
+def land_in_order(raw: DataFrame, landing: str, files: int) -> str:
+    """Write `raw` as files that arrive one after the other in row order."""
+    size = -(-(raw.agg(F.max("row_id")).first()[0] + 1) // files)
+    for part in range(files):
+        raw.where(f"{dedup.batch_of('row_id', size)} = {part}").coalesce(1).write.mode("append").parquet(landing)
+    return landing
+
+
 # --- incremental ------------------------------------------------------------------------------------
 
 
@@ -437,8 +445,7 @@ def recent_runs_kpi(spark, sf):
 def incremental_leads(spark, sf):
     """Lands the raw leads as files, processes them file by file, and reads what was stored."""
     raw = view(spark, sf, "leads_raw").withColumnRenamed("row_index", "row_id")
-    landing = stages.new_path(spark, "landing")
-    raw.repartitionByRange(4, "row_id").write.parquet(landing)
+    landing = land_in_order(raw, stages.new_path(spark, "landing"), files=3)
     flow = IncrementalLeads(spark, stages.new_path(spark, "incremental"), OFFLINE)
     flow.process(landing, raw.schema)
     return flow.stored().select("row_id", "company_name", "website", "email", "contact_quality", "lead_score")
