@@ -58,6 +58,8 @@ FRESHNESS_PATTERNS = (
     r"datepublished|datemodified",
     r"<time[^>]+datetime=",
 )
+# every pattern above contains one of these
+FRESHNESS_WORDS = ("updated", "modified", "revised", "edited", "datepublished", "<time")
 FRESHNESS_MIN_CHARS = 200
 
 # --- fixed values: links worth following for contacts, hosts never taken as a company site ---

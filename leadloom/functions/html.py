@@ -12,11 +12,9 @@ from collections.abc import Sequence
 from leadloom import constants as K
 from leadloom.functions.text import NO_STRINGS, let, q, squash, strip
 
-COMMENT = r"(?s)<!--.*?-->"
-SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
-STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-TEMPLATE = r"(?is)<template\b[^>]*>.*?</template\s*>"
-TAG = r"<[!/?A-Za-z][^>]*>"
+# whichever opens first wins, as in a parser: one pass over the page
+CODE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+TEMPLATE_OR_TAG = r"(?is)<template\b[^>]*>.*?</template\s*>|<[!/?a-z][^>]*>"
 HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 JSONLD = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
 # fixed values: named entities decoded in text; "amp" goes last
@@ -29,15 +27,13 @@ def find_all(x: str, pattern: str, group: int = 0) -> str:
 
 def without_code(html: str) -> str:
     """Html without comments, scripts and styles: what is left holds the real anchors and text."""
-    for pattern in (COMMENT, SCRIPT, STYLE):
-        html = f"regexp_replace({html}, {q(pattern)}, ' ')"
-    return html
+    return f"regexp_replace({html}, {q(CODE)}, ' ')"
 
 
 def visible_text(markup: str) -> str:
     """Text of html that went through `without_code`."""
-    bare = f"regexp_replace(regexp_replace({markup}, {q(TEMPLATE)}, ' '), {q(TAG)}, ' ')"
-    return squash(f"translate({decode_entities(bare)}, '\u00a0', ' ')")
+    bare = f"regexp_replace({markup}, {q(TEMPLATE_OR_TAG)}, ' ')"
+    return squash(f"replace({decode_entities(bare)}, '\u00a0', ' ')")
 
 
 def decode_entities(x: str) -> str:
@@ -107,7 +103,8 @@ def _objects(items: str) -> str:
 
 def jsonld_objects(html: str) -> str:
     """Objects of all valid JSON-LD blocks, each followed by its contact points."""
-    parsed = f"filter(transform({find_all(html, JSONLD, 1)}, jb -> try_parse_json({strip('jb')})), jp -> jp IS NOT NULL)"
+    blocks = f"if(contains(lower({html}), 'ld+json'), {find_all(html, JSONLD, 1)}, {NO_STRINGS})"
+    parsed = f"filter(transform({blocks}, jb -> try_parse_json({strip('jb')})), jp -> jp IS NOT NULL)"
     roots = f"flatten(transform({parsed}, jp -> {_as_items('jp')}))"
     points = let(
         "cp", "try_variant_get(jo, '$.contactPoint', 'variant')",
@@ -176,7 +173,9 @@ def chat_signal(html_lower: str, keywords: Sequence[str] = K.CHAT_KEYWORDS) -> s
 
 
 def fresh_wording(html_lower: str) -> str:
-    return f"{html_lower} RLIKE {q('|'.join(f'({p})' for p in K.FRESHNESS_PATTERNS))}"
+    """The patterns are tried only on pages that hold one of the words they all need."""
+    possible = " OR ".join(f"contains({html_lower}, {q(w)})" for w in K.FRESHNESS_WORDS)
+    return f"(({possible}) AND {html_lower} RLIKE {q('|'.join(f'({p})' for p in K.FRESHNESS_PATTERNS))})"
 
 
 def fresh_signal(wording: str, updated: str, length: str) -> str:

@@ -27,7 +27,7 @@ def blank_to_null(x: str) -> str:
 
 def squash(x: str) -> str:
     """Strip and collapse inner whitespace runs to one blank."""
-    return f"regexp_replace({strip(x)}, {q(r'\s+')}, ' ')"
+    return f"regexp_replace({strip(x)}, {q(r'\s\s+|[\t\n\x0B\f\r]')}, ' ')"
 
 
 def has_text(x: str) -> str:

@@ -17,7 +17,7 @@ HOT_KEY_SALTS = 16
 
 
 def lookup_left(left: DataFrame, table: DataFrame, on: str, row_id: str = "row_id", salts: int = 1) -> DataFrame:
-    own_key = f"coalesce({on}, concat('\u0000', CAST({row_id} AS STRING))) AS _probe"
+    own_key = f"coalesce({on}, concat('\u0001', CAST({row_id} AS STRING))) AS _probe"
     answers = table.withColumnRenamed(on, "_probe")
     if salts <= 1:
         return left.selectExpr("*", own_key).join(answers, "_probe", "left").drop("_probe")

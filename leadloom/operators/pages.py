@@ -5,6 +5,8 @@ Html is read once, turned into a narrow row of signals per page, and never shuff
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from leadloom.functions.text import NO_TEXT, has_text, let, struct
 from leadloom.operators.dedup import first_per_key
 from leadloom.operators.lookup import HOT_KEY_SALTS, lookup_left
 from leadloom.operators.normalize import replace_columns
+from leadloom.operators.stages import in_plan
 from leadloom.settings import PageOptions
 
 NOT_IN_SNAPSHOT = "not_in_snapshot"
@@ -254,11 +257,15 @@ def enrich_from_pages(
     search_results: DataFrame | None = None,
     opts: PageOptions = PageOptions(),
     phone_region: str = K.DEFAULT_PHONE_REGION,
+    keep: Callable[[DataFrame, str], DataFrame] = in_plan,
 ) -> DataFrame:
-    """Fill contacts and signals of each lead from its homepage and contact pages (see `page_lookup`)."""
+    """Fill contacts and signals of each lead from its homepage and contact pages (see `page_lookup`).
+
+    With `keep=stage_table` the homepages, which are read twice, are written once.
+    """
     if not opts.enabled:
         return skip_pages(leads)
-    homes = fetch_homepages(discovery_candidates(leads, search_results, opts), lookup, opts.discover)
+    homes = keep(fetch_homepages(discovery_candidates(leads, search_results, opts), lookup, opts.discover), "homes")
     return replace_columns(
         with_site(gather_pages(homes, lookup), phone_region),
         {

@@ -8,14 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+OWN_SETTING = "leadloom.stage.dir"  # used where the session names no folder
 
 
 def stage_folder(spark: SparkSession) -> str:
     """Shared folder the cluster names; a temporary one only where none is set."""
-    folder = spark.conf.get(SETTING, None)
+    folder = spark.conf.get(SETTING, None) or spark.conf.get(OWN_SETTING, None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="leadloom-")
-        spark.conf.set(SETTING, folder)
+        spark.conf.set(OWN_SETTING, folder)
     return folder.rstrip("/")
 
 
@@ -23,6 +24,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def in_plan(df: DataFrame, name: str) -> DataFrame:
+    """The alternative to `stage_table`: go on with the plan as it is."""
+    return df
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as parquet and read it back: survives lost executors and prunes columns when re-read."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from leadloom.operators.pages import enrich_from_pages, page_lookup, page_signal
 from leadloom.operators.places import enrich_from_places
 from leadloom.operators.resolve import keep_stage, resolve_leads
 from leadloom.operators.score import score_leads
-from leadloom.operators.stages import stage_table
+from leadloom.operators.stages import in_plan, stage_table
 from leadloom.operators.summary import run_summary
 from leadloom.operators.verify import verify_leads
 from leadloom.settings import RunOptions
@@ -54,12 +54,12 @@ def clean_leads(tagged: DataFrame, opts: RunOptions = RunOptions()) -> DataFrame
 
 def staged_leads(cleaned: DataFrame, snapshots: Snapshots, opts: RunOptions = RunOptions()) -> DataFrame:
     """Leads after the page and the place stage, with the values each stage started from."""
-    keep = stage_table if opts.stage_tables else (lambda df, _: df)
+    keep = stage_table if opts.stage_tables else in_plan
     based = keep_stage(keep(cleaned, "clean"), "base")
     if opts.pages.enabled and snapshots.site_pages is not None:
         lookup = keep(page_lookup(page_signals(snapshots.site_pages, opts.pages)), "page-lookup")
         paged = keep(
-            enrich_from_pages(based, lookup, snapshots.search_results, opts.pages, opts.phone_region), "paged"
+            enrich_from_pages(based, lookup, snapshots.search_results, opts.pages, opts.phone_region, keep), "paged"
         )
     else:
         paged = skip_pages(based)

@@ -77,9 +77,10 @@ def offline_leads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gathered_sites(spark: SparkSession, sf: str) -> DataFrame:
-    lookup = pages.page_lookup(signals(spark, sf))
+    lookup = stages.stage_table(pages.page_lookup(signals(spark, sf)), "page-lookup")
     leads = pages.discovery_candidates(clean(spark, sf), view(spark, sf, "search_results"))
-    return pages.with_site(pages.gather_pages(pages.fetch_homepages(leads, lookup), lookup))
+    homes = stages.stage_table(pages.fetch_homepages(leads, lookup), "homes")
+    return pages.with_site(pages.gather_pages(homes, lookup))
 
 
 def located(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,8 +212,8 @@ def lead_page_contacts(spark, sf):
 
 @query
 def page_enriched(spark, sf):
-    lookup = pages.page_lookup(signals(spark, sf))
-    out = pages.enrich_from_pages(clean(spark, sf), lookup, view(spark, sf, "search_results"))
+    lookup = stages.stage_table(pages.page_lookup(signals(spark, sf)), "page-lookup")
+    out = pages.enrich_from_pages(clean(spark, sf), lookup, view(spark, sf, "search_results"), keep=stages.stage_table)
     return out.select("row_id", "website", "email", "phone", "has_chatbot", "last_updated_signal",
                       "website_speed_score", "enrichment_error")
 
