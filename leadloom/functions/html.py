@@ -13,8 +13,8 @@ from leadloom import constants as K
 from leadloom.functions.text import NO_STRINGS, let, q, squash, strip
 
 # whichever opens first wins, as in a parser: one pass over the page
-CODE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-TEMPLATE_OR_TAG = r"(?is)<template\b[^>]*>.*?</template\s*>|<[!/?a-z][^>]*>"
+CODE = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
+TEMPLATE_OR_TAG = r"(?is)<(?:template\b[^>]*>.*?</template\s*>|[!/?a-z][^>]*>)"
 HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 JSONLD = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
 # fixed values: named entities decoded in text; "amp" goes last
@@ -41,7 +41,8 @@ def decode_entities(x: str) -> str:
     for name, char in NAMED_ENTITIES:
         named = f"replace({named}, '&{name};', {q(char)})"
     numeric = let("dn", named, f"if(contains(dn, '&#'), {_decode_numeric('dn')}, dn)")
-    return let("de", x, f"if(contains(de, '&'), replace({numeric}, '&amp;', '&'), de)")
+    other = "&(?:#|" + "|".join(name for name, _ in NAMED_ENTITIES) + ")"  # most pages hold no other than "&amp;"
+    return let("de", x, f"replace(if(de RLIKE {q(other)}, {numeric}, de), '&amp;', '&')")
 
 
 def _decode_numeric(x: str) -> str:

@@ -66,6 +66,16 @@ def source_mix(leads: DataFrame) -> DataFrame:
     return leads.groupBy(F.expr(kind).alias("source_kind")).agg(F.count("*").alias("leads"))
 
 
+def diagnostics(leads: DataFrame) -> DataFrame:
+    """One row: leads whose page or place stage failed, and the share with a place in percent."""
+    placed = half_up("count_if(contains(coalesce(source, ''), 'google_maps')) / nullif(count(*), 0) * 100")
+    return leads.agg(
+        F.count("enrichment_error").alias("page_errors"),
+        F.count("google_maps_error").alias("place_errors"),
+        F.expr(f"coalesce({placed}, 0)").alias("place_match_rate"),
+    )
+
+
 def reject_reasons(rejected: DataFrame, top: int = 10) -> DataFrame:
     """Most frequent reject reasons."""
     counts = rejected.groupBy("reason").agg(F.count("*").alias("rejected"))

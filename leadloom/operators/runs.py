@@ -88,6 +88,11 @@ def in_index_order(batches: DataFrame) -> DataFrame:
     return batches.orderBy("job_id", "batch_index")
 
 
+def of_run(df: DataFrame, job_id: str) -> DataFrame:
+    """Rows of one run; on a table partitioned by job_id only that run's files are read."""
+    return df.where(F.col("job_id") == job_id)
+
+
 def recent_leads(leads: DataFrame, runs: DataFrame, last: int = 10) -> DataFrame:
     """Leads of the newest completed runs: top-N runs, then a semi-join."""
     scope = newest_first(filter_runs(runs, "completed")).limit(max(1, min(MAX_PAGE, last))).select("job_id")

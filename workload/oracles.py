@@ -462,6 +462,8 @@ ORACLES["signal_splits"] = """SELECT 'quality' AS signal, contact_quality AS nam
 UNION ALL SELECT 'chatbot', CASE WHEN has_chatbot THEN 'has chatbot' WHEN NOT has_chatbot THEN 'no chatbot' ELSE 'unknown' END, count(*) FROM final GROUP BY 2
 UNION ALL SELECT 'freshness', coalesce(last_updated_signal, 'unknown'), count(*) FROM final GROUP BY 2"""
 ORACLES["source_mix"] = """SELECT CASE WHEN source = 'google_maps' THEN 'google_maps' WHEN contains(source, 'google_maps') THEN 'mixed' ELSE 'input' END AS source_kind, count(*) AS leads FROM final GROUP BY 1"""
+ORACLES["run_diagnostics"] = f"""SELECT count(enrichment_error) AS page_errors, 0 AS place_errors,
+  {half_up("count(*) FILTER (WHERE contains(source, 'google_maps')) / count(*) * 100")} AS place_match_rate FROM final"""
 ORACLES["run_summary"] = """SELECT (SELECT count(*) FROM checked) AS input_rows, (SELECT count(*) FROM norm) AS mapped_valid_rows,
   (SELECT count(*) FROM checked WHERE reject_reason IS NOT NULL) AS rejected_rows, count(*) AS deduped_rows, count(*) AS enriched_rows, count(*) AS google_maps_attempted,
   count(*) FILTER (WHERE contains(source, 'google_maps')) AS google_maps_matched, 0 AS google_maps_failed,

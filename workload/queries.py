@@ -367,6 +367,11 @@ def source_mix(spark, sf):
     return analytics.source_mix(full_run(spark, sf).leads)
 
 
+@query
+def run_diagnostics(spark, sf):
+    return analytics.diagnostics(full_run(spark, sf).leads)
+
+
 # --- runs and batches ----------------------------------------------------------------------------
 
 

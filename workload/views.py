@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+from leadloom.sources.tables import spread
+
+TEXT_TABLES = ("documents", "pages")
 BASE_TABLES = ("region", "nation", "customer", "orders", "lineitem", "documents", "pages")
 
 _TEXT = "VARCHAR(20)"
@@ -153,9 +156,17 @@ def with_prefix(sql: str, available: dict[str, str]) -> str:
     return ("WITH " + ",\n".join(f"{n} AS ({available[n].strip()})" for n in names) + "\n" if names else "") + sql
 
 
+_ANALYSED: dict[tuple[str, str, str], object] = {}
+
+
 def view(spark, sf_dir: str, name: str):
-    """One view (or given table) as a Spark DataFrame."""
-    for table in BASE_TABLES:
-        if re.search(rf"\b{table}\b", with_prefix(f"SELECT * FROM {name}", VIEWS)):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(with_prefix(f"SELECT * FROM {name}", VIEWS))
+    """One view (or given table) as a lazy Spark DataFrame; its analysed plan is kept for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _ANALYSED:
+        sql = with_prefix(f"SELECT * FROM {name}", VIEWS)
+        for table in BASE_TABLES:
+            if re.search(rf"\b{table}\b", sql):
+                df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+                (spread(df) if table in TEXT_TABLES else df).createOrReplaceTempView(table)
+        _ANALYSED[key] = spark.sql(sql)
+    return _ANALYSED[key]
