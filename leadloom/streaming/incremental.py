@@ -1,9 +1,12 @@
 """Leads processed as files arrive, each batch stored when it is done.
 
 A batch is a Structured Streaming micro-batch. Its output partition carries the batch id, so a
-batch that is replayed after a failure rewrites exactly its own rows. Identities seen in earlier
-batches are dropped by an anti-join with the stored keys, so the stored table has no duplicates
-across batches either.
+batch that is replayed after a failure rewrites exactly its own rows. Identities stored by other
+finished batches are dropped, so the stored table has no duplicates across batches either.
+
+Looking up known identities reads one column of the key table per batch and shuffles none of it
+while the batch's own identities are small enough for Spark to broadcast; take large batches
+(`files_per_batch`) where the history is long.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 
 from leadloom.operators.dedup import dedup_key
 from leadloom.operators.mapping import map_columns, rejected_rows, tag_rejects
+from leadloom.operators.stages import stage_table
 from leadloom.plans.lead_run import LEAD_COLUMNS, clean_leads, finish_leads, staged_leads
 from leadloom.settings import RunOptions
 from leadloom.sinks import write_leads_table
@@ -24,7 +28,8 @@ FAILED = "failed"
 
 
 class IncrementalLeads:
-    """Tables under `folder`: leads, keys, rejects and batches, each partitioned by batch_id."""
+    """Tables under `folder`, each partitioned by batch_id: leads, keys, rejects, batches, and the raw
+    rows of failed batches."""
 
     def __init__(
         self,
@@ -56,10 +61,20 @@ class IncrementalLeads:
         )
         query.awaitTermination()
 
+    def retry_failed(self) -> None:
+        """Process the batches again that were passed over with `stop_on_error=False`."""
+        if not self._exists("batches"):
+            return
+        for row in self.batches().where(F.col("state") == FAILED).orderBy("batch_id").collect():
+            raw = self._read("failed").where(F.col("batch_id") == row["batch_id"]).drop("batch_id")
+            self._batch(raw, row["batch_id"])
+
     def _batch(self, raw: DataFrame, batch_id: int) -> None:
         try:
             self._store(raw, batch_id)
         except Exception as error:
+            if not self.stop_on_error:
+                self._write(stage_table(raw, "failed-batch"), "failed", batch_id)
             self._note(batch_id, FAILED, str(error)[:1000])
             if self.stop_on_error:
                 raise
@@ -70,50 +85,52 @@ class IncrementalLeads:
         mapping = self.options.mapping
         tagged = tag_rejects(map_columns(raw, mapping), mapping)
         self._write(rejected_rows(tagged), "rejects", batch_id)
-        fresh = clean_leads(tagged, self.options).withColumn(
-            "identity", F.expr(dedup_key(self.options.normalize))
-        )
-        seen = self._earlier("keys", batch_id)
-        if seen is not None:
-            fresh = fresh.join(seen.select("identity"), "identity", "left_anti")
-        # stored before enrichment changes the fields the identity is made of
-        self._write(fresh, "clean", batch_id)
-        stored = self._read("clean").where(F.col("batch_id") == batch_id).drop("batch_id")
-        self._write(stored.select("row_id", "identity"), "keys", batch_id)
-        staged = staged_leads(stored.drop("identity"), self.snapshots, self.options)
+        first = clean_leads(tagged, self.options).withColumn("identity", F.expr(dedup_key(self.options.normalize)))
+        # written before enrichment changes the fields the identity is made of
+        fresh = stage_table(self._unknown(stage_table(first, "batch"), batch_id), "fresh")
+        self._write(fresh.select("row_id", "identity"), "keys", batch_id)
+        staged = staged_leads(fresh.drop("identity"), self.snapshots, self.options)
         self._write(finish_leads(staged, self.options).select(*LEAD_COLUMNS), "leads", batch_id)
 
+    def _unknown(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Leads of the batch whose identity no other finished batch holds."""
+        if not self._exists("keys"):
+            return batch
+        known = self._finished("keys").where(F.col("batch_id") != batch_id).select("identity")
+        met = known.join(batch.select("identity"), "identity", "left_semi")
+        return batch.join(met, "identity", "left_anti")
+
+    def _finished(self, name: str) -> DataFrame:
+        """Rows of finished batches: what a failed batch left behind does not count."""
+        if not self._exists("batches"):
+            return self._read(name).where("false")
+        done = self._read("batches").where(F.col("state") == DONE).select("batch_id")
+        return self._read(name).join(done, "batch_id", "left_semi")
+
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
         write_leads_table(df.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{self.folder}/{name}", ("batch_id",))
 
     def _note(self, batch_id: int, state: str, error: str | None) -> None:
         row = self.spark.range(1).select(
-            F.lit(batch_id).cast("long").alias("batch_id"), F.lit(state).alias("state"),
-            F.lit(error).cast("string").alias("error"),
+            F.lit(state).alias("state"), F.lit(error).cast("string").alias("error")
         )
-        write_leads_table(row, f"{self.folder}/batches", ("batch_id",))
+        self._write(row, "batches", batch_id)
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{self.folder}/{name}")
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return files.exists(path) and bool(files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "batch_id=*")))
-
-    def _earlier(self, name: str, batch_id: int) -> DataFrame | None:
-        """Rows of earlier batches only, so that a replay does not meet its own first attempt."""
-        return self._read(name).where(F.col("batch_id") < batch_id) if self._exists(name) else None
+        return files.exists(path) and bool(files.globStatus(hadoop.Path(path, "batch_id=*")))
 
     def stored(self) -> DataFrame:
-        return self._read("leads")
+        return self._finished("leads")
 
     def rejects(self) -> DataFrame:
-        return self._read("rejects")
+        return self._finished("rejects")
 
     def batches(self) -> DataFrame:
-        """State of every batch that was tried; a run with failed batches shows them here."""
+        """State of every batch that was tried; failed ones stay visible here."""
         return self._read("batches")
-
-
-__all__ = ["DONE", "FAILED", "IncrementalLeads"]

@@ -55,3 +55,10 @@ def test_going_on_after_an_error_reports_it(spark, tmp_path, landed):
     flow.process(landing, raw.schema)
     bad = [r for r in flow.batches().collect() if r["state"] == FAILED]
     assert [r["batch_id"] for r in bad] == [1] and "lost" in bad[0]["error"]
+    assert {r["batch_id"] for r in flow.stored().select("batch_id").distinct().collect()} == {0, 2}
+    # what the failed batch left behind is ignored, and a retry completes the table without duplicates
+    flow.broken = set()
+    flow.retry_failed()
+    assert {r["state"] for r in flow.batches().collect()} == {"done"}
+    identities = flow._finished("keys").select("identity")
+    assert identities.count() == identities.distinct().count() == flow.stored().count()
