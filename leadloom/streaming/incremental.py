@@ -4,7 +4,7 @@ A batch is a Structured Streaming micro-batch. Its output partition carries the
 batch that is replayed after a failure rewrites exactly its own rows. Identities stored by other
 finished batches are dropped, so the stored table has no duplicates across batches either.
 
-Looking up known identities reads one column of the key table per batch and shuffles none of it
+Looking up known identities reads one column of the clean leads per batch and shuffles none of it
 while the batch's own identities are small enough for Spark to broadcast; take large batches
 (`files_per_batch`) where the history is long.
 """
@@ -28,8 +28,8 @@ FAILED = "failed"
 
 
 class IncrementalLeads:
-    """Tables under `folder`, each partitioned by batch_id: leads, keys, rejects, batches, and the raw
-    rows of failed batches."""
+    """Tables under `folder`, each partitioned by batch_id: clean leads with their identity, final leads,
+    rejects, batches, and the raw rows of failed batches."""
 
     def __init__(
         self,
@@ -87,16 +87,17 @@ class IncrementalLeads:
         self._write(rejected_rows(tagged), "rejects", batch_id)
         first = clean_leads(tagged, self.options).withColumn("identity", F.expr(dedup_key(self.options.normalize)))
         # written before enrichment changes the fields the identity is made of
-        fresh = stage_table(self._unknown(stage_table(first, "batch"), batch_id), "fresh")
-        self._write(fresh.select("row_id", "identity"), "keys", batch_id)
-        staged = staged_leads(fresh.drop("identity"), self.snapshots, self.options)
+        self._write(self._unknown(first, batch_id), "clean", batch_id)
+        fresh = self._read("clean").where(F.col("batch_id") == batch_id).drop("batch_id", "identity")
+        staged = staged_leads(fresh, self.snapshots, self.options)
         self._write(finish_leads(staged, self.options).select(*LEAD_COLUMNS), "leads", batch_id)
 
     def _unknown(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Leads of the batch whose identity no other finished batch holds."""
-        if not self._exists("keys"):
+        if not self._exists("clean"):
             return batch
-        known = self._finished("keys").where(F.col("batch_id") != batch_id).select("identity")
+        batch = stage_table(batch, "batch")
+        known = self._finished("clean").where(F.col("batch_id") != batch_id).select("identity")
         met = known.join(batch.select("identity"), "identity", "left_semi")
         return batch.join(met, "identity", "left_anti")
 

@@ -60,5 +60,5 @@ def test_going_on_after_an_error_reports_it(spark, tmp_path, landed):
     flow.broken = set()
     flow.retry_failed()
     assert {r["state"] for r in flow.batches().collect()} == {"done"}
-    identities = flow._finished("keys").select("identity")
+    identities = flow._finished("clean").select("identity")
     assert identities.count() == identities.distinct().count() == flow.stored().count()
