@@ -155,3 +155,12 @@ def test_website_key_options(spark):
 def test_variant_key_clash_takes_last_name(spark):
     df = spark.sql("""SELECT 0 AS row_id, parse_json('{"Company":"big","company":"small"}') AS record""")
     assert map_records(df).first()["company_name"] == "small"
+
+
+def test_dense_index_over_many_files(spark, tmp_path):
+    for f in range(4):
+        put(tmp_path, f"part-{f}.jsonl", "\n".join(json.dumps({"company": f"{f}-{i}"}) for i in range(5)))
+    rows = read_leads(spark, str(tmp_path), "jsonl", dense_index=True).orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(20))
+    by_file = [[r["company_name"] for r in rows if r["company_name"].startswith(f"{f}-")] for f in range(4)]
+    assert by_file == [[f"{f}-{i}" for i in range(5)] for f in range(4)]

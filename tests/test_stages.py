@@ -235,3 +235,31 @@ def test_scoring_off_keeps_mapped_values(spark):
     opts = RunOptions(pages=PageOptions(enabled=False), places=PlaceOptions(enabled=False), score=ScoreOptions(enabled=False))
     row = run_leads(t, opts=opts).leads.first()
     assert (row["lead_score"], row["lead_reason"], row["contact_quality"]) == (77, "given", "low")
+
+
+def test_lookup_with_hot_and_missing_keys(spark):
+    from leadloom.operators.lookup import lookup_left
+
+    keys = ["hot"] * 60 + [None] * 30 + ["a", "b", "absent"]
+    left = spark.createDataFrame(list(enumerate(keys)), "row_id bigint, k string")
+    table = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3), ("unasked", 4)], "k string, v int")
+    want = {i: {"hot": 1, "a": 2, "b": 3}.get(k) for i, k in enumerate(keys)}
+    for salts in (1, 16):
+        out = lookup_left(left, table, "k", salts=salts)
+        assert out.columns == ["row_id", "k", "v"]
+        assert {r["row_id"]: r["v"] for r in out.collect()} == want
+
+
+def test_hot_company_and_copied_pages(spark):
+    """A third of all leads under one name and location, and many copies of one page, still give one row per lead."""
+    geo = [("George", 1, "George, South Africa")]
+    s = snapshots(spark, [("acme homes george, south africa", 1, "p1", "Acme Homes", "George, South Africa")], geo=geo)
+    many = [{"company_name": "Acme Homes", "location": "George", "website": f"s{i}.com"} for i in range(100)]
+    others = [{"company_name": f"Other {i}", "website": f"o{i}.com"} for i in range(200)]
+    out = enrich_from_places(leads(spark, *many, *others), s)
+    assert out.count() == 300 and out.where("place_website IS NOT NULL").count() == 100
+    copies = [("https://www.s1.com/", 200, 10, f"mail{i}@s1.com") for i in range(50)] + [("http://s1.com", 500, 1, "")]
+    lookup = page_lookup(page_signals(spark.createDataFrame(copies, PAGE_SCHEMA)))
+    assert lookup.count() == 1
+    first = enrich_from_pages(leads(spark, *many), lookup.repartition(7), None).where("website = 's1.com'").first()
+    assert first["email"] == "mail0@s1.com"
