@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 
 from leadloom import constants as K
-from leadloom.functions.text import has_text, strip
+from leadloom.functions.text import has_text, q, strip
 from leadloom.operators.normalize import replace_columns
 from leadloom.settings import ScoreOptions
 
@@ -105,7 +105,7 @@ def score_leads(leads: DataFrame, opts: ScoreOptions = ScoreOptions()) -> DataFr
 def score_under_profiles(leads: DataFrame, profiles: Mapping[str, ScoreOptions]) -> DataFrame:
     """One row per lead and profile, from one pass over the leads."""
     rows = [
-        f"named_struct('profile', '{name}', 'base', {opts.base_score}, "
+        f"named_struct('profile', {q(name)}, 'base', {opts.base_score}, "
         + ", ".join(f"'{w}', {opts.weight(w)!r}D" for w in K.SCORE_WEIGHTS)
         + ")"
         for name, opts in profiles.items()

@@ -48,7 +48,7 @@ class IncrementalLeads:
     def process(self, landing: str, schema: T.StructType, files_per_batch: int = 1, fmt: str = "parquet") -> None:
         """Work off everything that has landed and not been processed yet, then return.
 
-        Calling it again resumes: finished batches are not repeated.
+        Landed rows carry a `row_id` that is unique over all files. Calling it again resumes: finished batches are not repeated.
         """
         arrived = (
             self.spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(landing)
