@@ -75,13 +75,16 @@ def map_records(
 def listing_record(record: str) -> str:
     """Listing export -> lead-like object: fixed renames; listing address and link are left out on purpose."""
 
-    def filled(*names: str) -> str:
-        texts = [
-            f"if(schema_of_variant(try_variant_get({record}, '$.{n}', 'variant')) = 'STRING', "
-            f"nullif(try_variant_get({record}, '$.{n}', 'string'), ''), NULL)"
-            for n in names
-        ]
-        return f"coalesce({', '.join(texts)})" if len(texts) > 1 else texts[0]
+    def filled(name: str, *others: str) -> str:
+        """First value that is not empty; a value that is not text yields null but is not passed over."""
+        value = f"try_variant_get({record}, '$.{name}', 'variant')"
+        kind = f"schema_of_variant({value})"
+        empty = f"{kind} = 'VOID' OR to_json({value}) IN ('\"\"', '0', '0.0', 'false', '[]', '{{}}')"
+        following = filled(*others) if others else "NULL"
+        return (
+            f"CASE WHEN {value} IS NULL OR {empty} THEN {following} "
+            f"WHEN {kind} = 'STRING' THEN try_variant_get({record}, '$.{name}', 'string') END"
+        )
 
     lead = (
         f"named_struct('company_name', {filled('agency_name')}, 'agent_name', {filled('agent_name')}, "

@@ -164,3 +164,11 @@ def test_dense_index_over_many_files(spark, tmp_path):
     assert [r["row_id"] for r in rows] == list(range(20))
     by_file = [[r["company_name"] for r in rows if r["company_name"].startswith(f"{f}-")] for f in range(4)]
     assert by_file == [[f"{f}-{i}" for i in range(5)] for f in range(4)]
+
+
+def test_listing_fallbacks_pass_over_empty_values_only(spark, tmp_path):
+    cases = [("", "b"), (None, "b"), (0, "b"), ([], "b"), (False, "b"), (7, None), ([1], None), ("x@y.co", "x@y.co")]
+    body = [{"agency_name": "A", "agent_email": first, "email": "b"} for first, _ in cases]
+    opts = MappingOptions(strict_contacts=False)
+    rows = read_leads(spark, put(tmp_path, "l.json", json.dumps(body)), "listing", opts, dense_index=True).orderBy("row_id")
+    assert [r["email"] for r in rows.collect()] == [want for _, want in cases]
