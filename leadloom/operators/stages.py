@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-OWN_SETTING = "leadloom.stage.dir"  # used where the session names no folder
+OWN_SETTING = "leadloom.stage.dir"  # where the session names no checkpoint folder
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """Shared folder the cluster names; a temporary one only where none is set."""
+    """Shared folder that the cluster names. Where none is named: a temporary one on a single machine, else an error."""
     folder = spark.conf.get(SETTING, None) or spark.conf.get(OWN_SETTING, None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {SETTING} or {OWN_SETTING} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="leadloom-")
         spark.conf.set(OWN_SETTING, folder)
     return folder.rstrip("/")
@@ -33,5 +36,5 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as parquet and read it back: survives lost executors and prunes columns when re-read."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
