@@ -24,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.functions.text import let
 from leadloom.llm.text import words
 from leadloom.operators.stages import stage_table
 
@@ -42,15 +43,25 @@ DIM = len(STATS)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
 
+def repeat_words() -> str:
+    """SQL expression over `_words`: words in windows found twice or more. Window hashes come from hashes of 1, 2 and 4
+    words; where two agree, (hash, place) pairs are sorted and the places of equal neighbours counted once per word."""
+    count = f"aggregate(transform(_at, (x, i) -> least({WINDOW}, get(_at, i + 1) - x)), 0, (a, x) -> a + x)"
+    twice = "filter(_pairs, (x, j) -> coalesce(get(_pairs, j - 1).h = x.h, false) OR coalesce(get(_pairs, j + 1).h = x.h, false))"
+    count = let("_at", f"sort_array(transform({twice}, x -> x.i))", count)
+    count = let("_pairs", "sort_array(transform(_h8, (x, i) -> named_struct('h', x, 'i', i)))", count)
+    count = let("_h8", f"slice(transform(_h4, (x, i) -> xxhash64(x, get(_h4, i + 4))), 1, greatest(size(_h4) - {WINDOW - 1}, 0))", f"CASE WHEN size(array_distinct(_h8)) < size(_h8) THEN {count} ELSE 0 END")
+    count = let("_h4", "transform(_h2, (x, i) -> xxhash64(x, get(_h2, i + 2)))", count)
+    count = let("_h2", "transform(_h1, (x, i) -> xxhash64(x, get(_h1, i + 1)))", count)
+    return let("_h1", "transform(_words, x -> xxhash64(x))", count)
+
+
 def base_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` and the counts of every text. Nothing is shuffled; repeats are found by hashes of
     8-word windows sorted within the text (64 bits: two different windows of one text practically never agree)."""
-    kept = [F.col(c) for c in keep]
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.expr("filter(split(_text, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')")
-    step = docs.select(F.struct(*kept).alias("_doc") if kept else F.lit(1).alias("_doc"), body.alias("_text"), words(F.col(text)).alias("_words"))
-    step = step.select("_doc", "_text", "_words", lines.alias("_lines"), F.expr("transform(_words, x -> xxhash64(x))").alias("_h1"))
-    step = step.select(
+    lines = "filter(split(_text, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    step = docs.select(F.struct(F.lit(1).alias("_one"), *keep).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), words(F.col(text)).alias("_words"))
+    step = step.select("*", F.expr(lines).alias("_lines")).select(
         "_doc",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
@@ -58,17 +69,9 @@ def base_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
         (F.length("_text") - F.length(F.regexp_replace("_text", r"\p{Lu}+", ""))).cast("long").alias("n_capitals"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("transform(_h1, (x, i) -> xxhash64(x, get(_h1, i + 1)))").alias("_h2"),
+        F.expr(repeat_words()).cast("long").alias("n_repeat_words"),
     )
-    step = step.withColumn("_h4", F.expr("transform(_h2, (x, i) -> xxhash64(x, get(_h2, i + 2)))")).drop("_h2")
-    step = step.withColumn("_h8", F.expr(f"slice(transform(_h4, (x, i) -> xxhash64(x, get(_h4, i + 4))), 1, CAST(greatest(n_words - {WINDOW - 1}, 0) AS INT))")).drop("_h4")
-    found = "size(array_distinct(_h8)) < size(_h8)"
-    step = step.withColumn("_sorted", F.expr(f"CASE WHEN {found} THEN sort_array(transform(_h8, (x, i) -> named_struct('h', x, 'i', i))) END")).drop("_h8")
-    twice = "filter(_sorted, (x, j) -> coalesce(get(_sorted, j - 1).h = x.h, false) OR coalesce(get(_sorted, j + 1).h = x.h, false))"
-    step = step.withColumn("_at", F.expr(f"CASE WHEN _sorted IS NOT NULL THEN sort_array(transform({twice}, x -> x.i)) END")).drop("_sorted")
-    covered = f"aggregate(transform(_at, (x, i) -> least({WINDOW}, get(_at, i + 1) - x)), 0, (a, x) -> a + x)"
-    step = step.withColumn("n_repeat_words", F.expr(f"CASE WHEN _at IS NULL THEN 0L ELSE CAST({covered} AS LONG) END")).drop("_at")
-    return step.select(*([F.col("_doc").getField(c).alias(c) for c in keep]), *[c for c in step.columns if c != "_doc"])
+    return step.select(*[F.col("_doc").getField(c).alias(c) for c in keep], *[c for c in step.columns if c != "_doc"])
 
 
 def base_failed() -> Column:
