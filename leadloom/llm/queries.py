@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import chat_format, mixing, packing, quality_rules, simhash_dedup, substring_dedup, url_filters
+from leadloom.llm import chat_format, embedding_dedup, mixing, packing, quality_rules, simhash_dedup, substring_dedup, toxicity, url_filters, warc_revisits
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,9 +68,35 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def warc_records(pages: DataFrame) -> DataFrame:
+    """Records of three crawls of every page: a response, a day later a not-modified revisit (by entity tag, by date or by digest, in
+    turn), and for every fifth page a revisit whose tag differs. Dates are text that sorts."""
+    base = pages.selectExpr("page_id", "url", "md5(coalesce(html, '')) AS _md5", "octet_length(coalesce(html, '')) AS _size", "timestamp_seconds(1700000000 + page_id * 60) AS _at")
+    day = "date_format(_at + make_interval(0, 0, 0, {}), 'yyyy-MM-dd HH:mm:ss')"
+    modified = "concat('Last-Modified: ', date_format(_at - make_interval(0, 0, 0, 30), 'yyyy-MM-dd'))"
+    full = f"concat_ws('\\r\\n', 'HTTP/1.1 200 OK', concat('Date: ', {day.format(0)}), concat('ETag: \"', left(_md5, 12), '\"'), {modified}, 'Content-Type: text/html', concat('Content-Length: ', _size), 'Cache-Control: max-age=60', '')"
+    validator = f"CASE page_id % 3 WHEN 0 THEN concat('ETag: W/\"', left(_md5, 12), '\"') WHEN 1 THEN {modified} ELSE 'Server: test' END"
+    same = f"concat_ws('\\r\\n', 'HTTP/1.1 304 Not Modified', concat('Date: ', {day.format(1)}), {validator}, 'Content-Length: 0', 'Cache-Control: max-age=600', '')"
+    other = f"concat_ws('\\r\\n', 'HTTP/1.1 304 Not Modified', concat('Date: ', {day.format(2)}), 'ETag: \"other\"', '')"
+    digest = "concat('md5:', _md5)"
+
+    def record(number: int, after: int, kind: str, head: str) -> str:
+        return f"named_struct('record_id', page_id * 4 + {number}, 'target_uri', url, 'warc_date', {day.format(after)}, 'warc_type', '{kind}', 'http_head', {head}, 'payload_digest', {digest})"
+
+    rows = f"filter(array({record(0, 0, 'response', full)}, {record(1, 1, 'revisit', same)}, {record(2, 2, 'revisit', other)}), x -> x.record_id % 4 < 2 OR page_id % 5 = 0)"
+    return base.selectExpr(f"inline({rows})")
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisits.resolve(warc_records(table(spark, sf_dir, "pages")))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_quality_rules, op5_substring_dedup, op6_chat_format, op7_best_fit_packing, op8_source_mixing, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_simhash_dedup, op3_quality_rules, op4_embedding_dedup, op5_substring_dedup, op6_chat_format,
+    op7_best_fit_packing, op8_source_mixing, op9_warc_revisits, op10_url_filters,
+)}
 ORACLES: dict[str, str] = {}

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,7 +264,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     for batch in batches:
-        ready = batch.filter(pa.compute.is_null(batch["_blob"]))
+        ready = batch.filter(pc.is_null(batch["_blob"]))
         if len(ready):
             yield ready
         for bucket, blob in zip(batch["_bucket"].to_pylist(), batch["_blob"], strict=True):
