@@ -11,7 +11,7 @@ All of it is DataFrame functions. Each turn is rendered before rows of a convers
 string, so the longest one bounds the memory of a task.
 
 Defined results: a null text is empty, a null role is the empty role, unknown part types are refused by name in the
-output (`<|part:TYPE|>`); turns with equal numbers go by role and text, null turns come first; repeated rows are
+output (`<|part:TYPE|>`); null parts are no parts; turns with equal numbers go by role and text, null turns come first; repeated rows are
 repeated turns; a null conversation id is a conversation of its own; an empty table gives no rows.
 """
 
@@ -67,7 +67,7 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
         "conv_id", "_turn", "_role",
         f"concat('<|turn|>', {escaped('_role')}, '<|text|>') AS _head",
         f"{visited('_parts')} AS _body",
-        f"{attachments('_parts')} AS _files",
+        f"coalesce({attachments('_parts')}, array()) AS _files",
     ).selectExpr("*", "CAST(char_length(_head) AS BIGINT) AS _skip", "CAST(char_length(_body) AS BIGINT) AS _length")
     earlier = "PARTITION BY conv_id ORDER BY _turn, _role, _body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     placed = rendered.selectExpr("*", f"coalesce(sum(_skip + _length + {len(TURN_END)}) OVER ({earlier}), 0L) AS _at")

@@ -30,9 +30,11 @@ from leadloom.operators.stages import stage_table
 MAX_LABELLED = 20_000
 MAX_VOTERS = 128
 MAX_FEATURES = 2048
-LEAST_ROWS = 8  # labelled rows a feature must occur in
+LEAST_ROWS = 4  # labelled rows a feature must occur in
+VOTER_ROWS = 8  # toxic rows that a voter must occur in
 VOTER_LIFT = 10.0  # how much likelier in toxic rows a voter must be
 ITERATIONS = 4
+NO_VOTE = 3.0  # log odds that the absence of every vote takes away
 CORRELATED = 0.6  # correlation within a class from which two voters share their weight
 PREFIXES = (4, 5, 6)
 EDGE = ".,;:!?\"'()[]{}*%&#|<>~_-"
@@ -125,17 +127,18 @@ class LabelModel:
         self.on, self.off, self.share = on, off, share
         self.weight = np.ones(len(on))
 
-    def terms(self) -> tuple[np.ndarray, float]:
-        """Log odds that a firing voter adds, and the log odds of a text on which none fires."""
-        silent = self.weight * np.log((1 - self.on) / (1 - self.off))
-        return self.weight * np.log(self.on / self.off) - silent, float(math.log(self.share / (1 - self.share)) + silent.sum())
+    def terms(self) -> np.ndarray:
+        """Log odds that each voter adds where it fires; one that is silent abstains."""
+        return self.weight * np.log(self.on / self.off)
+
+    def base(self) -> float:
+        return math.log(self.share / (1 - self.share))
 
 
 def posterior_sql(model: LabelModel) -> str:
     """SQL expression of the posterior of `votes`; a known label stands for itself."""
-    terms, base = model.terms()
-    table = "array(" + ", ".join(f"{t!r}D" for t in terms.tolist()) + ")"
-    logit = f"aggregate(votes, {base!r}D, (a, v) -> a + {table}[v])"
+    table = "array(" + ", ".join(f"{t!r}D" for t in model.terms().tolist()) + ")"
+    logit = f"aggregate(votes, {model.base() - NO_VOTE!r}D + CASE WHEN size(votes) > 0 THEN {NO_VOTE}D ELSE 0D END, (a, v) -> a + {table}[v])"
     return f"CASE WHEN known IS NOT NULL THEN CAST(known AS DOUBLE) ELSE 1D / (1D + exp(-({logit}))) END"
 
 
@@ -179,17 +182,19 @@ def shared_weight(model: LabelModel, both: list, toxic: float, other: float) ->
     return 1 / (1 + most.sum(axis=1))
 
 
-def train(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 300, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch gradient steps (Adam); rows are lists of feature numbers."""
+def train(rows: list[list[int]], target: np.ndarray, first: np.ndarray, rounds: int = 200, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by full-batch gradient steps (Adam); rows are lists of feature numbers. Weights are
+    drawn to `first`, what the label model gives its voters, so that a voter seen in few training rows keeps its say."""
+    size = len(first)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.fromiter((f for r in rows for f in r), np.int64, len(at))
     w, moment, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     mean = min(max(float(target.mean()), 1e-3), 1 - 1e-3)
-    w[size] = math.log(mean / (1 - mean))
+    w[:size], w[size] = first, math.log(mean / (1 - mean)) - NO_VOTE
     for step in range(1, rounds + 1):
         logit = w[size] + np.bincount(at, w[feature], len(rows))
         error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - target) / len(rows)
-        slope = np.append(np.bincount(feature, error[at], size), error.sum()) + decay * np.append(w[:size], 0) / max(1, size)
+        slope = np.append(np.bincount(feature, error[at], size), error.sum()) + decay * np.append(w[:size] - first, 0)
         moment, square = 0.9 * moment + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         w -= 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
     return w[:size], float(w[size])
@@ -202,7 +207,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     features, n1, n0 = chosen_features(counts, MAX_FEATURES)
     share = (n1 + 1) / (n1 + n0 + 2)
     names = [f for f, _, _ in features]
-    rate = [((a + 0.1) / (n1 + 1), (b + 0.1) / (n0 + 1)) for _, a, b in features]
+    rate = [(a / (n1 + 1) if a >= VOTER_ROWS else 0.0, (b + 1) / (n0 + 1)) for _, a, b in features]
     # Voters come first, so that a vote is a feature number below their count.
     order = sorted(range(len(names)), key=lambda i: rate[i][0] < VOTER_LIFT * rate[i][1])
     names, rate = [names[i] for i in order], [rate[i] for i in order]
@@ -218,7 +223,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     weak = posterior_sql(model)
     taught = rows.filter("known IS NOT NULL").select("found", F.expr(weak.replace("known IS NOT NULL", "false")).alias("p"), "known", "doc_id")
     sample = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("found", F.expr("(p + known) / 2").alias("p")).collect()
-    weights, bias = train([r["found"] for r in sample], np.array([r["p"] for r in sample]), len(names))
+    weights, bias = train([r["found"] for r in sample], np.array([r["p"] for r in sample]), np.append(model.terms(), np.zeros(len(names) - voters)))
     table = "array(" + ", ".join(f"{w!r}D" for w in weights.tolist()) + ")"
     logit = f"aggregate(found, {bias!r}D, (a, v) -> a + {table}[v])"
     scored = rows.selectExpr("doc_id", held, f"1D / (1D + exp(-({logit}))) AS score", f"{weak.replace('known IS NOT NULL', 'false')} AS weak_label")
