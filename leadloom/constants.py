@@ -64,10 +64,7 @@ FRESHNESS_MIN_CHARS = 200
 
 # --- fixed values: links worth following for contacts, hosts never taken as a company site ---
 CONTACT_LINK_WORDS = ("contact", "about", "team", "agents")
-MAX_CONTACT_PAGES = 3
 BLOCKED_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "x.com", "twitter.com")
-MAX_SEARCH_LINKS = 5
-MAX_PLACE_CANDIDATES = 5
 
 # --- fixed values: response-time ladder (upper bound in ms, score) ---
 SPEED_LADDER = ((400, 100), (900, 88), (1800, 72), (3500, 55), (6000, 35))

@@ -102,9 +102,13 @@ def _objects(items: str) -> str:
     return f"filter({items}, ob -> coalesce(schema_of_variant(ob) LIKE 'OBJECT<%', false))"
 
 
+def without_comments(html: str) -> str:
+    return f"regexp_replace({html}, '(?s)<!--.*?-->', ' ')"
+
+
 def jsonld_objects(html: str) -> str:
     """Objects of all valid JSON-LD blocks, each followed by its contact points."""
-    blocks = f"if(contains(lower({html}), 'ld+json'), {find_all(html, JSONLD, 1)}, {NO_STRINGS})"
+    blocks = f"if(contains(lower({html}), 'ld+json'), {find_all(without_comments(html), JSONLD, 1)}, {NO_STRINGS})"
     parsed = f"filter(transform({blocks}, jb -> try_parse_json({strip('jb')})), jp -> jp IS NOT NULL)"
     roots = f"flatten(transform({parsed}, jp -> {_as_items('jp')}))"
     points = let(
@@ -156,11 +160,11 @@ def _without_dots(url: str) -> str:
     )
 
 
-def contact_links(base: str, links: str) -> str:
-    """First distinct absolute http(s) links that look like contact pages, in document order."""
+def contact_links(base: str, links: str, most: int | None = None) -> str:
+    """Distinct absolute http(s) links that look like contact pages, in document order; with `most` the first so many."""
     wanted = f"filter({links}, cl -> lower(cl) RLIKE {q('|'.join(K.CONTACT_LINK_WORDS))})"
     absolute = f"filter(transform({wanted}, cl -> {resolve_url(base, 'cl')}), cu -> cu RLIKE '(?i)^https?:')"
-    return f"slice(array_distinct({absolute}), 1, {K.MAX_CONTACT_PAGES})"
+    return f"array_distinct({absolute})" if most is None else f"slice(array_distinct({absolute}), 1, {most})"
 
 
 # --- page signals --------------------------------------------------------------------------

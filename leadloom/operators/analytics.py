@@ -76,7 +76,8 @@ def diagnostics(leads: DataFrame) -> DataFrame:
     )
 
 
-def reject_reasons(rejected: DataFrame, top: int = 10) -> DataFrame:
-    """Most frequent reject reasons."""
+def reject_reasons(rejected: DataFrame, top: int | None = None) -> DataFrame:
+    """Reject reasons, the most frequent first; with `top` only so many."""
     counts = rejected.groupBy("reason").agg(F.count("*").alias("rejected"))
-    return counts.orderBy(F.desc("rejected"), "reason").limit(top)
+    ordered = counts.orderBy(F.desc("rejected"), "reason")
+    return ordered if top is None else ordered.limit(top)

@@ -65,7 +65,7 @@ def page_signals(pages: DataFrame, opts: PageOptions = PageOptions()) -> DataFra
         f"{H.value_set(H.text_phones('_text'), H.link_phones('_links'))} AS phones",
         f"{H.jsonld_values('_objects', 'email')} AS schema_emails",
         f"{H.jsonld_values('_objects', 'telephone')} AS schema_phones",
-        f"{H.contact_links('url', '_links')} AS contact_links",
+        f"{H.contact_links('url', '_links', opts.max_contact_pages)} AS contact_links",
         "has_chatbot", "fresh_wording", "says_updated",
         f"{H.fresh_signal('fresh_wording', 'says_updated', 'html_chars')} AS fresh",
         f"{H.speed_score('elapsed_ms')} AS speed_score",
@@ -89,8 +89,9 @@ def page_lookup(signals: DataFrame) -> DataFrame:
 
 
 def discovered_sites(search_results: DataFrame, opts: PageOptions = PageOptions()) -> DataFrame:
-    """(company_key, discovered): first plausible of the top links of each company's search."""
-    links = search_results.where(f"rank <= {K.MAX_SEARCH_LINKS}").selectExpr(
+    """(company_key, discovered): first plausible link of each company's search."""
+    taken = search_results if opts.max_search_links is None else search_results.where(f"rank <= {opts.max_search_links}")
+    links = taken.selectExpr(
         "company_name", f"{company_key('company_name')} AS company_key", "rank", f"{with_scheme('link')} AS link"
     )
     plausible = plausible_site("company_name", "link", opts.blocked_host_match)

@@ -61,7 +61,8 @@ def match_candidates(queries: DataFrame, place_search: DataFrame, opts: PlaceOpt
         f"named_struct('tier', 2, 'query', if(normalized_location IS NOT NULL, {request_key('company')}, NULL)))"
     )
     asked = queries.selectExpr("*", f"inline(filter({tiers}, tq -> tq.query IS NOT NULL)) AS (tier, query)")
-    answers = place_search.where(f"rank <= {K.MAX_PLACE_CANDIDATES}").selectExpr(
+    taken = place_search if opts.max_candidates is None else place_search.where(f"rank <= {opts.max_candidates}")
+    answers = taken.selectExpr(
         f"{request_key('query')} AS query", "rank", "place_id", "name", "formatted_address"
     )
     near = f"contains(lower({strip('formatted_address')}), lower({strip('normalized_location')}))"

@@ -95,7 +95,7 @@ def of_run(df: DataFrame, job_id: str) -> DataFrame:
 
 def recent_leads(leads: DataFrame, runs: DataFrame, last: int = 10) -> DataFrame:
     """Leads of the newest completed runs: top-N runs, then a semi-join."""
-    scope = newest_first(filter_runs(runs, "completed")).limit(max(1, min(MAX_PAGE, last))).select("job_id")
+    scope = newest_first(filter_runs(runs, "completed")).limit(max(1, last)).select("job_id")
     return leads.join(scope, "job_id", "left_semi")
 
 

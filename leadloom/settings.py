@@ -30,6 +30,9 @@ class PageOptions:
     chat_keywords: Sequence[str] = K.CHAT_KEYWORDS
     # "contains" blocks a host that contains a blocked name anywhere, "suffix" only the site itself
     blocked_host_match: str = "contains"
+    # None takes every given link and search result; a number only the first so many
+    max_contact_pages: int | None = None
+    max_search_links: int | None = None
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,7 @@ class PlaceOptions:
     enabled: bool = True
     min_name_match: float = K.MIN_NAME_MATCH
     similarity: str = "gestalt"  # or "levenshtein", which stays inside the JVM
+    max_candidates: int | None = None  # None takes every answer of the directory, a number those of the first ranks
 
 
 @dataclass(frozen=True)

@@ -14,15 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer splits than the cluster has cores is spread over them; a large one is left as it is.
-
-    Worth it where each row is costly, as html is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 @dataclass(frozen=True)
 class Snapshots:
     site_pages: DataFrame | None = None

@@ -75,7 +75,7 @@ class IncrementalLeads:
         except Exception as error:
             if not self.stop_on_error:
                 self._write(stage_table(raw, "failed-batch"), "failed", batch_id)
-            self._note(batch_id, FAILED, str(error)[:1000])
+            self._note(batch_id, FAILED, str(error))
             if self.stop_on_error:
                 raise
         else:

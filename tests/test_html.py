@@ -86,3 +86,9 @@ def test_speed_ladder(spark):
 def test_plausible_site(spark, url, plain, suffix):
     assert one(spark, plausible_site("c", "u"), c="Southern Cape Properties", u=url) is plain
     assert one(spark, plausible_site("c", "u", "suffix"), c="Southern Cape Properties", u=url) is suffix
+
+
+def test_jsonld_in_a_comment_is_not_read(spark):
+    html = '<!-- <script type="application/ld+json">{"email":"hid@x.example"}</script> --><script type="application/ld+json">{"email":"in@x.example"}</script>'
+    found = one(spark, f"to_json({H.jsonld_objects('html')})", html=html)
+    assert "in@x.example" in found and "hid@x.example" not in found

@@ -71,7 +71,7 @@ CTES["clean"] = "SELECT * EXCLUDE (k, rn) FROM (SELECT *, row_number() OVER (PAR
 
 ORACLES["rejected_rows"] = "SELECT row_id AS row_index, reject_reason AS reason FROM checked WHERE reject_reason IS NOT NULL"
 ORACLES["reject_reasons"] = """SELECT reject_reason AS reason, count(*) AS rejected FROM checked WHERE reject_reason IS NOT NULL
-GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
+GROUP BY 1 ORDER BY 2 DESC, 1"""
 ORACLES["relaxed_mapping"] = "SELECT row_id, company_name, website, email, phone FROM mapped WHERE company_name IS NOT NULL"
 ORACLES["normalize_contacts"] = "SELECT row_id, company_name, agent_name, website, email, phone, location FROM norm"
 ORACLES["dedup_leads"] = "SELECT row_id, company_name, website, email, phone FROM clean"
@@ -279,7 +279,7 @@ ORACLES["text_contacts"] = f"""SELECT doc_id, array_to_string(list_sort(list_dis
   array_to_string(list_sort(list_distinct(regexp_extract_all(t, {_PHONE}))), '|') AS phones FROM doc_texts"""
 
 CTES["ld_roots"] = """SELECT page_id, b::JSON AS j FROM (SELECT page_id,
-  unnest(regexp_extract_all(html, '(?is)<script\\b[^>]*type\\s*=\\s*["'']?application/ld\\+json["'']?[^>]*>(.*?)</script\\s*>', 1)) AS b FROM fetched) WHERE json_valid(b)"""
+  unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\\b[^>]*type\\s*=\\s*["'']?application/ld\\+json["'']?[^>]*>(.*?)</script\\s*>', 1)) AS b FROM fetched) WHERE json_valid(b)"""
 CTES["ld_items"] = """SELECT page_id, j FROM ld_roots WHERE json_type(j) = 'OBJECT'
 UNION ALL SELECT page_id, unnest(json_extract(j, '$[*]')) FROM ld_roots WHERE json_type(j) = 'ARRAY'"""
 CTES["ld_points"] = """SELECT page_id, json_extract(j, '$.contactPoint') AS j FROM ld_items WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.contactPoint') = 'OBJECT'
@@ -299,7 +299,7 @@ FROM anchors WHERE regexp_matches(lower(href), 'contact|about|team|agents')"""
 CTES["links_of"] = """SELECT page_id, pos, target, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nr FROM
 (SELECT page_id, target, min(pos) AS pos FROM link_targets WHERE regexp_matches(target, '(?i)^https?:') GROUP BY page_id, target)"""
 ORACLES["contact_links"] = """SELECT f.page_id, coalesce(l.links, '') AS links FROM fetched f
-LEFT JOIN (SELECT page_id, string_agg(target, '|' ORDER BY nr) AS links FROM links_of WHERE nr <= 3 GROUP BY page_id) l ON l.page_id = f.page_id"""
+LEFT JOIN (SELECT page_id, string_agg(target, '|' ORDER BY nr) AS links FROM links_of GROUP BY page_id) l ON l.page_id = f.page_id"""
 
 _CHAT = " OR ".join(f"contains(lower(html), {lit(w)})" for w in (*K.CHAT_KEYWORDS, *K.CHAT_VENDOR_MARKERS))
 _FRESH = " OR ".join(f"regexp_matches(html, {lit('(?i)' + p)})" for p in K.FRESHNESS_PATTERNS)
@@ -316,7 +316,7 @@ def speed(ms: str) -> str:
 ORACLES["speed_score"] = f"SELECT page_id, elapsed_ms, {speed('elapsed_ms')} AS speed_score FROM fetched"
 
 CTES["site_of"] = f"""SELECT company_key, arg_min(link, rank) AS discovered FROM (
-  SELECT lower({squash('company_name')}) AS company_key, company_name, rank, {scheme('link')} AS link FROM search_results WHERE rank <= 5)
+  SELECT lower({squash('company_name')}) AS company_key, company_name, rank, {scheme('link')} AS link FROM search_results)
 WHERE link IS NOT NULL AND regexp_extract(lower(link), '://([^/?#]*)', 1) <> ''
   AND NOT regexp_matches(regexp_extract(lower(link), '://([^/?#]*)', 1), 'facebook\\.com|instagram\\.com|linkedin\\.com|x\\.com|twitter\\.com')
   AND plausible(company_name, regexp_extract(lower(link), '://([^/?#]*)', 1)) GROUP BY company_key"""
@@ -345,7 +345,7 @@ CTES["answers"] = f"""SELECT t.row_id, t.nr, t.u, coalesce(b.ok, false) AS ok, b
 FROM tries t LEFT JOIN page_best b ON b.pk = {url_key('t.u')} WHERE t.u IS NOT NULL"""
 CTES["homes"] = """SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY NOT ok, CASE WHEN ok THEN nr ELSE -nr END) AS rn FROM answers) WHERE rn = 1"""
 CTES["lead_pages"] = f"""SELECT row_id, 0 AS nr, page_id FROM homes WHERE ok
-UNION ALL SELECT h.row_id, l.nr, b.page_id FROM homes h JOIN links_of l ON l.page_id = h.page_id AND l.nr <= 3 JOIN page_best b ON b.pk = {url_key('l.target')} AND b.ok WHERE h.ok"""
+UNION ALL SELECT h.row_id, l.nr, b.page_id FROM homes h JOIN links_of l ON l.page_id = h.page_id JOIN page_best b ON b.pk = {url_key('l.target')} AND b.ok WHERE h.ok"""
 CTES["lead_values"] = """SELECT p.row_id, v.kind, v.v, p.nr, v.src FROM lead_pages p JOIN (
   SELECT page_id, kind, v, 1 AS src FROM found WHERE v <> '' UNION ALL SELECT page_id, kind, v, 0 FROM ld_found WHERE v <> '') v ON v.page_id = p.page_id"""
 CTES["lead_order"] = "SELECT *, row_number() OVER (PARTITION BY row_id, kind ORDER BY nr, src, v) AS ord FROM lead_values"
@@ -386,7 +386,7 @@ def _places(name: str, leads: str) -> None:
     adjust = "CASE WHEN a.nl IS NULL OR length(a.nl) < 3 THEN 0 WHEN contains(lower(s.formatted_address), lower(a.nl)) THEN 0.15::DOUBLE ELSE -0.05::DOUBLE END"
     CTES[f"{name}_scored"] = f"""SELECT a.company, a.nl, t.tier, s.rank, s.place_id, s.name, CASE WHEN {sim} >= 0.5 THEN {sim} + {adjust} END AS score
 FROM {name}_asked a JOIN (SELECT 1 AS tier UNION ALL SELECT 2) t ON t.tier = 1 OR a.nl IS NOT NULL
-JOIN place_search s ON s.rank <= 5 AND lower(s.query) = lower(CASE WHEN t.tier = 1 THEN concat_ws(' ', a.company, a.nl) ELSE a.company END)"""
+JOIN place_search s ON lower(s.query) = lower(CASE WHEN t.tier = 1 THEN concat_ws(' ', a.company, a.nl) ELSE a.company END)"""
     CTES[f"{name}_best"] = f"""SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY company, nl ORDER BY tier, coalesce(score, -10) DESC, rank, place_id DESC) AS rn FROM {name}_scored)
 WHERE rn = 1 AND score IS NOT NULL AND trim(place_id) <> ''"""
     CTES[name] = f"""SELECT l.*, b.place_id, nullif(trim(p.website_uri), '') AS g_website, coalesce(nullif(trim(p.international_phone), ''), nullif(trim(p.national_phone), '')) AS g_phone,

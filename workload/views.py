@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import re
 
-from leadloom.sources.tables import spread
 
-TEXT_VIEWS = ("documents", "site_pages")
 BASE_TABLES = ("region", "nation", "customer", "orders", "lineitem", "documents", "pages")
 
 _TEXT = "VARCHAR(20)"
@@ -167,6 +165,6 @@ def view(spark, sf_dir: str, name: str):
         for table in BASE_TABLES:
             if re.search(rf"\b{table}\b", sql):
                 df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-                (spread(df) if name in TEXT_VIEWS else df).createOrReplaceTempView(table)
+                df.createOrReplaceTempView(table)
         _ANALYSED[key] = spark.sql(sql)
     return _ANALYSED[key]
