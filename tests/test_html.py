@@ -7,6 +7,7 @@ from leadloom import constants as K
 from leadloom.functions import html as H
 from leadloom.functions.hosts import plausible_site
 from leadloom.operators.pages import page_signals
+from leadloom.settings import PageOptions
 from tests.helpers import PAGE_SCHEMA, one
 
 PAGE = """<html><!-- no@comment.com --><script type="application/ld+json">{"email":"burn@mailinator.com","telephone":0,
@@ -17,8 +18,8 @@ PAGE = """<html><!-- no@comment.com --><script type="application/ld+json">{"emai
 <a href="../about.html">a</a><a data-href="no" href="team?x=1">t</a><a href="//o.com/agents">g</a> call +27 (82) 555-0123"""
 
 
-def signals(spark, html, url="https://site.com/a/b/c.html", status=200, ms=100):
-    return page_signals(spark.createDataFrame([(url, status, ms, html)], PAGE_SCHEMA)).first()
+def signals(spark, html, url="https://site.com/a/b/c.html", status=200, ms=100, opts=PageOptions()):
+    return page_signals(spark.createDataFrame([(url, status, ms, html)], PAGE_SCHEMA), opts).first()
 
 
 def test_page_contacts(spark):
@@ -30,9 +31,9 @@ def test_page_contacts(spark):
 
 
 def test_contact_links_first_three_distinct(spark):
-    assert signals(spark, PAGE)["contact_links"] == [
-        "https://site.com/contact-us", "https://site.com/a/about.html", "https://site.com/a/b/team?x=1",
-    ]
+    three = ["https://site.com/contact-us", "https://site.com/a/about.html", "https://site.com/a/b/team?x=1"]
+    assert signals(spark, PAGE, opts=PageOptions(max_contact_pages=3))["contact_links"] == three
+    assert signals(spark, PAGE)["contact_links"] == [*three, "https://o.com/agents"]
 
 
 def test_failed_page_has_no_content(spark):
