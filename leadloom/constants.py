@@ -126,5 +126,29 @@ PHONE_REGIONS = (
     ("MX", "52", "01", "00", r"[1-9][0-9]{9}"),
     ("NG", "234", "0", "009", r"[789][0-9]{9}|[1-9][0-9]{6,7}"),
 )
+# --- fixed values: length of national numbers (trunk prefix, fewest digits, most digits, calling codes) ---
+NATIONAL_LENGTHS = (
+    ("", 4, 5, "290"), ("", 4, 7, "683 690"), ("", 4, 11, "352"), ("", 5, 5, "500 682"), ("", 5, 6, "247"), ("", 5, 7, "676 677 678 685 688"),
+    ("", 5, 8, "686"), ("", 6, 6, "298 299 508 672 681 687"), ("", 6, 7, "597"), ("", 6, 8, "689"), ("", 6, 9, "376"), ("", 6, 10, "378"),
+    ("", 6, 12, "39"), ("", 7, 7, "220 238 239 246 248 269 297 501 592 673 674 679 680 691 692"),
+    ("", 7, 8, "230 241 267 372 503 507 599 670 675 968 974 975"), ("", 7, 9, "245 354 423"), ("", 7, 10, "960"),
+    ("", 8, 8, "45 47 216 222 223 226 227 228 235 236 253 257 266 268 350 356 357 371 502 504 505 509 852 853 965 973"),
+    ("", 8, 9, "224 237 250 258"), ("", 8, 10, "57 229 506"), ("", 8, 11, "65"), ("", 9, 9, "34 48 56 221 240 242 244 351 420"),
+    ("", 10, 10, "30 225"),
+    ("0", 4, 13, "43"), ("0", 5, 10, "263"), ("0", 5, 12, "358"), ("0", 6, 8, "53"), ("0", 6, 9, "252 355"), ("0", 7, 7, "291"),
+    ("0", 7, 8, "961"), ("0", 7, 9, "231 243 265 359 595 967"), ("0", 7, 10, "46 95 254 353"), ("0", 7, 12, "62"),
+    ("0", 8, 8, "232 370 373 374 386 389 598"),
+    ("0", 8, 9, "32 51 66 213 218 264 377 382 383 385 387 591 593 855 886 962 963 970 971 972"),
+    ("0", 8, 10, "20 60 63 64 82 381 850 856 880 964 976 977"),
+    ("0", 9, 9, "31 40 41 93 94 211 212 233 249 251 255 256 260 261 262 380 421 590 594 596 966 992 994 995 996 998"),
+    ("0", 9, 10, "84 92"), ("0", 9, 11, "86"), ("0", 10, 10, "58 90 98"), ("0", 10, 11, "54"),
+    ("06", 8, 9, "36"), ("8", 8, 8, "993"), ("8", 9, 10, "375"), ("8", 10, 10, "7"),
+)
+# regions known by these lengths alone are named by their calling code; without a trunk prefix a number may begin with 0
+PHONE_REGIONS += tuple(
+    (f"+{code}", code, trunk, "00", f"[{1 if trunk else 0}-9][0-9]{{{least - 1},{most - 1}}}")
+    for trunk, least, most, codes in NATIONAL_LENGTHS
+    for code in codes.split()
+)
 DEFAULT_PHONE_REGION = "ZA"
 MAX_NATIONAL_DIGITS = 17

@@ -26,24 +26,38 @@ def _field(field: str, value: str, opts: MappingOptions) -> str:
     return f"coalesce({value}, {q(default)}) AS {field}" if default else f"{value} AS {field}"
 
 
-def map_columns(
-    df: DataFrame, opts: MappingOptions = MappingOptions(), row_id: str = "row_id", headers: list[str] | None = None
-) -> DataFrame:
-    """Pick one source column per canonical field. Presence is a fact of the header, so it costs nothing per row.
+def _sources(header: list[str], columns: list[str], opts: MappingOptions) -> list[str | None]:
+    """The column that holds each canonical field, if any, given the raw header of every column."""
+    by_key = {h.strip().lower(): c for h, c in zip(header, columns)}  # rightmost wins
+    return [next((by_key[k] for k in _candidate_keys(f, opts) if k in by_key), None) for f in K.CANONICAL_FIELDS]
+
 
-    `headers` gives the raw header of each column but `row_id`, where column names had to be made unique.
-    """
+def map_columns(df: DataFrame, opts: MappingOptions = MappingOptions(), row_id: str = "row_id") -> DataFrame:
+    """Pick one source column per canonical field. Presence is a fact of the header, so it costs nothing per row."""
     types = dict(df.dtypes)
     columns = [c for c in df.columns if c != row_id]
-    by_key = {h.strip().lower(): c for h, c in zip(headers or columns, columns)}  # rightmost wins
     picked = []
-    for field in K.CANONICAL_FIELDS:
-        source = next((by_key[k] for k in _candidate_keys(field, opts) if k in by_key), None)
+    for field, source in zip(K.CANONICAL_FIELDS, _sources(columns, columns, opts)):
         is_text = source is not None and types[source] == "string"
         picked.append(_field(field, blank_to_null(f"`{source}`") if is_text else NO_TEXT, opts))
     return df.selectExpr(row_id, *picked)
 
 
+def map_headed_rows(
+    df: DataFrame, headers: list[list[str]], opts: MappingOptions = MappingOptions(), row_id: str = "row_id"
+) -> DataFrame:
+    """The same for rows of files with different headers: text columns c0, c1, ... and `_header`, the number of the row's header."""
+    found = [_sources(h, [f"c{i}" for i in range(len(h))], opts) for h in headers]
+    picked = []
+    for field, sources in zip(K.CANONICAL_FIELDS, zip(*found)):
+        if len(set(sources)) == 1:
+            value = sources[0]
+        else:
+            value = f"(CASE _header {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(sources) if c)} END)"
+        picked.append(_field(field, blank_to_null(value) if value else NO_TEXT, opts))
+    return df.selectExpr(row_id, *picked)
+
+
 def map_records(
     df: DataFrame, opts: MappingOptions = MappingOptions(), row_id: str = "row_id", record: str = "record"
 ) -> DataFrame:

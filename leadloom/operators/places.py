@@ -1,7 +1,7 @@
 """Place stage: geocoded location, best place for a company, and the place's details.
 
-The text search of a place directory is a table of answers keyed by the query text, at most five
-candidates per query. Matching is done once per distinct (company, location), not once per lead.
+The text search of a place directory is a table of answers keyed by the query text; all of them are candidates unless
+`PlaceOptions.max_candidates` says otherwise. Matching is done once per distinct (company, location), not once per lead.
 """
 
 from __future__ import annotations
@@ -55,7 +55,11 @@ def place_queries(leads: DataFrame) -> DataFrame:
 
 
 def match_candidates(queries: DataFrame, place_search: DataFrame, opts: PlaceOptions = PlaceOptions()) -> DataFrame:
-    """Scored candidates of each query: name and location first (tier 1), name only (tier 2) as fallback."""
+    """Scored candidates of each query: name and location first (tier 1), name only (tier 2) as fallback.
+
+    Names are compared once per distinct (query, company), and of the answers at one address only the best stays, before
+    the locations of a company meet the answers to its name.
+    """
     tiers = (
         f"array(named_struct('tier', 1, 'query', {request_key('company', 'normalized_location')}), "
         f"named_struct('tier', 2, 'query', if(normalized_location IS NOT NULL, {request_key('company')}, NULL)))"
@@ -70,12 +74,19 @@ def match_candidates(queries: DataFrame, place_search: DataFrame, opts: PlaceOpt
         f"CASE WHEN NOT {usable_location('normalized_location')} THEN 0D "
         f"WHEN {near} THEN {K.LOCATION_BONUS}D ELSE -{K.LOCATION_PENALTY}D END"
     )
-    scored = asked.join(answers, "query").withColumn(
+    named = asked.select("query", "company").distinct().join(answers, "query").withColumn(
         "name_score", name_similarity("company", "name", opts.min_name_match, opts.similarity)
     )
-    return scored.selectExpr(
-        "*", f"if(name_score >= {float(opts.min_name_match)}D, name_score + {adjust}, NULL) AS match_score"
+    passed = f"name_score >= {float(opts.min_name_match)}D"
+    # the location changes the scores of one address alike, so the best of them is known before
+    best = named.groupBy("query", "company", "formatted_address").agg(
+        F.expr(
+            "max_by(struct(rank, place_id, name, name_score), "
+            f"struct(if({passed}, name_score, -10D), -rank, place_id))"
+        ).alias("_b")
     )
+    scored = asked.join(best.select("query", "company", "formatted_address", "_b.*"), ["query", "company"])
+    return scored.selectExpr("*", f"if({passed}, name_score + {adjust}, NULL) AS match_score")
 
 
 def best_places(candidates: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from leadloom import constants as K
-from leadloom.operators.mapping import listing_record, map_columns, map_records, tag_rejects
+from leadloom.operators.mapping import listing_record, map_headed_rows, map_records, tag_rejects
 from leadloom.settings import MappingOptions
 
+MAX_HEADERS = 1000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the position within a partition in its low bits
 
 
@@ -44,30 +45,66 @@ def _numbered(df: DataFrame, dense: bool) -> DataFrame:
     return with_row_index(df) if dense else df.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Header fields as written; all files under `path` share one header."""
-    first = spark.read.text(path).first()
-    return next(csv.reader([first["value"].lstrip("﻿")])) if first else []
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _line): the first line of each file that is not blank. Reads the files' text once; narrow rows are shuffled."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0 AND trim(value) <> ''")
+    placed = lines.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"), "value")
+    return placed.groupBy("_file").agg(F.min_by("value", "_at").alias("_line"))
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, list[str]]:
-    """All columns as text under the names c0, c1, ..., and the header they came with."""
-    header = csv_header(spark, path)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+def header_fields(line: str) -> list[str]:
+    """Header fields as written."""
+    if line.count('"') % 2:
+        raise ValueError("a header with a line break inside a field cannot be read")
+    return next(csv.reader([line.lstrip("﻿")]))
+
+
+def read_csv(
+    spark: SparkSession, path: str, multiline: bool = True, same_header: bool = False, dense_index: bool = False
+) -> tuple[DataFrame, list[list[str]]]:
+    """`row_id`, all columns as text under the names c0, c1, ..., `_header` (the number of the file's header), and the headers.
+
+    Files may differ in their headers (in at most `MAX_HEADERS` ways). Finding that out reads the text of all files once
+    more; `same_header=True` says that they do not, and takes the header of the first file for all.
+    """
+    if same_header:
+        first = spark.read.text(path).where("trim(value) <> ''").first()
+        lines = [first["value"]] if first else []
+    else:
+        found = header_lines(spark, path)
+        lines = [r["_line"] for r in found.select("_line").distinct().orderBy("_line").limit(MAX_HEADERS + 1).collect()]
+        if len(lines) > MAX_HEADERS:
+            raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
+    headers = [header_fields(line) for line in lines] or [[]]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(map(len, headers)))])
     rows = spark.read.csv(
         path, schema=schema, header=True, multiLine=multiline, quote='"', escape='"', encoding="utf-8",
         mode="PERMISSIVE", enforceSchema=True,
     )
-    return rows, header
+    if len(headers) == 1:
+        return _numbered(rows, dense_index).withColumn("_header", F.lit(0)), headers
+    numbered = _numbered(rows.select("*", F.col("_metadata.file_path").alias("_file")), dense_index)
+    which = (F.array_position(F.array(*map(F.lit, lines)), F.col("_line")) - 1).cast("int").alias("_header")
+    return numbered.join(found.select("_file", which), "_file").drop("_file"), headers
 
 
-def read_plain_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ("company_name",)) -> DataFrame:
-    """CSV rows as they are; refuses a file whose header lacks a required column."""
-    rows, header = read_csv(spark, path)
-    missing = sorted(set(required) - set(header))
+def read_plain_csv(
+    spark: SparkSession, path: str, required: tuple[str, ...] = ("company_name",), same_header: bool = False
+) -> DataFrame:
+    """CSV rows as they are, columns by name; refuses a file whose header lacks a required column. A column that a file lacks is null."""
+    rows, headers = read_csv(spark, path, same_header=same_header)
+    missing = sorted({name for header in headers for name in set(required) - set(header)})
     if missing:
         raise ValueError(f"missing required fields: {', '.join(missing)}")
-    return rows.toDF(*header)
+    if len(headers) == 1:
+        return rows.select(*[f"c{i}" for i in range(len(headers[0]))]).toDF(*headers[0])
+    if any(len(set(header)) < len(header) for header in headers):
+        raise ValueError("files with different headers need distinct column names")
+    columns = []
+    for name in dict.fromkeys(name for header in headers for name in header):
+        cases = " ".join(f"WHEN {i} THEN c{h.index(name)}" for i, h in enumerate(headers) if name in h)
+        columns.append(F.expr(f"CASE _header {cases} END").alias(name))
+    return rows.select(*columns)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -103,15 +140,17 @@ def read_leads(
     mapping: MappingOptions = MappingOptions(),
     dense_index: bool = False,
     multiline_csv: bool = True,
+    same_header: bool = False,
 ) -> DataFrame:
     """Mapped rows with `row_id` and `reject_reason` (see operators.mapping for the split).
 
-    fmt: csv, json, jsonl or listing; without it the file suffix decides, csv if unknown.
+    fmt: csv, json, jsonl or listing; without it the file suffix decides, csv if unknown. CSV files may differ in their
+    headers; `same_header=True` saves the pass that finds out.
     """
     kind = (fmt or _suffix_format(path)).strip().lower()
     if kind == "csv":
-        rows, header = read_csv(spark, path, multiline_csv)
-        return tag_rejects(map_columns(_numbered(rows, dense_index), mapping, headers=header), mapping)
+        rows, headers = read_csv(spark, path, multiline_csv, same_header, dense_index)
+        return tag_rejects(map_headed_rows(rows, headers, mapping), mapping)
     if kind == "jsonl":
         rows = _numbered(read_json_lines(spark, path), dense_index)
         return tag_rejects(map_records(rows, mapping), mapping)

@@ -27,6 +27,14 @@ from tests.helpers import leads, one
         ("+2348012345678", "+2348012345678", "valid_e164"),
         ("12", None, "invalid_number"),
         ("1234567", None, "invalid_number"),
+        ("+39 06 698 12345", "+390669812345", "valid_e164"),
+        ("+31 (0)20 624 1111", "+31206241111", "valid_e164"),
+        ("+353 1 234 5678", "+35312345678", "valid_e164"),
+        ("+86 10 8888 8888", "+861088888888", "valid_e164"),
+        ("+7 (8)495 123 45 67", "+74951234567", "valid_e164"),
+        ("00 351 21 123 4567", "+351211234567", "valid_e164"),
+        ("+34 12345", None, "invalid_number"),
+        ("+45 1234 56789", None, "invalid_number"),
         ("+999 1234 5678", "+99912345678", "fallback_normalized"),
         ("abc", None, "invalid_digits"),
         ("  ", None, "empty_phone"),

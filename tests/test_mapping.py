@@ -43,6 +43,28 @@ def test_csv_duplicate_header_last_wins(spark, tmp_path):
     assert read_leads(spark, path).first()["company_name"] == "second"
 
 
+def test_csv_files_with_different_headers(spark, tmp_path):
+    put(tmp_path, "a.csv", "company_name,email\nAlpha,a@x.co\n")
+    put(tmp_path, "b.csv", "\nemail,phone,company\nb@x.co,+27825550199,Beta\n")
+    put(tmp_path, "c.csv", "company_name,email\nGamma,c@x.co\n")
+    for dense in (False, True):
+        tagged = read_leads(spark, str(tmp_path), "csv", dense_index=dense)
+        found = {(r["company_name"], r["email"], r["phone"]) for r in valid_leads(tagged).collect()}
+        assert found == {("Alpha", "a@x.co", None), ("Beta", "b@x.co", "+27825550199"), ("Gamma", "c@x.co", None)}
+        assert tagged.select("row_id").distinct().count() == 3
+    plain = read_plain_csv(spark, str(tmp_path), ("email",))
+    assert {tuple(r) for r in plain.select("email", "company", "company_name").collect()} == {
+        ("a@x.co", None, "Alpha"), ("b@x.co", "Beta", None), ("c@x.co", None, "Gamma"),
+    }
+    with pytest.raises(ValueError, match="line break"):
+        read_leads(spark, put(tmp_path, "d.csv", 'company,"a\nb"\nX,1\n'))
+
+
+def test_csv_same_header_by_option(spark, tmp_path):
+    path = put(tmp_path, "one.csv", "company,email\nAlpha,a@x.co\n")
+    assert read_leads(spark, path, same_header=True).first()["email"] == "a@x.co"
+
+
 def test_plain_csv_needs_its_columns(spark, tmp_path):
     assert read_plain_csv(spark, put(tmp_path, "a.csv", "company_name,x\nA,1\n")).first()["x"] == "1"
     with pytest.raises(ValueError, match="company_name"):

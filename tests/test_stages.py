@@ -57,10 +57,11 @@ def test_contact_pages_counts_and_picks(spark):
         ("https://acme.com/about", 200, 10, "a@acme.com z@mailinator.com 12-34-56-78"), ("https://acme.com/agents", 200, 10, "x@acme.com"),
     ]
     for keep in (None, stage_table):
-        row = enrich(spark, {"company_name": "Acme", "website": "acme.com"}, pages, keep=keep)
-        stats = row["page_stats"]
-        assert (row["email"], row["phone"]) == ("c@acme.com", "+27825550100")
-        assert (stats["email_disposable_rejected"], stats["schema_contacts_used"], stats["multi_page_fetch_success"]) == (2, 1, 2)
+        for limit, gathered in ((3, 2), (None, 3)):
+            row = enrich(spark, {"company_name": "Acme", "website": "acme.com"}, pages, opts=PageOptions(max_contact_pages=limit), keep=keep)
+            stats = row["page_stats"]
+            assert (row["email"], row["phone"]) == ("c@acme.com", "+27825550100")
+            assert (stats["email_disposable_rejected"], stats["schema_contacts_used"], stats["multi_page_fetch_success"]) == (2, 1, gathered)
         assert (stats["phone_total_candidates"], stats["phone_valid_count"]) == (2, 1)
 
 
