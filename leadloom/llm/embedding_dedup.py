@@ -34,6 +34,7 @@ ROWS_PER_CELL = 10
 SAMPLE_PER_CELL = 8
 ITERATIONS = 3
 BLOCK = 1024
+SLICE = 1024  # vectors compared with all centroids at a time
 MAX_RADII = 500_000  # about 100 MB in each worker
 
 
@@ -52,10 +53,10 @@ def distinct_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str
 
 
 def spherical_kmeans(sample: np.ndarray, cells: int, iterations: int = ITERATIONS) -> np.ndarray:
-    """Unit centroids; empty cells keep their centroid."""
+    """Unit centroids; empty cells keep their centroid. Cosines are made a slice of the sample at a time, which bounds the driver's memory."""
     centroids = sample[np.linspace(0, len(sample) - 1, min(cells, len(sample))).astype(int)].copy()
     for _ in range(iterations):
-        nearest = np.argmax(sample @ centroids.T, axis=1)
+        nearest = np.concatenate([np.argmax(sample[at : at + SLICE] @ centroids.T, axis=1) for at in range(0, len(sample), SLICE)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, sample)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -79,8 +80,8 @@ def nearness(batch: pa.RecordBatch, centroids: dict[int, np.ndarray]) -> Iterato
     for length in np.unique(lengths).tolist():
         rows = np.flatnonzero(lengths == length)
         cells = centroids.get(length, np.eye(1, length))
-        for at in range(0, len(rows), 1024):
-            some = rows[at : at + 1024]
+        for at in range(0, len(rows), SLICE):
+            some = rows[at : at + SLICE]
             near = batch["_unit"].take(pa.array(some)).flatten().to_numpy().reshape(len(some), length) @ cells.T
             yield length, some, near, np.argmax(near, axis=1)
 
