@@ -30,11 +30,13 @@ TURN_END = "<|end|>\n"
 def escaped(text: str) -> str:
     """SQL expression: `text` (an expression) with backslashes doubled and control strings broken."""
     doubled = f"replace({text}, '\\\\', '\\\\\\\\')"
-    return f"regexp_replace({doubled}, '(<(?=[|]|/?s>|/?SYS>)|\\\\[(?=/?INST\\\\]))', '$1\\\\\\\\')"
+    # also where a text ends inside a control string, which the next part could complete
+    angle, square = "[|]|/?s>|/?SYS>|/?(s|SY?S?)?\\\\z", "/?INST\\\\]|/?(I|IN|INS|INST)?\\\\z"
+    return f"regexp_replace({doubled}, '(<(?={angle})|\\\\[(?={square}))', '$1\\\\\\\\')"
 
 
 def unescaped(text: str) -> str:
-    return f"regexp_replace({text}, '(?s)\\\\\\\\(.)', '$1')"
+    return f"regexp_replace({text}, '(?s)\\\\\\\\(.|\\\\z)', '$1')"
 
 
 def visited(parts: str) -> str:

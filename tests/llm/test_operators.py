@@ -307,6 +307,13 @@ def test_chat_parts(spark):
     assert r["formatted"] == "<|turn|>user<|text|>see <\\|end|> <|image:768|><|audio:25|><|part:video<\\||><|document:1600|><|part:|><|end|>\n<|turn|>assistant<|text|><|end|>\n"
     assert [tuple(a) for a in r["attachments"]] == [("image", "s3://a.png", 768), ("audio", "b.wav", 25), ("document", None, 1600)]
     assert r["n_attachment_tokens"] == 768 + 25 + 1600
+    for cut in ("<", "</", "</s", "<SY", "<</SYS", "[", "[/INS", "[INST"):
+        whole = cut + ">]" if cut not in ("<", "[") else cut + "|turn|>x"
+        split = [("text", cut, None, None), ("text", whole[len(cut):], None, None)]
+        made = chat_format.format_conversations(spark.createDataFrame([(1, 0, "user", split)], frame.schema))
+        back = chat_format.read_back(made).first()
+        assert [t["text"] for t in back["turns"]] == [whole]
+        assert not any(c in back["formatted"][len("<|turn|>user<|text|>"):] for c in ("<|turn|>", "</s>", "[INST]", "</SYS>"))
 
 
 RECORDS = "record_id long, target_uri string, warc_date string, warc_type string, http_head string, payload_digest string, canonical_url string"
