@@ -221,12 +221,16 @@ def _range_pairs(rows: DataFrame, bits: int, block: int) -> DataFrame:
     return placed.withColumnRenamed("_range", "_r").join(both, ["_bucket", "_r"]).select("_bucket", "_pair", "_side", "code")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
-    rows = stage_table(fingerprints(docs, doc_id, text), "simhash")
+def least_ids(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """Every distinct fingerprint of `rows` (doc_id and fingerprint, written before) with the least doc_id of its component."""
     codes = stage_table(rows.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("_least")), "simhash-codes")
     found = components(near_links(codes.select("code"), bits), "simhash-links")
     labelled = codes.join(found.withColumnRenamed("node", "code"), "code", "left").withColumn("component", F.coalesce("component", "code"))
     ids = labelled.groupBy("component").agg(F.min("_least").alias("component_id"))
-    answers = labelled.join(ids, "component").select(F.col("code").alias("fingerprint"), "component_id")
-    return rows.join(answers, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return labelled.join(ids, "component").select(F.col("code").alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
+    rows = stage_table(fingerprints(docs, doc_id, text), "simhash")
+    return rows.join(least_ids(rows, bits), "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,6 +10,7 @@ from leadloom.llm import packing, quality_rules, simhash_dedup
 from leadloom.operators.stages import stage_table
 
 from . import brute
+from .conftest import DOCS, prose
 
 
 def test_registered_queries_run(spark, sf):
@@ -60,3 +61,19 @@ def test_stages_stand_edge_cases(spark, edge_docs, no_docs, sf):
         for name, stage in pipeline.STAGES:
             docs = stage_table(stage(spark, docs, sf), f"edge-{name}")
             docs.count()
+
+
+def test_simhash_stage_keeps_one_row_of_each_component(spark, edge_docs, no_docs, sf):
+    """Rows without an id and rows that share one lie in many components; none of these may be lost."""
+    more = [(None, prose(s, 60), "en", "a", s) for s in range(20, 30)] + [(77, prose(s, 60), None, "b", s) for s in range(30, 40)]
+    more += [(3, prose(20, 60), "en", "a", 1), (None, None, None, None, None), (50, "x y z", None, "en", 1), (50, "x y z", "en", None, 1), (50, "x y z", "en", None, 1)]
+    docs = edge_docs.select(*pipeline.COLUMNS).unionByName(spark.createDataFrame(more, DOCS))
+    rows = [tuple(r) for r in docs.collect()]
+    codes = [brute.simhash(r[1]) for r in rows]
+    label = brute.groups(len(rows), lambda i, j: (codes[i] ^ codes[j]).bit_count() <= simhash_dedup.BITS)
+    best = {k: min((r[0] is None, r[0] or 0) for r, at in zip(rows, label, strict=True) if at == k) for k in set(label)}
+    assert sum(none for none, _ in best.values()) >= 10 and sum(i == (False, 77) for i in best.values()) == 10
+    got = [tuple(r) for r in pipeline.simhash(spark, docs, sf).collect()]
+    assert set(got) <= set(rows)
+    assert Counter((label[rows.index(r)], (r[0] is None, r[0] or 0)) for r in got) == Counter(best.items())
+    assert pipeline.simhash(spark, no_docs, sf).count() == 0
