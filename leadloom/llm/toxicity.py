@@ -7,7 +7,10 @@ together within a class beyond chance are correlated and share their weight. Its
 regression over a wider vocabulary of the same kind. Scores depend on the text alone.
 
 Bounds (all parameters): `MAX_LABELLED` rows for mining and for training, `MAX_VOTERS` voters, `MAX_FEATURES` features; votes and
-their statistics cover every document, and reach the driver as sums per voter and pair of voters only.
+their statistics cover every document, and reach the driver as sums per voter and pair of voters only. Within `MAX_LABELLED` toxic
+rows come first, up to half of it, or more where the others are fewer than the other half; shares and training weigh each class by what was left out. A
+word longer than `LONGEST_WORD` letters is no feature as a whole, only its beginnings are. Without a voter (no feature in
+`VOTER_ROWS` toxic rows and `VOTER_LIFT` times likelier there) the regression learns from the labels alone.
 
 Defined results: null and empty texts get the score of a text without any feature; rows with a null id are never
 learned from; null labels are no labels; repeated rows score alike; without any toxic or any other labelled row every score
@@ -30,6 +33,7 @@ from leadloom.operators.stages import stage_table
 MAX_LABELLED = 20_000
 MAX_VOTERS = 128
 MAX_FEATURES = 2048
+LONGEST_WORD = 40  # letters up to which a whole word is a feature
 LEAST_ROWS = 4  # labelled rows a feature must occur in
 VOTER_ROWS = 8  # toxic rows that a voter must occur in
 VOTER_LIFT = 10.0  # how much likelier in toxic rows a voter must be
@@ -44,20 +48,30 @@ CACHE = 400_000
 def word_features(word: str) -> list[str]:
     """Names of a chunk's features: the word without its edges, and its beginnings."""
     bare = word.strip(EDGE)
-    if not bare or len(bare) > 40:
+    if not bare:
         return []
-    return [f"={bare}", *[f"^{bare[:n]}" for n in PREFIXES if len(bare) > n]]
+    return [*([f"={bare}"] if len(bare) <= LONGEST_WORD else []), *[f"^{bare[:n]}" for n in PREFIXES if len(bare) > n]]
 
 
 def features_of(text: str) -> set[str]:
     return {f for w in set(text.lower().split()) for f in word_features(w)}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """(text, toxic) of at most `limit` rows that may be learned from, chosen by hash. The list of ids is bounded, so it is broadcast."""
+def by_class(rows: DataFrame, label: str, row_id: str, limit: int) -> tuple[DataFrame, dict[int, float]]:
+    """At most `limit` rows, toxic ones first up to half of it or what the others leave, by hash within a class; and for each class
+    how many rows one taken row stands for."""
+    n = {0: 0, 1: 0} | {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic = min(n[1], max(limit // 2, limit - n[0]))
+    take = {1: toxic, 0: min(n[0], limit - toxic)}
+    first, other = (rows.filter(F.col(label) == k).orderBy(F.xxhash64(row_id), row_id).limit(take[k]) for k in (1, 0))
+    return first.unionByName(other), {k: n[k] / take[k] if take[k] else 1.0 for k in take}
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, dict[int, float]]:
+    """(text, toxic) of at most `limit` rows that may be learned from, and what a row of each class stands for. The list of ids is bounded, so it is broadcast."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_toxic IN (0, 1) AND pmod(crc32(CAST(_id AS STRING)), 5) <> 0")
-    chosen = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_toxic")
+    chosen, stands = by_class(known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")), "_toxic", "_id", limit)
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_toxic"), stands
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:
@@ -182,18 +196,19 @@ def shared_weight(model: LabelModel, both: list, toxic: float, other: float) ->
     return 1 / (1 + most.sum(axis=1))
 
 
-def train(rows: list[list[int]], target: np.ndarray, first: np.ndarray, rounds: int = 200, decay: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch gradient steps (Adam); rows are lists of feature numbers. Weights are
+def train(rows: list[list[int]], target: np.ndarray, first: np.ndarray, stands: np.ndarray, rounds: int = 200, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by full-batch gradient steps (Adam); rows are lists of feature numbers and count as `stands` says. Weights are
     drawn to `first`, what the label model gives its voters, so that a voter seen in few training rows keeps its say."""
     size = len(first)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.fromiter((f for r in rows for f in r), np.int64, len(at))
     w, moment, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    mean = min(max(float(target.mean()), 1e-3), 1 - 1e-3)
+    part = stands / stands.sum()
+    mean = min(max(float((target * part).sum()), 1e-3), 1 - 1e-3)
     w[:size], w[size] = first, math.log(mean / (1 - mean)) - NO_VOTE
     for step in range(1, rounds + 1):
         logit = w[size] + np.bincount(at, w[feature], len(rows))
-        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - target) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - target) * part
         slope = np.append(np.bincount(feature, error[at], size), error.sum()) + decay * np.append(w[:size] - first, 0)
         moment, square = 0.9 * moment + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         w -= 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
@@ -203,9 +218,11 @@ def train(rows: list[list[int]], target: np.ndarray, first: np.ndarray, rounds:
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted and weak_label (the label model's posterior) of every row. `labels` has doc_id and toxic."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    counts = stage_table(feature_counts(labelled_sample(docs, labels, max_labelled)), "toxicity-counts")
+    sample, stands = labelled_sample(docs, labels, max_labelled)
+    counts = stage_table(feature_counts(sample), "toxicity-counts")
     features, n1, n0 = chosen_features(counts, MAX_FEATURES)
-    share = (n1 + 1) / (n1 + n0 + 2)
+    toxic, other = n1 * stands[1], n0 * stands[0]
+    share = (toxic + 1) / (toxic + other + 2)
     names = [f for f, _, _ in features]
     rate = [(a / (n1 + 1) if a >= VOTER_ROWS else 0.0, (b + 1) / (n0 + 1)) for _, a, b in features]
     # Voters come first, so that a vote is a feature number below their count.
@@ -216,15 +233,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     found = found_features(docs, {f: i for i, f in enumerate(names)})
     rows = stage_table(found.join(known, "doc_id", "left").withColumn("votes", F.expr(f"filter(found, v -> v < {voters})")), "toxicity-votes")
     held = "coalesce(pmod(crc32(CAST(doc_id AS STRING)), 5) = 0, true) AS held_out"
-    if not voters:
+    if not names:
         return rows.selectExpr("doc_id", held, f"{share!r}D AS score", f"CAST({share!r}D >= 0.5D AS INT) AS predicted", f"{share!r}D AS weak_label")
-    start = LabelModel(np.clip([r[0] for r in rate[:voters]], 1e-6, 0.999), np.clip([r[1] for r in rate[:voters]], 1e-7, 0.999), share)
-    model = fit_label_model(rows.select("votes", "known"), start)
-    weak = posterior_sql(model)
-    taught = rows.filter("known IS NOT NULL").select("found", F.expr(weak.replace("known IS NOT NULL", "false")).alias("p"), "known", "doc_id")
-    sample = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("found", F.expr("(p + known) / 2").alias("p")).collect()
-    weights, bias = train([r["found"] for r in sample], np.array([r["p"] for r in sample]), np.append(model.terms(), np.zeros(len(names) - voters)))
+    if voters:
+        start = LabelModel(np.clip([r[0] for r in rate[:voters]], 1e-6, 0.999), np.clip([r[1] for r in rate[:voters]], 1e-7, 0.999), share)
+        model = fit_label_model(rows.select("votes", "known"), start)
+        weak, terms = posterior_sql(model).replace("known IS NOT NULL", "false"), model.terms()
+        target = f"({weak} + known) / 2"
+    else:
+        weak, terms, target = f"{share!r}D", np.zeros(0), "CAST(known AS DOUBLE)"
+    taught, stands = by_class(rows.filter("known IS NOT NULL"), "known", "doc_id", max_labelled)
+    sample = taught.select("found", "known", F.expr(target).alias("p")).collect()
+    weights, bias = train(
+        [r["found"] for r in sample], np.array([r["p"] for r in sample]), np.append(terms, np.zeros(len(names) - voters)), np.array([stands[r["known"]] for r in sample])
+    )
     table = "array(" + ", ".join(f"{w!r}D" for w in weights.tolist()) + ")"
     logit = f"aggregate(found, {bias!r}D, (a, v) -> a + {table}[v])"
-    scored = rows.selectExpr("doc_id", held, f"1D / (1D + exp(-({logit}))) AS score", f"{weak.replace('known IS NOT NULL', 'false')} AS weak_label")
+    scored = rows.selectExpr("doc_id", held, f"1D / (1D + exp(-({logit}))) AS score", f"{weak} AS weak_label")
     return scored.selectExpr("doc_id", "held_out", "score", "CAST(score >= 0.5D AS INT) AS predicted", "weak_label")

@@ -13,6 +13,7 @@ from leadloom.llm import chat_format, components, embedding_dedup, mixing, packi
 from leadloom.llm.queries import URL_RULES
 
 from . import brute
+from .conftest import prose
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -264,6 +265,22 @@ def test_toxicity_edge_cases(spark, edge_docs, no_docs):
         assert toxicity.score_toxicity(no_docs, labels).count() == 0
 
 
+def test_toxicity_learns_from_rare_toxic_rows(spark):
+    """A sample by hash alone holds too few of 24 toxic rows in 1,200; six toxic rows make no voter."""
+    for toxic, limit in ((24, 100), (6, 20_000)):
+        ids = [i for i in range(1, 4000) if zlib.crc32(str(i).encode()) % 5][:1200]
+        rows = [(i, f"{prose(i, 20)} {'grobnik' if k < toxic else 'gentle'}") for k, i in enumerate(ids)]
+        docs = spark.createDataFrame([*rows, (-1, "grobnik"), (-2, "gentle")], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(k < toxic)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+        score = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, max_labelled=limit).collect()}
+        assert score[-1] > 10 * score[-2] and (score[-1] > 0.5 or toxic < toxicity.VOTER_ROWS)
+        assert min(score[i] for i in ids[:toxic]) > max(score[i] for i in ids[toxic:])
+
+
+def test_long_words_have_their_beginnings():
+    assert toxicity.word_features("grobnik" * 9) == ["^grob", "^grobn", "^grobni"]
+
+
 URLS = [None, "", "no scheme", "http://A.Example.ORG/es/1?x", "https://example.org/en/12#y", "https://notexample.org/es/", "http://x.com/de", "http://x.com/de/", "HTTP://x.com", "a://b://com/fr/x",
         "http://com/fr/", "http://org", "http://org?/", "http://sub.org/\nline", "http://.org/", "http://x.org./"]
 
