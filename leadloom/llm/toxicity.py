@@ -3,8 +3,9 @@
 Voters are lexicon entries (whole words) and patterns (beginnings of words) mined from a bounded sample of labelled
 rows. A generative label model says how often each voter fires on toxic and on other texts; it is fitted by
 expectation and maximisation over the votes on all documents, with known labels held fixed, and voters that fire
-together within a class beyond chance are correlated and share their weight. Its posterior labels then train a logistic
-regression over a wider vocabulary of the same kind. Scores depend on the text alone.
+together within a class beyond chance are correlated and share their weight. A logistic regression over a wider vocabulary of
+the same kind is then trained on labelled rows only: half of each target is the posterior, half the known label (posteriors alone
+flag more clean rows, see README). Posteriors of rows without a label do not train it. Scores depend on the text alone.
 
 Bounds (all parameters): `MAX_LABELLED` rows for mining and for training, `MAX_VOTERS` voters, `MAX_FEATURES` features; votes and
 their statistics cover every document, and reach the driver as sums per voter and pair of voters only. Within `MAX_LABELLED` toxic
