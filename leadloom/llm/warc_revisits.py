@@ -45,7 +45,7 @@ def status(head: str) -> str:
 
 def headers(head: str) -> str:
     """SQL expression: array of (name, value), names in lower case, in the order of the block."""
-    lines = f"filter(slice(split(coalesce({head}, ''), '\\r?\\n'), 2, 100000), x -> instr(x, ':') > 1)"
+    lines = f"filter(split(coalesce({head}, ''), '\\r?\\n'), (x, i) -> i > 0 AND instr(x, ':') > 1)"
     return f"transform({lines}, x -> named_struct('name', lower(trim(substring_index(x, ':', 1))), 'value', trim(substring(x, instr(x, ':') + 1))))"
 
 

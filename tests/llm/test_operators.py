@@ -363,3 +363,10 @@ def test_revisits_of_one_hot_url_across_partitions(spark):
     rows = [(i, "http://hot.org/", f"{i:06d}", "response" if i % 97 == 0 else "revisit", f'HTTP/1.1 {200 if i % 97 == 0 else 304} X\r\nETag: "{i - i % 97}"\r\n', None, "x") for i in range(2000)]
     out = warc_revisits.resolve(spark.createDataFrame(rows, RECORDS).repartition(5)).collect()
     assert all(r["source_record_id"] == r["record_id"] - r["record_id"] % 97 for r in out)
+
+
+def test_revisits_read_every_header_line(spark):
+    head = "HTTP/1.1 200 OK\r\n" + "x: y\r\n" * 100_000 + 'ETag: "last"\r\n'
+    rows = [(1, "http://a.org/", "2020-01-01", "response", head, None, "x"), (2, "http://a.org/", "2020-01-02", "revisit", 'HTTP/1.1 304 X\r\nETag: "last"\r\n', None, "x")]
+    out = {r["record_id"]: r for r in warc_revisits.resolve(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert out[2]["resolution"] == "resolved" and out[1]["headers"].count("\n") == 100_000
