@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import chat_format, divergence, embedding_dedup, mixing, oracles, packing, quality_rules, simhash_dedup, spelling_variants, substring_dedup, toxicity
-from leadloom.llm import url_filters, warc_revisits
+from leadloom.llm import chat_format, divergence, embedding_dedup, mixing, oracles, packing, quality_ranking, quality_rules, simhash_dedup, spelling_variants, substring_dedup
+from leadloom.llm import toxicity, url_filters, warc_revisits
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [
@@ -96,6 +96,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -106,6 +110,6 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_simhash_dedup, op3_quality_rules, op4_embedding_dedup, op5_substring_dedup, op6_chat_format,
-    op7_best_fit_packing, op8_source_mixing, op9_warc_revisits, op10_url_filters, op12_spelling_variants, op13_source_divergence,
+    op7_best_fit_packing, op8_source_mixing, op9_warc_revisits, op10_url_filters, op11_quality_ranking, op12_spelling_variants, op13_source_divergence,
 )}
 ORACLES: dict[str, str] = {"op12_spelling_variants": oracles.SPELLING_VARIANTS, "op13_source_divergence": oracles.SOURCE_DIVERGENCE}
