@@ -37,7 +37,7 @@ SMOOTH = 5
 TOP_TERMS = 50
 CACHE = 400_000  # distinct terms a task holds, over all its groups, before it writes them
 TILE = 256  # sources compared at once
-SHARD = 500_000  # rows (term, source) of a shard
+SHARD = 50_000  # rows (term, source) of a shard
 TERMS = 4096  # terms of a dense block
 
 #: Every byte of a term as it is, A-Z lower-cased; every other byte a blank. Bytes from 0x80 on belong to letters beyond ASCII.
