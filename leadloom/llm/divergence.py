@@ -39,6 +39,7 @@ CACHE = 400_000  # distinct terms a task holds, over all its groups, before it w
 TILE = 256  # sources compared at once
 SHARD = 50_000  # rows (term, source) of a shard
 TERMS = 4096  # terms of a dense block
+BROADCAST = 1_000_000  # kept digests up to which they are sent to the tasks (16 MB); beyond, a shuffle join finds their strings
 
 #: Every byte of a term as it is, A-Z lower-cased; every other byte a blank. Bytes from 0x80 on belong to letters beyond ASCII.
 LETTERS = bytes(b | 0x20 if chr(b).isascii() and chr(b).isalpha() else b if b >= 0x80 else 0x20 for b in range(256))
@@ -97,7 +98,8 @@ def kept_terms(rows: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
     itself where its digest stands for several, else null."""
     counts = rows.filter("digest IS NOT NULL")
     found = stage_table(frequent(counts.select("lang", "source", "digest", "n", "docs"), ["digest"], least_docs), "divergence-counts")
-    wanted = found.select("digest").distinct()
+    wanted = stage_table(found.select("digest").distinct(), "divergence-digests")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     names = stage_table(counts.select("digest", "term").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("_last")), "divergence-names")
     shared = names.filter("term <> _last").select("digest")
     apart = frequent(counts.join(shared, "digest", "left_semi").withColumnRenamed("term", "split"), ["digest", "split"], least_docs)
@@ -128,12 +130,12 @@ def shares(kept: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stage_table(rows, "divergence-shares"), numbered
 
 
-def block_sums(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard of two tiles: sum of |p - q| of each pair of sources over the terms met, and how many were met."""
+def block_sums(rows: pd.DataFrame, tile: int, size: int) -> pd.DataFrame:
+    """Of one shard of two tiles: sum of |p - q| of each pair of sources over the terms met, and how many were met. Terms are taken `size` at a time."""
     bare = rows["digest"].isna().to_numpy()
     known = rows[bare].sort_values("number")
     number, base = known["number"].to_numpy(), known["p"].to_numpy(np.int64)
-    left, right = (np.flatnonzero(number // TILE == rows[c].iloc[0]) for c in ("_a", "_b"))
+    left, right = (np.flatnonzero(number // tile == rows[c].iloc[0]) for c in ("_a", "_b"))
     rows = rows[~bare]
     column = np.searchsorted(number, rows["number"].to_numpy())
     term = rows.groupby(["digest", "split"], dropna=False, sort=False).ngroup().to_numpy()
@@ -141,9 +143,9 @@ def block_sums(rows: pd.DataFrame) -> pd.DataFrame:
     term, column, p = term[order], column[order], rows["p"].to_numpy(np.int64)[order]
     met = int(term[-1]) + 1 if len(term) else 0
     total = np.zeros((len(left), len(right)), np.int64)
-    for at in range(0, met, TERMS):
-        a, b = np.searchsorted(term, (at, at + TERMS))
-        dense = np.tile(base[:, None], min(TERMS, met - at))
+    for at in range(0, met, size):
+        a, b = np.searchsorted(term, (at, at + size))
+        dense = np.tile(base[:, None], min(size, met - at))
         dense[column[a:b], term[a:b] - at] = p[a:b]
         for k, i in enumerate(left):
             total[k] += np.abs(dense[right] - dense[i]).sum(axis=1)
@@ -160,7 +162,8 @@ def pair_values(rows: DataFrame, groups: DataFrame) -> DataFrame:
     terms_ = rows.withColumn("_shard", F.expr("pmod(xxhash64(digest, split), shards)")).select(*columns)
     bases = groups.filter("kept > 0").selectExpr("lang", "number", "CAST(NULL AS BIGINT) AS digest", "CAST(NULL AS STRING) AS split", "base AS p", "explode(sequence(0L, shards - 1L)) AS _shard")
     dealt = terms_.unionByName(bases).join(tiles, "lang").selectExpr(*columns, spread).selectExpr(*columns, "CAST(_a AS INT) AS _a", "CAST(_b AS INT) AS _b")
-    sums = dealt.groupBy("lang", "_a", "_b", "_shard").applyInPandas(block_sums, "lang string, i int, j int, value long, met long")
+    tile, size = TILE, TERMS
+    sums = dealt.groupBy("lang", "_a", "_b", "_shard").applyInPandas(lambda rows: block_sums(rows, tile, size), "lang string, i int, j int, value long, met long")
     sums = sums.groupBy("lang", "i", "j").agg(F.sum("value").alias("_sum"), F.sum("met").alias("_met"))
     first = groups.select("lang", F.col("source").alias("_s1"), F.col("number").alias("i"), F.col("base").alias("_b1"), "kept")
     second = groups.select("lang", F.col("source").alias("_s2"), F.col("number").alias("j"), F.col("base").alias("_b2"))

@@ -8,7 +8,7 @@ A score of 0 to 1 is the logistic function of the distance to that cut, placed s
 Bounds (parameters): `MAX_LABELLED` labelled rows, by class as in the toxicity operator's sample, and `PARTNERS` pairs for each row of the
 larger class; vectors of these rows alone reach the driver. Statistics, the quantile and the scores cover all rows.
 
-Defined results: null and empty texts are texts without words and get the score of such; rows with a null id are never learned from; null
+Defined results: all texts without words (null, empty, blank) score alike; rows with a null id are never learned from; null
 labels are no labels, of repeated labels the greater counts; ties score alike, as do repeated rows; without any good or any bad labelled
 row every score is the share of good ones (0.5 without labels); a text of any length is read whole; an empty table gives no rows; other
 columns are not read.
@@ -49,12 +49,12 @@ SMALL = 1e-3
 
 def statistics(text: bytes) -> list[float]:
     """Shares of byte classes, then of words and lines; shares are given as logarithms, so that rare and common ones differ alike."""
-    counts = np.bincount(CLASS_OF, np.bincount(np.frombuffer(text, np.uint8), minlength=256), len(CLASSES) + 1)[: len(CLASSES)]
-    shares = np.log(counts / max(1, len(text)) + SMALL).tolist()
     words = text.split()
     n = len(words)
     if not n:
-        return [*shares, *[0.0] * (len(NAMES) - len(CLASSES))]
+        return [*[math.log(SMALL)] * len(CLASSES), *[0.0] * (len(NAMES) - len(CLASSES))]
+    counts = np.bincount(CLASS_OF, np.bincount(np.frombuffer(text, np.uint8), minlength=256), len(CLASSES) + 1)[: len(CLASSES)]
+    shares = np.log(counts / len(text) + SMALL).tolist()
     met = Counter(words)
     lines = [line for line in text.split(b"\n") if line and not line.isspace()]
     again = [line for line, k in Counter(lines).items() if k > 1]

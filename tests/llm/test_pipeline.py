@@ -15,7 +15,7 @@ from .conftest import DOCS, prose
 
 def test_registered_queries_run(spark, sf):
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     for n in names:
         assert entry.queries()[n](spark, sf).limit(5).count() > 0
 
