@@ -101,7 +101,7 @@ def kept_terms(rows: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
     wanted = stage_table(found.select("digest").distinct(), "divergence-digests")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     names = stage_table(counts.select("digest", "term").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("_last")), "divergence-names")
-    shared = names.filter("term <> _last").select("digest")
+    shared = stage_table(names.filter("term <> _last").select("digest"), "divergence-shared")  # hardly ever any, and so small enough to be broadcast
     apart = frequent(counts.join(shared, "digest", "left_semi").withColumnRenamed("term", "split"), ["digest", "split"], least_docs)
     alone = found.join(shared, "digest", "left_anti").withColumn("split", F.lit(None).cast("string"))
     return alone.unionByName(apart), names.select("digest", "term")
