@@ -26,6 +26,12 @@ def usable_location(x: str) -> str:
     return f"coalesce(length({strip(x)}) >= {K.MIN_LOCATION_CHARS}, false)"
 
 
+def one_answer(geocodes: DataFrame) -> DataFrame:
+    """The first answer of each location, in the shape of the table."""
+    first = F.expr("min_by(struct(rank, formatted_address), struct(rank, formatted_address))").alias("_f")
+    return geocodes.groupBy(F.expr(strip("raw_location")).alias("raw_location")).agg(first).select("raw_location", "_f.*")
+
+
 def normalize_locations(leads: DataFrame, geocodes: DataFrame | None) -> DataFrame:
     """Add `normalized_location`: the first geocoding answer for the location, if it is long enough to ask."""
     if geocodes is None:
@@ -114,6 +120,14 @@ def place_details(places: DataFrame) -> DataFrame:
     return one.selectExpr("place_id", "struct(website, phone, address) AS details")
 
 
+def one_place(places: DataFrame) -> DataFrame:
+    """The details that count of each place, in the shape of the table."""
+    return place_details(places).selectExpr(
+        "place_id", f"{NO_TEXT} AS name", "details.address AS formatted_address", "details.website AS website_uri",
+        f"{NO_TEXT} AS national_phone", "details.phone AS international_phone",
+    )
+
+
 def match_places(leads: DataFrame, snapshots: Snapshots, opts: PlaceOptions = PlaceOptions()) -> DataFrame:
     """Leads with `place` = STRUCT<place_id, place_name, tier, match_score, details>; null where none matched.
 

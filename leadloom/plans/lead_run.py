@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from leadloom.operators.dedup import dedup_leads
 from leadloom.operators.mapping import rejected_rows, valid_leads
 from leadloom.operators.normalize import normalize_leads, typed_leads
 from leadloom.operators.pages import enrich_from_pages, page_lookup, page_signals, skip_pages
-from leadloom.operators.places import enrich_from_places
+from leadloom.operators.places import enrich_from_places, one_answer, one_place
 from leadloom.operators.resolve import keep_stage, resolve_leads
 from leadloom.operators.score import score_leads
 from leadloom.operators.stages import in_plan, stage_table
@@ -52,12 +52,34 @@ def clean_leads(tagged: DataFrame, opts: RunOptions = RunOptions()) -> DataFrame
     return typed_leads(dedup_leads(normalize_leads(valid_leads(tagged), opts.normalize), opts.normalize))
 
 
-def staged_leads(cleaned: DataFrame, snapshots: Snapshots, opts: RunOptions = RunOptions()) -> DataFrame:
+@dataclass(frozen=True)
+class Lookups:
+    """What leads are looked up in, reduced to one row per key and written once for several runs over the same snapshots."""
+
+    pages: DataFrame | None
+    snapshots: Snapshots
+
+
+def page_lookups(snapshots: Snapshots, opts: RunOptions = RunOptions()) -> Lookups:
+    pages, geocodes, places = snapshots.site_pages, snapshots.geocodes, snapshots.places
+    if opts.pages.enabled and pages is not None:
+        pages = stage_table(page_lookup(page_signals(pages, opts.pages)), "page-lookup")
+    if opts.places.enabled and geocodes is not None:
+        geocodes = stage_table(one_answer(geocodes), "geocodes")
+    if opts.places.enabled and places is not None:
+        places = stage_table(one_place(places), "places")
+    return Lookups(pages, replace(snapshots, geocodes=geocodes, places=places))
+
+
+def staged_leads(
+    cleaned: DataFrame, snapshots: Snapshots, opts: RunOptions = RunOptions(), lookups: Lookups | None = None
+) -> DataFrame:
     """Leads after the page and the place stage, with the values each stage started from."""
+    snapshots = lookups.snapshots if lookups else snapshots
     keep = stage_table if opts.stage_tables else in_plan
     based = keep_stage(keep(cleaned, "clean"), "base")
     if opts.pages.enabled and snapshots.site_pages is not None:
-        lookup = keep(page_lookup(page_signals(snapshots.site_pages, opts.pages)), "page-lookup")
+        lookup = lookups.pages if lookups else keep(page_lookup(page_signals(snapshots.site_pages, opts.pages)), "page-lookup")
         paged = keep(
             enrich_from_pages(based, lookup, snapshots.search_results, opts.pages, opts.phone_region, keep), "paged"
         )
@@ -84,4 +106,4 @@ def run_leads(tagged: DataFrame, snapshots: Snapshots = Snapshots(), opts: RunOp
     return LeadRun(tagged, final, opts)
 
 
-__all__ = ["LEAD_COLUMNS", "LeadRun", "clean_leads", "finish_leads", "run_leads", "staged_leads"]
+__all__ = ["LEAD_COLUMNS", "LeadRun", "Lookups", "clean_leads", "finish_leads", "page_lookups", "run_leads", "staged_leads"]

@@ -3,8 +3,7 @@
 `row_id` is the position of a record in reading order. It is unique and ordered but has gaps;
 `with_row_index` makes it dense and 0-based at the price of one more pass.
 
-JSON Lines and single-line CSV split across tasks. A JSON file with one big array, or a CSV whose
-quoted fields hold line breaks, is one task per file: write many files of moderate size.
+JSON Lines and CSV split across tasks, CSV also where quoted fields hold line breaks (see `split`).
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql.window import Window
 from leadloom import constants as K
 from leadloom.operators.mapping import listing_record, map_headed_rows, map_records, tag_rejects
 from leadloom.settings import MappingOptions
+from leadloom.sources.split import csv_records, read_lines
 
 MAX_HEADERS = 1000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the position within a partition in its low bits
@@ -45,11 +45,20 @@ def _numbered(df: DataFrame, dense: bool) -> DataFrame:
     return with_row_index(df) if dense else df.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def header_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, _line): the first line of each file that is not blank. Reads the files' text once; narrow rows are shuffled."""
-    lines = spark.read.text(path).where("_metadata.file_block_start = 0 AND trim(value) <> ''")
-    placed = lines.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"), "value")
-    return placed.groupBy("_file").agg(F.min_by("value", "_at").alias("_line"))
+def ordered_index(df: DataFrame, at: str, name: str = "row_id") -> DataFrame:
+    """Dense 0-based position by `at`, a position that `monotonically_increasing_id` gave and that may have gaps."""
+    part = F.shiftright(at, _LOCAL_BITS)
+    sizes = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(at)) - 1
+    return df.withColumn("_part", part).withColumn("_local", local).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """_file, _first (its place) and _line: the first line of each file that is not blank."""
+    first = lines.where("_block = 0 AND btrim(value, ' \\t\\r') <> ''").groupBy("_file").agg(F.min(F.struct("_at", "value")).alias("_f"))
+    return first.select("_file", F.col("_f._at").alias("_first"), F.col("_f.value").alias("_line"))
 
 
 def header_fields(line: str) -> list[str]:
@@ -59,33 +68,37 @@ def header_fields(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("﻿")]))
 
 
+def csv_rows(lines: DataFrame, same_header: bool = False, multiline: bool = True, dense_index: bool = False) -> tuple[DataFrame, list[list[str]]]:
+    """`read_csv` over lines with their place (see `split.placed`), of files or of a micro-batch."""
+    found = first_lines(lines)
+    if same_header:
+        first = found.select("_line").first()
+        texts = [first["_line"]] if first else []
+    else:
+        texts = [r["_line"] for r in found.select("_line").distinct().orderBy("_line").limit(MAX_HEADERS + 1).collect()]
+        if len(texts) > MAX_HEADERS:
+            raise ValueError(f"more than {MAX_HEADERS} different headers")
+    headers = [header_fields(text) for text in texts] or [[]]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(map(len, headers)))])
+    records = csv_records(lines) if multiline else lines.withColumn("value", F.rtrim("value", F.lit("\r"))).where(F.trim("value") != "")
+    which = F.lit(0) if len(headers) == 1 else (F.array_position(F.array(*map(F.lit, texts)), F.col("_line")) - 1).cast("int")
+    body = records.join(found.select("_file", "_first", which.alias("_header")), "_file").where("_block <> 0 OR _at <> _first")
+    fields = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"quote": '"', "escape": '"'}) if schema else None
+    rows = body.select("_at", "_header", *([fields.alias("_row")] if schema else []))
+    numbered = ordered_index(rows, "_at") if dense_index else rows.withColumnRenamed("_at", "row_id")
+    return numbered.select("row_id", *[f"_row.{c}" for c in schema.names], "_header"), headers
+
+
 def read_csv(
     spark: SparkSession, path: str, multiline: bool = True, same_header: bool = False, dense_index: bool = False
 ) -> tuple[DataFrame, list[list[str]]]:
     """`row_id`, all columns as text under the names c0, c1, ..., `_header` (the number of the file's header), and the headers.
 
-    Files may differ in their headers (in at most `MAX_HEADERS` ways). Finding that out reads the text of all files once
-    more; `same_header=True` says that they do not, and takes the header of the first file for all.
+    Files may differ in their headers (in at most `MAX_HEADERS` ways). Finding that out reads the first split of every file
+    once more; `same_header=True` says that they do not, and takes the header of one file for all. `multiline=False` says that no field
+    holds a line break, which saves the pass that counts quotes. A header must be one line.
     """
-    if same_header:
-        first = spark.read.text(path).where("trim(value) <> ''").first()
-        lines = [first["value"]] if first else []
-    else:
-        found = header_lines(spark, path)
-        lines = [r["_line"] for r in found.select("_line").distinct().orderBy("_line").limit(MAX_HEADERS + 1).collect()]
-        if len(lines) > MAX_HEADERS:
-            raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
-    headers = [header_fields(line) for line in lines] or [[]]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(map(len, headers)))])
-    rows = spark.read.csv(
-        path, schema=schema, header=True, multiLine=multiline, quote='"', escape='"', encoding="utf-8",
-        mode="PERMISSIVE", enforceSchema=True,
-    )
-    if len(headers) == 1:
-        return _numbered(rows, dense_index).withColumn("_header", F.lit(0)), headers
-    numbered = _numbered(rows.select("*", F.col("_metadata.file_path").alias("_file")), dense_index)
-    which = (F.array_position(F.array(*map(F.lit, lines)), F.col("_line")) - 1).cast("int").alias("_header")
-    return numbered.join(found.select("_file", which), "_file").drop("_file"), headers
+    return csv_rows(read_lines(spark, path), same_header, multiline, dense_index)
 
 
 def read_plain_csv(
@@ -113,8 +126,8 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.try_parse_json("value").alias("record"))
 
 
-def read_json_file(spark: SparkSession, path: str, list_keys: tuple[str, ...] = K.JSON_LIST_KEYS) -> DataFrame:
-    """Records of whole-file JSON in order: `record`, or a row with `bad_root` where a file holds no record list."""
+def json_roots(texts: DataFrame, list_keys: tuple[str, ...] = K.JSON_LIST_KEYS) -> DataFrame:
+    """Records of whole JSON texts (`value`) in order: `record`, or a row with `bad_root` where a text holds no record list."""
     root = F.col("root")
 
     def is_list(v):
@@ -125,14 +138,18 @@ def read_json_file(spark: SparkSession, path: str, list_keys: tuple[str, ...] =
         F.when(is_list(root), F.try_variant_get(root, "$", "array<variant>")),
         *[F.when(is_list(m), F.try_variant_get(m, "$", "array<variant>")) for m in members],
     )
-    files = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("root"))
-    exploded = files.select(records.alias("records")).select(
+    exploded = texts.select(F.try_parse_json("value").alias("root")).select(records.alias("records")).select(
         F.col("records").isNull().alias("bad_root"), F.explode_outer("records").alias("record"),
         F.size("records").alias("n"),
     )
     return exploded.where(F.col("bad_root") | (F.col("n") > 0)).drop("n")
 
 
+def read_json_file(spark: SparkSession, path: str, list_keys: tuple[str, ...] = K.JSON_LIST_KEYS) -> DataFrame:
+    """`json_roots` of whole files, each in one task."""
+    return json_roots(spark.read.text(path, wholetext=True), list_keys)
+
+
 def read_leads(
     spark: SparkSession,
     path: str,
@@ -155,11 +172,9 @@ def read_leads(
         rows = _numbered(read_json_lines(spark, path), dense_index)
         return tag_rejects(map_records(rows, mapping), mapping)
     if kind == "json":
-        return _from_records(read_json_file(spark, path), mapping, dense_index, "invalid_json_root")
+        return tag_rejects(map_roots(read_json_file(spark, path), mapping, False, dense_index), mapping)
     if kind == "listing":
-        listings = read_json_file(spark, path, K.LISTING_LIST_KEYS)
-        leads = listings.withColumn("record", F.expr(listing_record("record")))
-        return _from_records(leads, mapping, dense_index, "invalid_listing_root")
+        return tag_rejects(map_roots(read_json_file(spark, path, K.LISTING_LIST_KEYS), mapping, True, dense_index), mapping)
     raise ValueError(f"unsupported input format: {fmt}")
 
 
@@ -168,17 +183,17 @@ def _suffix_format(path: str) -> str:
     return next((f for f in ("jsonl", "json") if lowered.endswith(f".{f}")), "csv")
 
 
-def _from_records(records: DataFrame, mapping: MappingOptions, dense: bool, root_reason: str) -> DataFrame:
+def map_roots(records: DataFrame, mapping: MappingOptions, listing: bool = False, dense: bool = False) -> DataFrame:
+    """Mapped rows of `json_roots`; a listing's records are renamed first."""
+    if listing:
+        records = records.withColumn("record", F.expr(listing_record("record")))
     numbered = _numbered(records, dense)
     # a bad root is one reject without a row number
     row = F.when(~F.col("bad_root"), F.col("row_id"))
     mapped = map_records(
         numbered.select(F.struct(row.alias("id"), F.col("bad_root").alias("bad")).alias("row_id"), "record"), mapping
     )
-    bad_root = F.col("row_id.bad")
-    return tag_rejects(
-        mapped.withColumn("_bad_record", F.when(bad_root, root_reason).otherwise(F.col("_bad_record"))).withColumn(
-            "row_id", F.col("row_id.id")
-        ),
-        mapping,
+    reason = "invalid_listing_root" if listing else "invalid_json_root"
+    return mapped.withColumn("_bad_record", F.when(F.col("row_id.bad"), reason).otherwise(F.col("_bad_record"))).withColumn(
+        "row_id", F.col("row_id.id")
     )
