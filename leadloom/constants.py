@@ -111,22 +111,51 @@ SCORE_BUCKETS = (("0–20", 0, 20), ("21–40", 21, 40), ("41–60", 41, 60), ("
 # --- fixed values: fields of the missing-data profile ---
 PROFILE_FIELDS = ("email", "phone", "website", "agent_name", "location", "lead_reason", "website_speed_score")
 
-# --- fixed values: public numbering plans (region, calling code, trunk prefix, international
-#     dialling prefix, national number shape) ---
-PHONE_REGIONS = (
-    ("ZA", "27", "0", "00", r"(1[0-8]|2[1-8]|3[1-69]|4[0-9]|5[1346-8]|6[0-9]|7[0-9]|8[0-9])[0-9]{7}"),
-    ("US", "1", "1", "011", r"[2-9][0-9]{2}[2-9][0-9]{6}"),
-    ("GB", "44", "0", "00", r"[1-357-9][0-9]{9}|[18][0-9]{8}"),
-    ("DE", "49", "0", "00", r"[1-9][0-9]{6,11}"),
-    ("AU", "61", "0", "0011", r"[23478][0-9]{8}|1[38]00[0-9]{6}|13[0-9]{4}"),
-    ("IN", "91", "0", "00", r"[1-9][0-9]{9}"),
-    ("BR", "55", "0", "00", r"[1-9]{2}(9[0-9]{8}|[2-5][0-9]{7})"),
-    ("FR", "33", "0", "00", r"[1-9][0-9]{8}"),
-    ("JP", "81", "0", "010", r"[1-9][0-9]{8}|[789]0[0-9]{8}"),
-    ("MX", "52", "01", "00", r"[1-9][0-9]{9}"),
-    ("NG", "234", "0", "009", r"[789][0-9]{9}|[1-9][0-9]{6,7}"),
-)
-# --- fixed values: length of national numbers (trunk prefix, fewest digits, most digits, calling codes) ---
+# --- fixed values: public numbering plans by ranges of first digits, from general knowledge of the plans: region, calling code,
+#     trunk prefix, international dialling prefix, and "from-to:fewest-most digits" of the national numbers; what no range holds is
+#     not assigned. "areas/rest" puts each range of `rest` behind each of the areas.
+PHONE_RANGES = (
+    ("ZA", "27", "0", "00", "10-18:9 21-28:9 31-36:9 39:9 40-49:9 51:9 53-54:9 56-58:9 60-89:9"),
+    ("US", "1", "1", "011", "200-289,300-369,380-389,400-489,500-589,600-689,700-789,800-889,900-959,970-989/2-9:10"),
+    ("GB", "44", "0", "00", "1:9-10 20:10 23-24:10 28-29:10 3:10 55-56:10 7:10 80:9-10 82-85:10 87:10 9:10"),
+    ("DE", "49", "0", "00", "15:11 16-17:10-11 18-19:7-12 2-9:7-11"),
+    ("AU", "61", "0", "0011", "1300:10 1301-139:6 1800:10 2-4:9 7-8:9"),
+    ("IN", "91", "0", "00", "11-19:10 2-9:10"),
+    ("BR", "55", "0", "00", "11-19,21-22,24,27-28,31-35,37-38,41-49,51,53-55,61-69,71,73-75,77,79,81-89,91-99/2-5:10 11-19,21-22,24,27-28,31-35,37-38,41-49,51,53-55,61-69,71,73-75,77,79,81-89,91-99/9:11"),
+    ("FR", "33", "0", "00", "1-9:9"),
+    ("JP", "81", "0", "010", "1-4:9 50:10 51-69:9 70:10 71-79:9 80:10 81-89:9 90:10 91-99:9"),
+    ("MX", "52", "01", "00", "2-9:10"),
+    ("NG", "234", "0", "009", "1:8 2-6:7-8 70-71:10 80-81:10 90-91:10"),
+    ("IT", "39", "", "00", "0:6-11 3:9-10 8:6-10"),
+    ("ES", "34", "", "00", "6-9:9"),
+    ("NL", "31", "0", "00", "1-7:9 800:7-10 85:9 88:9 900:7-10"),
+    ("BE", "32", "0", "00", "1-3:8 42-43:8 45-49:9 5-9:8"),
+    ("CH", "41", "0", "00", "2-9:9"),
+    ("PT", "351", "", "00", "2:9 30:9 6-9:9"),
+    ("IE", "353", "0", "00", "1:8 2-7:7-9 8:9 9:7-9"),
+    ("DK", "45", "", "00", "2-9:8"),
+    ("NO", "47", "", "00", "2-9:8"),
+    ("CZ", "420", "", "00", "2-9:9"),
+    ("GR", "30", "", "00", "2:10 6:10 80:10 90:10"),
+    ("RU", "7", "8", "810", "3-4:10 6-9:10"),
+    ("TR", "90", "0", "00", "2-5:10 8-9:10"),
+    ("CN", "86", "0", "00", "10:10 13-19:11 2:10 3-9:10-11"),
+    ("HK", "852", "", "001", "2-9:8"),
+    ("SG", "65", "", "000", "1800:11 3:8 6:8 8-9:8"),
+    ("MY", "60", "0", "00", "1:9-10 3:9 4-9:8"),
+    ("AE", "971", "0", "00", "2-4:8 5:9 6-7:8 9:8"),
+    ("IL", "972", "0", "00", "2-4:8 5:9 7:9 8-9:8"),
+    ("KE", "254", "0", "000", "1:9 20:7-9 4-6:8-9 7:9"),
+    ("GH", "233", "0", "00", "2-3:9 5:9"),
+    ("MZ", "258", "", "00", "2:8 8:9"),
+    ("NA", "264", "0", "00", "6:8-9 8:9"),
+    ("LS", "266", "", "00", "2:8 5-6:8"),
+    ("SZ", "268", "", "00", "2:8 7:8"),
+    ("CL", "56", "", "00", "2-9:9"),
+    ("PE", "51", "0", "00", "1:8 4-8:8 9:9"),
+    ("NZ", "64", "0", "00", "2:8-10 3-4:8 6-7:8 9:8"),
+)
+# --- fixed values: length of national numbers under the other calling codes (trunk prefix, fewest digits, most digits, calling codes) ---
 NATIONAL_LENGTHS = (
     ("", 4, 5, "290"), ("", 4, 7, "683 690"), ("", 4, 11, "352"), ("", 5, 5, "500 682"), ("", 5, 6, "247"), ("", 5, 7, "676 677 678 685 688"),
     ("", 5, 8, "686"), ("", 6, 6, "298 299 508 672 681 687"), ("", 6, 7, "597"), ("", 6, 8, "689"), ("", 6, 9, "376"), ("", 6, 10, "378"),
@@ -144,11 +173,13 @@ NATIONAL_LENGTHS = (
     ("0", 9, 10, "84 92"), ("0", 9, 11, "86"), ("0", 10, 10, "58 90 98"), ("0", 10, 11, "54"),
     ("06", 8, 9, "36"), ("8", 8, 8, "993"), ("8", 9, 10, "375"), ("8", 10, 10, "7"),
 )
-# regions known by these lengths alone are named by their calling code; without a trunk prefix a number may begin with 0
-PHONE_REGIONS += tuple(
-    (f"+{code}", code, trunk, "00", f"[{1 if trunk else 0}-9][0-9]{{{least - 1},{most - 1}}}")
+# a plan known by its lengths alone is named by its calling code; without a trunk prefix a number may begin with 0
+_WITH_RANGES = {code for _, code, _, _, _ in PHONE_RANGES}
+PHONE_PLANS = PHONE_RANGES + tuple(
+    (f"+{code}", code, trunk, "00", f"{1 if trunk else 0}-9:{least}-{most}")
     for trunk, least, most, codes in NATIONAL_LENGTHS
     for code in codes.split()
+    if code not in _WITH_RANGES
 )
 DEFAULT_PHONE_REGION = "ZA"
 MAX_NATIONAL_DIGITS = 17

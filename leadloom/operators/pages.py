@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leadloom import constants as K
 from leadloom.functions import html as H
-from leadloom.functions.contacts import check_email, check_phone
+from leadloom.functions.contacts import PhoneRules, check_email, check_phone
 from leadloom.functions.hosts import plausible_site
 from leadloom.functions.normalize import company_key, page_key, with_scheme
 from leadloom.functions.text import NO_TEXT, has_text, let, struct
@@ -192,7 +192,7 @@ def _pick_email(pages: str) -> str:
     return let("ck", checked, let("pk", facts, pick))
 
 
-def _pick_phone(pages: str, region: str) -> str:
+def _pick_phone(pages: str, region: str | PhoneRules) -> str:
     checked = f"transform(flatten(transform({pages}, pg -> concat(pg.schema_phones, pg.phones))), pa0 -> {check_phone('pa0', region)})"
     facts = struct(total="size(ck)", valid="filter(ck, cp -> cp.valid)")
     pick = struct(
@@ -204,7 +204,7 @@ def _pick_phone(pages: str, region: str) -> str:
     return let("ck", checked, let("pk", facts, pick))
 
 
-def with_site(gathered: DataFrame, phone_region: str = K.DEFAULT_PHONE_REGION) -> DataFrame:
+def with_site(gathered: DataFrame, phone_region: str | PhoneRules = K.DEFAULT_PHONE_REGION) -> DataFrame:
     """Add `site`: picks, counts and signals over all pages of a lead; null without a homepage."""
     kept = [c for c in gathered.columns if c not in ("page", "pages")]
     picked = gathered.selectExpr(
@@ -257,7 +257,7 @@ def enrich_from_pages(
     lookup: DataFrame,
     search_results: DataFrame | None = None,
     opts: PageOptions = PageOptions(),
-    phone_region: str = K.DEFAULT_PHONE_REGION,
+    phone_region: str | PhoneRules = K.DEFAULT_PHONE_REGION,
     keep: Callable[[DataFrame, str], DataFrame] = in_plan,
 ) -> DataFrame:
     """Fill contacts and signals of each lead from its homepage and contact pages (see `page_lookup`).

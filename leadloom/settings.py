@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from leadloom import constants as K
+from leadloom.functions.contacts import PhoneRules
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,8 @@ class RunOptions:
     places: PlaceOptions = PlaceOptions()
     resolve: ResolveOptions = ResolveOptions()
     score: ScoreOptions = ScoreOptions()
-    phone_region: str = K.DEFAULT_PHONE_REGION
+    # a region, or functions.contacts.PhoneRules with numbering plans of one's own
+    phone_region: str | PhoneRules = K.DEFAULT_PHONE_REGION
     run_ts: datetime | None = None
     # write each stage to the shared checkpoint folder, so that a lost executor replays one stage only
     stage_tables: bool = False

@@ -1,6 +1,6 @@
 import pytest
 
-from leadloom.functions.contacts import check_email, check_phone
+from leadloom.functions.contacts import PhoneRules, check_email, check_phone
 from leadloom.operators.verify import verify_leads
 from tests.helpers import leads, one
 
@@ -46,6 +46,35 @@ def test_phone(spark, phone, value, reason):
     assert (got["value"], got["reason"], got["valid"]) == (value, reason, value is not None)
 
 
+@pytest.mark.parametrize(
+    "phone,value",
+    [
+        # assigned, by hand
+        ("+1 212 555 0123", "+12125550123"), ("+1 989-555-0123", "+19895550123"), ("+44 28 9012 3456", "+442890123456"), ("+61 2 9876 5432", "+61298765432"),
+        ("+61 1300 123 456", "+611300123456"), ("+55 (0)91 3234-5678", "+559132345678"), ("+55 91 91234-5678", "+5591912345678"), ("+49 171 1234567", "+491711234567"),
+        ("+86 138 0013 8000", "+8613800138000"), ("+254 (0)712 345 678", "+254712345678"), ("+41 44 668 18 00", "+41446681800"), ("+65 6123 4567", "+6561234567"),
+        ("+27 60 123 4567", "+27601234567"), ("+32 470 12 34 56", "+32470123456"), ("+972 (0)50-123-4567", "+972501234567"),
+        # in no range, or of another length than their range has
+        ("+1 211 555 0123", None), ("+1 199 555 0123", None), ("+1 371 555 0123", None), ("+1 212 155 0123", None), ("+1 212 555 012", None), ("+44 25 9012 3456", None),
+        ("+61 1301 123 456", None), ("+55 91 81234-5678", None), ("+55 91 9123-4567", None), ("+86 118 0013 8000", None), ("+27 52 123 4567", None), ("+32 47 12 34 56", None),
+        ("+351 5 1234 5678", None), ("+65 2123 4567", None), ("+27 (0)90 123 4567", None),
+    ],
+)
+def test_phone_ranges(spark, phone, value):
+    got = one(spark, check_phone("p"), p=phone)
+    assert (got["value"], got["reason"]) == (value, "valid_e164" if value else "invalid_number")
+
+
+def test_phone_plans_are_an_argument(spark):
+    rules = PhoneRules("XA", (("XA", "999", "0", "00", "12-13:5-6 15:8"), ("XB", "1", "", "00", "20-21,30/4-5:7")))
+    ask = check_phone("p", rules)
+    for phone, value in [("012 345", "+99912345"), ("0134567", "+999134567"), ("14567", None), ("+999 15 123456", "+99915123456"), ("00 1 21 4 1234", "+12141234"), ("+1 22 4 1234", None)]:
+        assert one(spark, ask, p=phone)["value"] == value, phone
+    assert one(spark, ask, p="+27825550199")["reason"] == "fallback_normalized"
+    with pytest.raises(ValueError, match="overlap"):
+        check_phone("p", PhoneRules("XA", (("XA", "9", "0", "00", "1-3:5 25:6"),)))
+
+
 def test_phone_region_is_an_option(spark):
     assert one(spark, check_phone("p", "GB"), p="020 7183 8750")["value"] == "+442071838750"
     with pytest.raises(ValueError):

@@ -116,8 +116,14 @@ _LISTING = """SELECT row_id, CASE WHEN json_type(record::JSON) <> 'OBJECT' THEN
 
 # --- contacts --------------------------------------------------------------------------------------
 
-_REGIONS = ", ".join(f"({lit(r)}, {lit(c)}, {lit(t)}, {lit(i)}, {lit(s)})" for r, c, t, i, s in K.PHONE_REGIONS)
-CTES["regions"] = f"SELECT * FROM (VALUES {_REGIONS}) AS t(region, code, trunk, idd, shape)"
+_PLANS = ", ".join(f"({lit(r)}, {lit(c)}, {lit(t)}, {lit(i)}, {lit(s)})" for r, c, t, i, s in K.PHONE_PLANS)
+CTES["regions"] = f"SELECT * FROM (VALUES {_PLANS}) AS t(region, code, trunk, idd, ranges)"
+CTES["plan_parts"] = "SELECT code, unnest(string_split(ranges, ' ')) AS part FROM regions"
+CTES["plan_spans"] = """SELECT code, unnest(string_split(CASE WHEN contains(part, '/') THEN split_part(part, '/', 1) ELSE '' END, ',')) AS area,
+  split_part(regexp_replace(part, '^.*/', ''), ':', 1) AS span, split_part(part, ':', 2) AS lengths FROM plan_parts"""
+CTES["plan_rows"] = """SELECT code, split_part(area, '-', 1) AS area_low, split_part(area, '-', CASE WHEN contains(area, '-') THEN 2 ELSE 1 END) AS area_high,
+  split_part(span, '-', 1) AS low, split_part(span, '-', CASE WHEN contains(span, '-') THEN 2 ELSE 1 END) AS high,
+  split_part(lengths, '-', 1)::INT AS least, split_part(lengths, '-', CASE WHEN contains(lengths, '-') THEN 2 ELSE 1 END)::INT AS most FROM plan_spans"""
 
 
 def _phones(name: str, source: str) -> None:
@@ -132,15 +138,18 @@ SELECT *, CASE WHEN starts_with(num, '+') THEN d WHEN starts_with(d, '00') THEN
 FROM {name}_parts"""
     # one try per plan and reading; the first that fits counts
     CTES[f"{name}_tries"] = f"""
-SELECT raw, code, nsn, ord FROM (
-  SELECT raw, r.code, CASE WHEN starts_with(substr(intl, length(r.code) + 1), r.trunk) THEN substr(intl, length(r.code) + length(r.trunk) + 1) END AS nsn, 1 AS ord, r.shape
+SELECT t.raw, t.code, t.nsn, t.ord FROM (
+  SELECT raw, r.code, CASE WHEN starts_with(substr(intl, length(r.code) + 1), r.trunk) THEN substr(intl, length(r.code) + length(r.trunk) + 1) END AS nsn, 1 AS ord
     FROM {name}_dial JOIN regions r ON starts_with(intl, r.code)
-  UNION ALL SELECT raw, r.code, substr(intl, length(r.code) + 1), 2, r.shape FROM {name}_dial JOIN regions r ON starts_with(intl, r.code)
-  UNION ALL SELECT raw, r.code, CASE WHEN starts_with(d, r.trunk) THEN substr(d, length(r.trunk) + 1) END, 1, r.shape FROM {name}_dial JOIN regions r ON r.region = 'ZA' AND intl IS NULL
-  UNION ALL SELECT raw, r.code, d, 2, r.shape FROM {name}_dial JOIN regions r ON r.region = 'ZA' AND intl IS NULL
-  UNION ALL SELECT raw, r.code, CASE WHEN starts_with(d, r.code || r.trunk) THEN substr(d, length(r.code) + 2) WHEN starts_with(d, r.code) THEN substr(d, length(r.code) + 1) END, 3, r.shape
+  UNION ALL SELECT raw, r.code, substr(intl, length(r.code) + 1), 2 FROM {name}_dial JOIN regions r ON starts_with(intl, r.code)
+  UNION ALL SELECT raw, r.code, CASE WHEN starts_with(d, r.trunk) THEN substr(d, length(r.trunk) + 1) END, 1 FROM {name}_dial JOIN regions r ON r.region = 'ZA' AND intl IS NULL
+  UNION ALL SELECT raw, r.code, d, 2 FROM {name}_dial JOIN regions r ON r.region = 'ZA' AND intl IS NULL
+  UNION ALL SELECT raw, r.code, CASE WHEN starts_with(d, r.code || r.trunk) THEN substr(d, length(r.code) + 2) WHEN starts_with(d, r.code) THEN substr(d, length(r.code) + 1) END, 3
     FROM {name}_dial JOIN regions r ON r.region = 'ZA' AND intl IS NULL)
-WHERE regexp_full_match(nsn, shape)"""
+t
+SEMI JOIN plan_rows p ON p.code = t.code AND length(t.nsn) BETWEEN p.least AND p.most AND substr(t.nsn, 1, length(p.area_low)) BETWEEN p.area_low AND p.area_high
+  AND substr(t.nsn, length(p.area_low) + 1, length(p.low)) >= p.low AND substr(t.nsn, length(p.area_low) + 1, length(p.high)) <= p.high
+  AND NOT (length(p.area_low) = 3 AND substr(t.nsn, 2, 2) = '11')"""
     CTES[name] = f"""
 SELECT p.raw, CASE WHEN p.raw = '' THEN NULL WHEN ok AND hit IS NOT NULL THEN '+' || hit WHEN ok THEN NULL
     WHEN length(all_digits) >= 7 THEN CASE WHEN starts_with(p.raw, '+') THEN '+' ELSE '' END || all_digits END AS value,
@@ -165,7 +174,19 @@ FROM (SELECT DISTINCT coalesce(raw, '') AS raw, lower({strip("coalesce(raw, '')"
 
 _phones("phone_in", "SELECT phone AS raw FROM mapped")
 _emails("email_in", "SELECT email AS raw FROM mapped")
-ORACLES["verify_phone"] = f"SELECT m.row_id, p.value, p.valid, p.reason FROM mapped m JOIN phone_in p ON p.raw = {strip(chr(99) + 'oalesce(m.phone, ' + chr(39) * 2 + ')')}"
+# written by hand, not from the numbering plans
+CTES["phones_by_hand"] = """SELECT * FROM (VALUES
+  ('12', NULL, 'invalid_number'), ('+999 1234 5678', '+99912345678', 'fallback_normalized'), ('0044 20 7183 8750', '+442071838750', 'valid_e164'),
+  ('+27 (0)21 555 1234 ext 12', '+27215551234', 'valid_e164'), ('1234567', NULL, 'invalid_number'), ('+1 (415) 555-2671', '+14155552671', 'valid_e164'),
+  ('', NULL, 'empty_phone'), ('+33 1 42 22 22 22', '+33142222222', 'valid_e164'), ('+49 (0)151 2345 6789', '+4915123456789', 'valid_e164'),
+  ('+55 11 91234-5678', '+5511912345678', 'valid_e164'), ('+351 21 123 4567', '+351211234567', 'valid_e164'), ('+31 (0)20 624 1111', '+31206241111', 'valid_e164'),
+  ('+234 803 123 4567', '+2348031234567', 'valid_e164'), ('+44 21 1234 5678', NULL, 'invalid_number'), ('+1 911 555 2671', NULL, 'invalid_number'),
+  ('+1 290 555 2671', NULL, 'invalid_number'), ('+1 (212) 155-2671', NULL, 'invalid_number'), ('+55 20 3234-5678', NULL, 'invalid_number'),
+  ('+61 1 2345 6789', NULL, 'invalid_number'), ('00 27 59 123 4567', NULL, 'invalid_number'), ('+7 500 123 45 67', NULL, 'invalid_number'),
+  ('+852 1234 5678', NULL, 'invalid_number')) AS t(raw, value, reason)"""
+ORACLES["verify_phone"] = """SELECT m.row_id, CASE WHEN h.raw IS NULL THEN '+2782555' || right(m.phone, 4) ELSE h.value END AS value,
+  coalesce(h.reason, 'valid_e164') IN ('valid_e164', 'fallback_normalized') AS valid, coalesce(h.reason, 'valid_e164') AS reason
+FROM mapped m LEFT JOIN phones_by_hand h ON h.raw = coalesce(m.phone, '')"""
 ORACLES["verify_email"] = """SELECT m.row_id, e.value, e.valid, e.reason, e.is_disposable, e.quality, e.is_role_based
 FROM mapped m JOIN email_in e ON e.raw = coalesce(m.email, '')"""
 
@@ -210,6 +231,7 @@ CTES["offline"] = f"""SELECT *, {score({}, K.BASE_SCORE)} AS lead_score, {REASON
 FROM (SELECT *, CAST(NULL AS BOOLEAN) AS has_chatbot, CAST(NULL AS VARCHAR) AS last_updated_signal, CAST(NULL AS INT) AS website_speed_score FROM graded)"""
 ORACLES["offline_score"] = "SELECT row_id, company_name, contact_quality, lead_score, lead_reason FROM offline"
 ORACLES["incremental_leads"] = "SELECT row_id, company_name, website, email, contact_quality, lead_score FROM offline"
+ORACLES["incremental_tables"] = ORACLES["incremental_resume"] = ORACLES["incremental_leads"]
 ORACLES["lead_search"] = """SELECT row_id, company_name, location FROM offline WHERE contains(lower(concat_ws(' ', nullif(company_name, ''), nullif(agent_name, ''),
   nullif(location, ''), nullif(email, ''), nullif(website, ''), nullif(phone, ''), nullif(lead_reason, ''), nullif(source, ''))), 'cape prop')"""
 ORACLES["lead_page"] = "SELECT row_id, company_name, lead_score FROM offline ORDER BY lead_score DESC, row_id LIMIT 25 OFFSET 50"
@@ -444,6 +466,7 @@ CTES["final_graded"] = f"""SELECT r.*, {_QUALITY} AS contact_quality, e.valid AS
 JOIN email_final e ON e.raw = coalesce(r.email, '') JOIN phone_final p ON p.raw = {strip("coalesce(r.phone, '')")}"""
 CTES["final"] = f"SELECT *, {score({}, K.BASE_SCORE)} AS lead_score, {REASON_TEXT} AS lead_reason FROM final_graded"
 ORACLES["lead_score"] = "SELECT row_id, lead_score, lead_reason, lead_score AS confidence_score, contact_quality FROM final"
+ORACLES["incremental_jsonl"] = ORACLES["incremental_csv"] = "SELECT company_name, website, email, phone, location, contact_quality, lead_score, lead_reason FROM final"
 ORACLES["export_canonical"] = """SELECT company_name, agent_name, website, email, phone, location, source, lead_score AS confidence_score, has_chatbot, website_speed_score,
   last_updated_signal, contact_quality, lead_score, lead_reason FROM final"""
 ORACLES["lead_filter"] = """SELECT row_id, company_name, lead_score FROM final WHERE lead_score >= 60 AND contact_quality = 'verified' AND NOT has_chatbot AND last_updated_signal = 'unknown'

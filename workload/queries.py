@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -436,22 +437,91 @@ def recent_runs_kpi(spark, sf):
     return analytics.kpis(runs.recent_leads(leads, all_runs, last=100))
 
 
-def land_in_order(raw: DataFrame, landing: str, files: int) -> str:
-    """Write `raw` as files that arrive one after the other in row order."""
-    size = -(-(raw.agg(F.max("row_id")).first()[0] + 1) // files)
-    for part in range(files):
-        raw.where(f"{dedup.batch_of('row_id', size)} = {part}").coalesce(1).write.mode("append").parquet(landing)
-    return landing
+# --- incremental ------------------------------------------------------------------------------------
 
 
-# --- incremental ------------------------------------------------------------------------------------
+def parts_in_order(raw: DataFrame, parts: int) -> list[DataFrame]:
+    """`raw` in ranges of its row ids, one landing each."""
+    size = -(-(raw.agg(F.max("row_id")).first()[0] + 1) // parts)
+    return [raw.where(f"{dedup.batch_of('row_id', size)} = {part}") for part in range(parts)]
+
+
+def parts_by_identity(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The raw rows that are the first of their identity in two landings, then all others, so that text files need no order."""
+    raw = view(spark, sf, "leads_raw").withColumnRenamed("row_index", "row_id")
+    first = clean(spark, sf).select("row_id")
+    kept = stages.stage_table(raw.join(first, "row_id", "left_semi"), "first-rows")
+    return [kept.where("row_id % 2 = 0"), kept.where("row_id % 2 = 1"), raw.join(first, "row_id", "left_anti")]
+
+
+def arriving(flow: IncrementalLeads, parts: list[DataFrame], fmt: str = "parquet") -> IncrementalLeads:
+    """Lets the parts land one after the other, as many files each as they have partitions, and processes each as a batch."""
+    landing = stages.new_path(flow.spark, "landing")
+    for part in parts:
+        rows = part if fmt == "parquet" else part.drop("row_id")
+        writer = rows.write.mode("append")
+        writer.option("header", True).option("escape", '"').csv(landing) if fmt == "csv" else writer.json(landing) if fmt == "jsonl" else writer.parquet(landing)
+        flow.process(landing, part.schema, files_per_batch=1_000_000, fmt=fmt)
+    return flow
+
+
+def raw_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return parts_in_order(view(spark, sf, "leads_raw").withColumnRenamed("row_index", "row_id"), 3)
+
+
+OFFLINE_COLUMNS = ("row_id", "company_name", "website", "email", "contact_quality", "lead_score")
+FULL_COLUMNS = ("company_name", "website", "email", "phone", "location", "contact_quality", "lead_score", "lead_reason")
 
 
 @query
 def incremental_leads(spark, sf):
-    """Lands the raw leads as files, processes them file by file, and reads what was stored."""
-    raw = view(spark, sf, "leads_raw").withColumnRenamed("row_index", "row_id")
-    landing = land_in_order(raw, stages.new_path(spark, "landing"), files=3)
+    """Lands the raw leads as files, processes them as they land, and reads what was stored. Known identities are in the state."""
     flow = IncrementalLeads(spark, stages.new_path(spark, "incremental"), OFFLINE)
-    flow.process(landing, raw.schema)
-    return flow.stored().select("row_id", "company_name", "website", "email", "contact_quality", "lead_score")
+    return arriving(flow, raw_parts(spark, sf)).stored().select(*OFFLINE_COLUMNS)
+
+
+@query
+def incremental_tables(spark, sf):
+    """The same with the identities read from the stored tables."""
+    flow = IncrementalLeads(spark, stages.new_path(spark, "incremental"), OFFLINE, known="tables")
+    return arriving(flow, raw_parts(spark, sf)).stored().select(*OFFLINE_COLUMNS)
+
+
+@query
+def incremental_jsonl(spark, sf):
+    """JSON Lines, with pages and places looked up."""
+    flow = IncrementalLeads(spark, stages.new_path(spark, "incremental"), FULL, snapshots(spark, sf))
+    return arriving(flow, parts_by_identity(spark, sf), "jsonl").stored().select(*FULL_COLUMNS)
+
+
+@query
+def incremental_csv(spark, sf):
+    """CSV files, each with its own header, with pages and places looked up."""
+    flow = IncrementalLeads(spark, stages.new_path(spark, "incremental"), FULL, snapshots(spark, sf))
+    return arriving(flow, parts_by_identity(spark, sf), "csv").stored().select(*FULL_COLUMNS)
+
+
+class _Interrupted(IncrementalLeads):
+    """Stops in the second batch, after its rows passed the state."""
+
+    def _finish(self, clean: DataFrame, batch_id: int) -> None:
+        if batch_id == 1:
+            raise RuntimeError("interrupted")
+        super()._finish(clean, batch_id)
+
+
+@query
+def incremental_resume(spark, sf):
+    """A run that stops in its second batch is gone on with by another one."""
+    folder = stages.new_path(spark, "incremental")
+    landing = stages.new_path(spark, "landing")
+    parts = raw_parts(spark, sf)
+    for k, part in enumerate(parts):
+        part.write.mode("append").parquet(landing)
+        flow = (_Interrupted if k == 1 else IncrementalLeads)(spark, folder, OFFLINE)
+        try:
+            flow.process(landing, part.schema, files_per_batch=1_000_000)
+        except StreamingQueryException as error:
+            if "interrupted" not in str(error):
+                raise
+    return IncrementalLeads(spark, folder, OFFLINE).stored().select(*OFFLINE_COLUMNS)

@@ -32,7 +32,11 @@ SELECT c.c_custkey AS row_index,
   CASE c.c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '12' WHEN 2 THEN concat('082 555 0', lpad(CAST(c.c_custkey % 1000 AS {_TEXT}), 3, '0'))
        WHEN 3 THEN concat('+27 82 555 0', lpad(CAST(c.c_custkey % 1000 AS {_TEXT}), 3, '0')) WHEN 4 THEN '+999 1234 5678'
        WHEN 5 THEN '0044 20 7183 8750' WHEN 6 THEN '+27 (0)21 555 1234 ext 12' WHEN 7 THEN '1234567'
-       WHEN 8 THEN '' ELSE '+1 (415) 555-2671' END AS phone,
+       WHEN 8 THEN '' WHEN 9 THEN CASE CAST(floor(c.c_custkey / 11) AS BIGINT) % 15 WHEN 0 THEN '+33 1 42 22 22 22' WHEN 1 THEN '+49 (0)151 2345 6789'
+         WHEN 2 THEN '+55 11 91234-5678' WHEN 3 THEN '+351 21 123 4567' WHEN 4 THEN '+31 (0)20 624 1111' WHEN 5 THEN '+234 803 123 4567'
+         WHEN 6 THEN '+44 21 1234 5678' WHEN 7 THEN '+1 911 555 2671' WHEN 8 THEN '+1 290 555 2671' WHEN 9 THEN '+1 (212) 155-2671'
+         WHEN 10 THEN '+55 20 3234-5678' WHEN 11 THEN '+61 1 2345 6789' WHEN 12 THEN '00 27 59 123 4567' WHEN 13 THEN '+7 500 123 45 67' ELSE '+852 1234 5678' END
+       ELSE '+1 (415) 555-2671' END AS phone,
   CASE c.c_custkey % 8 WHEN 0 THEN NULL WHEN 4 THEN 'SA' ELSE n.n_name END AS location,
   CASE WHEN c.c_custkey % 9 = 0 THEN 'input,google_maps' WHEN c.c_custkey % 9 = 1 THEN '' ELSE 'input' END AS source
 FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
