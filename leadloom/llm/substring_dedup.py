@@ -286,21 +286,43 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     return found.groupBy(*KEYS).agg(F.collect_set(F.struct("first", "words")).alias("_ranges"))
 
 
+def kept_words(n: int, ranges: list[dict]) -> np.ndarray:
+    gone = np.zeros(n + 1, np.int64)
+    np.add.at(gone, [r["first"] for r in ranges], 1)
+    np.add.at(gone, [r["first"] + r["words"] for r in ranges], -1)
+    return np.cumsum(gone)[:-1] == 0
+
+
 def cut(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
-    """Words, removed words and what is kept."""
+    """Words, removed words and the words that are kept, joined by blanks."""
     words = text.split()
     if not ranges:
         return len(words), 0, b" ".join(words)
-    gone = np.zeros(len(words) + 1, np.int64)
-    np.add.at(gone, [r["first"] for r in ranges], 1)
-    np.add.at(gone, [r["first"] + r["words"] for r in ranges], -1)
-    keep = (np.cumsum(gone)[:-1] == 0).tolist()
+    keep = kept_words(len(words), ranges).tolist()
     kept = [w for w, k in zip(words, keep, strict=True) if k]
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """`row` (a struct of the columns `carry`), n_words, n_removed and kept_text of every row."""
+def cut_in_place(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
+    """Words, removed words and the text as it was but for the bytes from each removed run's first word to the next kept word; what stands
+    before a run at the end of the text loses its blanks. A text without removal is unchanged."""
+    starts, ends = word_spans(np.frombuffer(text, np.uint8))
+    if not ranges or not len(starts):
+        return len(starts), 0, text
+    keep = kept_words(len(starts), ranges)
+    edge = np.flatnonzero(keep[1:] != keep[:-1]) + 1  # where kept and removed words meet
+    firsts, parts = [0, *edge.tolist()], []
+    for a, b in zip(firsts, [*edge.tolist(), len(keep)], strict=True):
+        if keep[a]:
+            parts.append(text[(0 if a == 0 else int(starts[a])) : (len(text) if b == len(keep) else int(starts[b]))])
+    whole = b"".join(parts)
+    return len(keep), int((~keep).sum()), whole if keep[-1] else whole.rstrip(b" \t\n\x0b\f\r")
+
+
+def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", in_place: bool = False) -> DataFrame:
+    """`row` (a struct of the columns `carry`), n_words, n_removed and kept_text of every row: the kept words joined by blanks or, with
+    `in_place`, the text with its own blanks and line ends (see `cut_in_place`)."""
+    cutter = cut_in_place if in_place else cut
     row = F.struct(*[F.col(c) for c in carry])
     rows = docs.select(row.alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), *row_key(F.to_json(row), F.col(text)))
     ranges = stage_table(repeated_ranges(rows.select(*KEYS, "_text")), "substring-ranges")
@@ -310,7 +332,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [cut(t.as_py(), r.as_py()) for t, r in zip(batch["_text"], batch["_ranges"], strict=True)]
+            out = [cutter(t.as_py(), r.as_py()) for t, r in zip(batch["_text"], batch["_ranges"], strict=True)]
             n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
             arrays = [batch["row"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", *extra])

@@ -47,7 +47,8 @@ def groups(n, linked):
     return [root(i) for i in range(n)]
 
 
-def without_repeats(texts, window=35):
+def repeat_flags(texts, window=35):
+    """For each text, which of its words stay."""
     split = [words(t) for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
     out = []
@@ -56,10 +57,27 @@ def without_repeats(texts, window=35):
         for i in range(len(w) - window + 1):
             if seen[tuple(w[i : i + window])] > 1:
                 gone[i : i + window] = True
-        out.append((len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+        out.append((~gone).tolist())
     return out
 
 
+def without_repeats(texts, window=35):
+    flags = repeat_flags(texts, window)
+    return [(len(f), f.count(False), " ".join(x for x, stays in zip(words(t), f, strict=True) if stays)) for t, f in zip(texts, flags, strict=True)]
+
+
+def in_place(text, kept):
+    """`text` with only the words of the list `kept` (the words that stay, in order, as a list of flags), blanks as they were."""
+    found = list(WORD.finditer(text or ""))
+    if all(kept):
+        return text or ""
+    out = "" if not kept[0] else text[: found[0].start()]
+    for k, (word, stays) in enumerate(zip(found, kept, strict=True)):
+        if stays:
+            out += text[word.start() : found[k + 1].start() if k + 1 < len(found) else len(text)]
+    return out if kept[-1] else out.rstrip(" \t\n\x0b\f\r")
+
+
 def url_parts(url):
     if not url or "://" not in url:
         return "", ""

@@ -113,6 +113,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_substring_cuts_in_place(edge_docs, documents):
+    """Untouched texts stay byte for byte; others lose the removed runs and keep all other line ends and blanks."""
+    for docs in (edge_docs, documents):
+        rows = docs.select("doc_id", "text").collect()
+        flags = brute.repeat_flags([r["text"] for r in rows])
+        expected = Counter((r["doc_id"], brute.in_place(r["text"], f)) for r, f in zip(rows, flags, strict=True))
+        got = substring_dedup.remove_repeats(docs, ["doc_id"], in_place=True).select("row.doc_id", "kept_text").collect()
+        assert Counter(map(tuple, got)) == expected
+
+
 def test_substring_matches_brute_force(edge_docs, documents, no_docs):
     for docs in (edge_docs, documents):
         rows = docs.select("doc_id", "text").collect()

@@ -42,8 +42,10 @@ def test_stages_match_brute_force(kept):
     single = {r["doc_id"]: r["text"] for r in kept["simhash_dedup"].collect()}
     assert set(single) == {ids[k] for k in set(label)}
     order = sorted(single)
-    cut = {i: t for i, (n, gone, t) in zip(order, brute.without_repeats([single[i] for i in order]), strict=True) if not gone or gone < n}
+    flags = brute.repeat_flags([single[i] for i in order])
+    cut = {i: brute.in_place(single[i], f) for i, f in zip(order, flags, strict=True) if all(f) or any(f)}
     assert {r["doc_id"]: r["text"] for r in kept["substring_dedup"].collect()} == cut
+    assert any("\n" in t for t in cut.values()) and any(t != single[i] for i, t in cut.items())
     drawn = Counter(r["doc_id"] for r in kept["source_mixing"].collect())
     assert set(drawn) == set(cut) and max(drawn.values()) <= 2
     pieces = kept["best_fit_packing"].toPandas()
