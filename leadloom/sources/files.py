@@ -19,6 +19,7 @@ from leadloom import constants as K
 from leadloom.operators.mapping import listing_record, map_headed_rows, map_records, tag_rejects
 from leadloom.settings import MappingOptions
 from leadloom.sources.split import csv_records, read_lines
+from leadloom.sources.split_json import FAULT, json_elements
 
 MAX_HEADERS = 1000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the position within a partition in its low bits
@@ -48,11 +49,11 @@ def _numbered(df: DataFrame, dense: bool) -> DataFrame:
 def ordered_index(df: DataFrame, at: str, name: str = "row_id") -> DataFrame:
     """Dense 0-based position by `at`, a position that `monotonically_increasing_id` gave and that may have gaps."""
     part = F.shiftright(at, _LOCAL_BITS)
-    sizes = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(part.alias("_part")).agg(F.count(at).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(at)) - 1
-    return df.withColumn("_part", part).withColumn("_local", local).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
+    return df.withColumn("_part", part).withColumn("_local", local).join(starts, "_part", "left").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
@@ -145,9 +146,19 @@ def json_roots(texts: DataFrame, list_keys: tuple[str, ...] = K.JSON_LIST_KEYS)
     return exploded.where(F.col("bad_root") | (F.col("n") > 0)).drop("n")
 
 
-def read_json_file(spark: SparkSession, path: str, list_keys: tuple[str, ...] = K.JSON_LIST_KEYS) -> DataFrame:
-    """`json_roots` of whole files, each in one task."""
-    return json_roots(spark.read.text(path, wholetext=True), list_keys)
+def read_json_file(spark: SparkSession, path: str, list_keys: tuple[str, ...] = K.JSON_LIST_KEYS, whole: bool = False) -> DataFrame:
+    """Records of whole-file JSON: `record` and its place `_at`, or a row with `bad_root` where a file holds no record list or is no JSON.
+
+    Files are read in byte splits (see `split_json`). As one broken record refuses its file, records are read once more to find these.
+    `whole=True` reads each file in one task instead, as suits many small ones.
+    """
+    if whole:
+        return json_roots(spark.read.text(path, wholetext=True), list_keys)
+    records, unsound = json_elements(spark, path, list_keys)
+    parsed = records.select("_file", "_at", (F.col("_kind") == FAULT).alias("_fault"), F.try_parse_json("value").alias("record"))
+    broken = parsed.where("_fault OR record IS NULL").select("_file").unionByName(unsound).distinct()
+    good = parsed.join(broken, "_file", "left_anti").select(F.lit(False).alias("bad_root"), "record", "_at")
+    return good.unionByName(broken.select(F.lit(True).alias("bad_root"), F.expr("CAST(NULL AS VARIANT)").alias("record"), F.lit(None).cast("long").alias("_at")))
 
 
 def read_leads(
@@ -187,7 +198,10 @@ def map_roots(records: DataFrame, mapping: MappingOptions, listing: bool = False
     """Mapped rows of `json_roots`; a listing's records are renamed first."""
     if listing:
         records = records.withColumn("record", F.expr(listing_record("record")))
-    numbered = _numbered(records, dense)
+    if "_at" in records.columns:
+        numbered = ordered_index(records, "_at") if dense else records.withColumn("row_id", F.col("_at"))
+    else:
+        numbered = _numbered(records, dense)
     # a bad root is one reject without a row number
     row = F.when(~F.col("bad_root"), F.col("row_id"))
     mapped = map_records(

@@ -42,7 +42,7 @@ def quote_states(lines: DataFrame) -> DataFrame:
     return odd.select(*SPLIT, ((upto + F.col("_odd")) % 2 == 1).alias("_open"), (upto == 1).alias("_ends_open"))
 
 
-def _in_order(lines: DataFrame, states: DataFrame, small: bool) -> DataFrame:
+def in_order(lines: DataFrame, states: DataFrame, small: bool) -> DataFrame:
     """Lines with the state of their split, those of a split together and in order."""
     if small:  # a broadcast join leaves rows where they are
         return lines.join(F.broadcast(states), SPLIT)
@@ -84,16 +84,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of()
 
 
+def stitched(parts: DataFrame, by: str) -> DataFrame:
+    """_file, _block, _at and value of the records that lie across splits, from their pieces in order."""
+    in_file = Window.partitionBy("_file").orderBy("_block", "_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = parts.withColumn("_record", F.sum((F.col("_kind") == TAIL).cast("int")).over(in_file)).groupBy("_file", "_record")
+    joined = grouped.agg(F.array_sort(F.collect_list(F.struct("_block", "_at", "value"))).alias("_parts"))
+    return joined.select("_file", F.expr("_parts[0]._block AS _block"), F.expr("_parts[0]._at AS _at"), F.array_join("_parts.value", by).alias("value"))
+
+
 def csv_records(lines: DataFrame) -> DataFrame:
     """_file, _block, _at and the text `value` of every record that is not blank, without its line end."""
     states = quote_states(lines)
     small = states.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
-    whole = _in_order(lines, states, small).mapInArrow(_cut, PIECES).where(F.col("_kind") == WHOLE).drop("_kind")
+    whole = in_order(lines, states, small).mapInArrow(_cut, PIECES).where(F.col("_kind") == WHOLE).drop("_kind")
     across = states.where("_open OR _ends_open")
-    parts = _in_order(lines, across, small).mapInArrow(_cut, PIECES).where(F.col("_kind") != WHOLE)
-    in_file = Window.partitionBy("_file").orderBy("_block", "_at").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = parts.withColumn("_record", F.sum((F.col("_kind") == TAIL).cast("int")).over(in_file)).groupBy("_file", "_record")
-    joined = grouped.agg(F.array_sort(F.collect_list(F.struct("_block", "_at", "value"))).alias("_parts"))
-    stitched = joined.select("_file", F.expr("_parts[0]._block AS _block"), F.expr("_parts[0]._at AS _at"), F.expr("array_join(_parts.value, '\\n') AS value"))
-    records = whole.unionByName(stitched).withColumn("value", F.rtrim("value", F.lit("\r")))
+    parts = in_order(lines, across, small).mapInArrow(_cut, PIECES).where(F.col("_kind") != WHOLE)
+    records = whole.unionByName(stitched(parts, "\n")).withColumn("value", F.rtrim("value", F.lit("\r")))
     return records.where(F.trim("value") != "")
