@@ -39,3 +39,15 @@ forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10
 chain AS (SELECT word, word AS root FROM words UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root FROM forms f JOIN chain c USING (word) JOIN forms e ON e.word = c.root WHERE e.form IS NULL
 """
+
+URL_FILTERS = r"""
+WITH rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS written FROM rests),
+parts AS (SELECT page_id, translate(written, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(written) + 1), '^[^?#]*') AS path FROM hosts),
+rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(verdict, host, path)),
+fits AS (SELECT p.page_id, r.host || r.path AS rule, r.verdict,
+                row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host) DESC, length(r.path) DESC) AS place
+         FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.place = 1
+"""

@@ -112,4 +112,6 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_simhash_dedup, op3_quality_rules, op4_embedding_dedup, op5_substring_dedup, op6_chat_format,
     op7_best_fit_packing, op8_source_mixing, op9_warc_revisits, op10_url_filters, op11_quality_ranking, op12_spelling_variants, op13_source_divergence,
 )}
-ORACLES: dict[str, str] = {"op12_spelling_variants": oracles.SPELLING_VARIANTS, "op13_source_divergence": oracles.SOURCE_DIVERGENCE}
+ORACLES: dict[str, str] = {
+    "op10_url_filters": oracles.URL_FILTERS, "op12_spelling_variants": oracles.SPELLING_VARIANTS, "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
+}
