@@ -70,6 +70,7 @@ class IncrementalLeads:
         self.stop_on_error = stop_on_error
         self.known = known
         self._lookups: Lookups | None = None
+        self._prepared: set[str] = set()
 
     def process(self, landing: str, schema: T.StructType | None = None, files_per_batch: int = 1, fmt: str = "parquet") -> None:
         """Work off everything that has landed and not been processed yet, then return.
@@ -194,6 +195,9 @@ class IncrementalLeads:
 
     def _prepare(self, name: str, schema: T.StructType | str) -> None:
         """Make the table's folder where it is not there yet, so that an empty table can be read."""
+        if name in self._prepared:
+            return
+        self._prepared.add(name)
         self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self._fields(schema)]).write.mode("append").partitionBy("batch_id").parquet(f"{self.folder}/{name}")
 
     def _fields(self, schema: T.StructType | str) -> list[T.StructField]:
