@@ -37,6 +37,7 @@ STEP = 10  # how many times as frequent a form must be
 DROP = 31  # of this many runs one loses a code point
 ENOUGH = 7
 CACHE = 500_000
+TASK_WORDS = 50_000  # words that a task makes keys of
 PREFIX = 3  # bigrams that one edit cannot all touch without leaving two disjoint ones to choose
 
 #: Latin-1 bytes: letters as they are, A-Z lower-cased, all else a blank.
@@ -173,7 +174,8 @@ def entries(words: DataFrame, ranks: np.ndarray) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): every two words one edit apart, both ways."""
-    found = stage_table(entries(words, bigram_ranks(words)), "variants-keys")
+    tasks = words.count() // TASK_WORDS + words.sparkSession.sparkContext.defaultParallelism
+    found = stage_table(entries(words.repartition(tasks), bigram_ranks(words)), "variants-keys")
     asked = found.filter("pivot").select("key", F.col("word").alias("a"), F.col("n").alias("an"), F.col("last").alias("alast"))
     given = found.select("key", F.col("word").alias("b"), F.col("n").alias("bn"), F.col("last").alias("blast"))
     close = "alast <= blast AND a <> b AND abs(char_length(a) - char_length(b)) <= 1 AND levenshtein(a, b, 1) = 1"
