@@ -22,7 +22,8 @@ def _candidate_keys(field: str, opts: MappingOptions) -> list[str]:
 
 
 def _field(field: str, value: str, opts: MappingOptions) -> str:
-    default = str(opts.defaults.get(field) or "").strip()
+    given = opts.defaults.get(field)
+    default = "" if given is None else str(given).strip()
     return f"coalesce({value}, {q(default)}) AS {field}" if default else f"{value} AS {field}"
 
 

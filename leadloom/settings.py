@@ -40,7 +40,7 @@ class PageOptions:
 class PlaceOptions:
     enabled: bool = True
     min_name_match: float = K.MIN_NAME_MATCH
-    similarity: str = "gestalt"  # or "levenshtein", which stays inside the JVM
+    similarity: str = "levenshtein"  # inside the JVM; or "gestalt", the Ratcliff/Obershelp ratio, in Python workers
     max_candidates: int | None = None  # None takes every answer of the directory, a number those of the first ranks
 
 

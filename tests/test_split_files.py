@@ -85,7 +85,7 @@ def json_texts():
     }
 
 
-@pytest.mark.parametrize(("small_splits", "broadcast"), [(20_000, split.BROADCAST_SPLITS), (20_000, 0)], indirect=["small_splits"])
+@pytest.mark.parametrize(("small_splits", "broadcast"), [(8_000, split.BROADCAST_SPLITS), (8_000, 0)], indirect=["small_splits"])
 def test_one_json_list_is_read_by_many_tasks(spark, tmp_path, small_splits, monkeypatch, broadcast):
     monkeypatch.setattr(split_json, "BROADCAST_SPLITS", broadcast)
     texts = json_texts() if broadcast else {n: t for n, t in json_texts().items() if n in ("root", "envelope", "no comma", "two commas", "last comma", "broken record")}

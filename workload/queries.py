@@ -24,7 +24,7 @@ from workload.views import view
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# similarity that SQL can repeat; the default of the library is the exact gestalt ratio
+# similarity that SQL can repeat, the default of the library
 LEVENSHTEIN = PlaceOptions(similarity="levenshtein")
 FULL = RunOptions(places=LEVENSHTEIN, stage_tables=True)
 OFFLINE = RunOptions(pages=PageOptions(enabled=False), places=PlaceOptions(enabled=False))
@@ -237,7 +237,7 @@ def _place_match(opts: PlaceOptions, spark, sf) -> DataFrame:
 
 
 QUERIES["place_match_lev"] = partial(_place_match, LEVENSHTEIN)
-QUERIES["place_match_ratio"] = partial(_place_match, PlaceOptions())
+QUERIES["place_match_ratio"] = partial(_place_match, PlaceOptions(similarity="gestalt"))
 
 
 @query
