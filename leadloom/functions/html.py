@@ -103,7 +103,9 @@ def _objects(items: str) -> str:
 
 
 def without_comments(html: str) -> str:
-    return f"regexp_replace({html}, '(?s)<!--.*?-->', ' ')"
+    """Html without comments; what looks like one inside a script is the script's own text."""
+    either = r"(?is)<!--.*?-->|(<script\b[^>]*>.*?</script\s*>)"
+    return f"regexp_replace({html}, {q(either)}, ' $1')"
 
 
 def jsonld_objects(html: str) -> str:

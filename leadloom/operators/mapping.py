@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import constants as K
-from leadloom.functions.text import NO_TEXT, blank_to_null, digits, q
+from leadloom.functions.text import NO_TEXT, blank_to_null, digits, q, strip
 from leadloom.settings import MappingOptions
 
 REASON = "reject_reason"
@@ -66,7 +66,7 @@ def map_records(
     is_object = f"coalesce(schema_of_variant({record}) LIKE 'OBJECT<%', false)"
     entries = (
         f"transform(map_entries(if({is_object}, try_variant_get({record}, '$', 'map<string,variant>'), NULL)), "
-        "en -> named_struct('k', lower(trim(en.key)), 'v', en.value))"
+        f"en -> named_struct('k', lower({strip('en.key')}), 'v', en.value))"
     )
     keyed = df.selectExpr(row_id, f"{is_object} AS _is_object", f"{entries} AS _entries")
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leadloom.operators.stages import stage_table
+
 WHOLE, HEAD, MIDDLE, TAIL = range(4)
 BROADCAST_SPLITS = 200_000  # splits whose state is sent to every task (some 20 MB); beyond, lines are dealt to their splits
 SPLIT = ["_file", "_block"]
@@ -94,7 +96,7 @@ def stitched(parts: DataFrame, by: str) -> DataFrame:
 
 def csv_records(lines: DataFrame) -> DataFrame:
     """_file, _block, _at and the text `value` of every record that is not blank, without its line end."""
-    states = quote_states(lines)
+    states = stage_table(quote_states(lines), "csv-splits")  # small, and all text would be read again for it
     small = states.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
     whole = in_order(lines, states, small).mapInArrow(_cut, PIECES).where(F.col("_kind") == WHOLE).drop("_kind")
     across = states.where("_open OR _ends_open")

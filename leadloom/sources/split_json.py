@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadloom import constants as K
+from leadloom.operators.stages import stage_table
 from leadloom.sources.split import BROADCAST_SPLITS, HEAD, MIDDLE, PIECES, SPLIT, TAIL, WHOLE, in_order, placed, stitched
 
 END = "}"
@@ -254,7 +255,7 @@ def json_elements(spark: SparkSession, path: str, list_keys: tuple[str, ...] = K
     """(_file, _at, value): the text of every record of every file's list, and the files that hold none or are no JSON. Files are read as
     `list_keys` say: a root list, or the first of these members that is one."""
     pieces, read = read_pieces(spark, path)
-    states = split_states(pieces, list_keys)
+    states = stage_table(split_states(pieces, list_keys), "json-splits")  # small, and all text would be read again for it
     small = states.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
     sizes = read.groupBy(F.col("file_path").alias("_file")).agg(F.max("file_size").alias("_size"))
     # a brace was put behind every piece; if the file's last one had none, that brace ends one level too deep. A byte order mark is not

@@ -93,3 +93,10 @@ def test_jsonld_in_a_comment_is_not_read(spark):
     html = '<!-- <script type="application/ld+json">{"email":"hid@x.example"}</script> --><script type="application/ld+json">{"email":"in@x.example"}</script>'
     found = one(spark, f"to_json({H.jsonld_objects('html')})", html=html)
     assert "in@x.example" in found and "hid@x.example" not in found
+
+
+def test_a_comment_mark_inside_a_script_opens_no_comment(spark):
+    block = '<script type="application/ld+json">{"email":"%s"}</script>'
+    html = f"<script>var a = '<!--';</script>{block % 'a@b.com'}<!-- {block % 'gone@b.com'} -->{block % 'c@b.com'}"
+    found = one(spark, f"to_json({H.jsonld_objects('html')})", html=html)
+    assert "a@b.com" in found and "c@b.com" in found and "gone@b.com" not in found

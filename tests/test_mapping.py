@@ -194,3 +194,14 @@ def test_listing_fallbacks_pass_over_empty_values_only(spark, tmp_path):
     opts = MappingOptions(strict_contacts=False)
     rows = read_leads(spark, put(tmp_path, "l.json", json.dumps(body)), "listing", opts, dense_index=True).orderBy("row_id")
     assert [r["email"] for r in rows.collect()] == [want for _, want in cases]
+
+
+def test_record_keys_lose_all_white_space(spark):
+    rows = spark.createDataFrame([(0, json.dumps({"\t Company\n": "A"}))], "row_id bigint, t string").selectExpr("row_id", "try_parse_json(t) AS record")
+    assert map_records(rows).first()["company_name"] == "A"
+
+
+def test_defaults_that_are_no_text_or_false_are_kept(spark):
+    rows = spark.createDataFrame([(0, "A", None)], "row_id bigint, company string, source string")
+    got = map_columns(rows, MappingOptions(defaults={"source": 0, "has_chatbot": False, "location": " ", "phone": None})).first()
+    assert (got["source"], got["has_chatbot"], got["location"], got["phone"]) == ("0", "False", None, None)

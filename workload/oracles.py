@@ -247,7 +247,7 @@ _BUCKETS = ", ".join(f"({lit(label)}, {lo}, {hi})" for label, lo, hi in K.SCORE_
 ORACLES["score_histogram"] = f"""SELECT bucket, lo, hi, count(o.row_id) AS leads FROM (VALUES {_BUCKETS}) AS b(bucket, lo, hi)
 LEFT JOIN offline o ON o.lead_score BETWEEN b.lo AND b.hi GROUP BY bucket, lo, hi"""
 ORACLES["missing_fields"] = " UNION ALL ".join(
-    f"SELECT '{f}' AS field, {half_up(f'count(*) FILTER (WHERE {f} IS NULL OR {f}::VARCHAR = {chr(39) * 2}) / count(*) * 100')} AS pct, "
+    f"SELECT '{f}' AS field, " + half_up(f"count(*) FILTER (WHERE {f} IS NULL OR {f}::VARCHAR = '') / count(*) * 100") + " AS pct, "
     f"count(*) FILTER (WHERE {f} IS NULL OR {f}::VARCHAR = '') AS missing FROM offline"
     for f in K.PROFILE_FIELDS
 )
@@ -260,9 +260,8 @@ ORACLES["page_fetch_status"] = "SELECT page_id, url, status_code, ok, error, ela
 
 
 def markup(x: str) -> str:
-    for p in ("(?s)<!--.*?-->", "(?is)<script\\b[^>]*>.*?</script\\s*>", "(?is)<style\\b[^>]*>.*?</style\\s*>"):
-        x = f"regexp_replace({x}, {lit(p)}, ' ', 'g')"
-    return x
+    whichever_opens_first = "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
+    return f"regexp_replace({x}, {lit(whichever_opens_first)}, ' ', 'g')"
 
 
 def entities(x: str) -> str:
@@ -301,7 +300,7 @@ ORACLES["text_contacts"] = f"""SELECT doc_id, array_to_string(list_sort(list_dis
   array_to_string(list_sort(list_distinct(regexp_extract_all(t, {_PHONE}))), '|') AS phones FROM doc_texts"""
 
 CTES["ld_roots"] = """SELECT page_id, b::JSON AS j FROM (SELECT page_id,
-  unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\\b[^>]*type\\s*=\\s*["'']?application/ld\\+json["'']?[^>]*>(.*?)</script\\s*>', 1)) AS b FROM fetched) WHERE json_valid(b)"""
+  unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|(<script\\b[^>]*>.*?</script\\s*>)', ' \\1', 'g'), '(?is)<script\\b[^>]*type\\s*=\\s*["'']?application/ld\\+json["'']?[^>]*>(.*?)</script\\s*>', 1)) AS b FROM fetched) WHERE json_valid(b)"""
 CTES["ld_items"] = """SELECT page_id, j FROM ld_roots WHERE json_type(j) = 'OBJECT'
 UNION ALL SELECT page_id, unnest(json_extract(j, '$[*]')) FROM ld_roots WHERE json_type(j) = 'ARRAY'"""
 CTES["ld_points"] = """SELECT page_id, json_extract(j, '$.contactPoint') AS j FROM ld_items WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.contactPoint') = 'OBJECT'

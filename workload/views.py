@@ -48,7 +48,9 @@ SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN 503 ELSE 200 END AS status_
   replace(html, '</body>', concat(
     CASE WHEN page_id % 2 = 0 THEN concat('<p>Write Desk', CAST(page_id AS {_TEXT}), '@agency.example.com now</p>') ELSE '' END,
     CASE WHEN page_id % 3 = 0 THEN '<a href="mailto:info@agency.example.com?subject=hi">mail</a><a class=x href=''tel:+27 82 555 0199''>call</a>' ELSE '' END,
+    CASE WHEN page_id % 20 = 10 THEN '<script>var open = "<!--";</script>' ELSE '' END,
     CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{{"email":"burn@mailinator.com","contactPoint":[{{"telephone":"+27 44 001 0004"}},7]}}</script>' ELSE '' END,
+    CASE WHEN page_id % 20 = 10 THEN '<!-- <script type="application/ld+json">{{"email":"gone@comment.example.com"}}</script> -->' ELSE '' END,
     CASE WHEN page_id % 10 = 5 THEN '<script type="application/ld+json">[{{"telephone":"021 555 0000","contactPoint":{{"email":"ld@agency.example.com"}}}},null]</script><script type="application/ld+json">{{broken</script>' ELSE '' END,
     CASE WHEN page_id % 4 = 0 THEN '<script src="https://widget.intercom.io/w/a"></script>' ELSE '' END,
     CASE WHEN page_id % 6 = 0 THEN '<footer>Last updated: Jan 2024</footer>' ELSE '' END,
