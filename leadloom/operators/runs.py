@@ -93,10 +93,14 @@ def of_run(df: DataFrame, job_id: str) -> DataFrame:
     return df.where(F.col("job_id") == job_id)
 
 
+def newest_completed(runs: DataFrame, last: int = 10) -> DataFrame:
+    """Ids of the newest completed runs."""
+    return newest_first(filter_runs(runs, "completed")).limit(max(1, last)).select("job_id")
+
+
 def recent_leads(leads: DataFrame, runs: DataFrame, last: int = 10) -> DataFrame:
     """Leads of the newest completed runs: top-N runs, then a semi-join."""
-    scope = newest_first(filter_runs(runs, "completed")).limit(max(1, last)).select("job_id")
-    return leads.join(scope, "job_id", "left_semi")
+    return leads.join(newest_completed(runs, last), "job_id", "left_semi")
 
 
 def roll_up(counters: DataFrame, keys: Sequence[str], rates: Mapping[str, tuple[str, str]] = {}) -> DataFrame:

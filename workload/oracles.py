@@ -528,6 +528,14 @@ CTES["recent50"] = _recent(50)
 CTES["recent100"] = _recent(100)
 ORACLES["recent_runs_leads"] = "SELECT job_id, row_id, lead_score FROM recent50"
 ORACLES["recent_runs_kpi"] = kpi("recent100")
+CTES["yearly"] = """SELECT r.input_format || '-' || year(r.created_at) AS job_id, CAST(o.row_id AS BIGINT) AS row_index, o.company_name, o.contact_quality, o.lead_score,
+  r.job_id AS written_by, r.status, r.created_at FROM offline o JOIN runs r ON r.custkey = o.row_id"""
+_NEWEST = "row_number() OVER (PARTITION BY job_id, row_index ORDER BY {}created_at DESC, written_by DESC) = 1"
+CTES["yearly_newest"] = f"SELECT * FROM yearly QUALIFY {_NEWEST.format('')}"
+ORACLES["lead_table_merge"] = f"SELECT * FROM yearly QUALIFY {_NEWEST.format("CASE status WHEN 'completed' THEN 1 WHEN 'processing' THEN 3 ELSE 2 END DESC, ")}"
+ORACLES["run_lookup"] = "SELECT row_index, company_name, lead_score, written_by FROM yearly_newest WHERE job_id = 'csv-1996'"
+ORACLES["recent_runs_table"] = """SELECT job_id, row_index, lead_score, written_by FROM yearly_newest SEMI JOIN (SELECT job_id FROM yearly GROUP BY job_id
+  HAVING min(status) = 'completed' ORDER BY max(created_at) DESC, job_id DESC LIMIT 5) USING (job_id)"""
 
 ORACLES = {name: with_prefix(sql, CTES) for name, sql in ORACLES.items()}
 ORACLES["alias_mapping"] = _records_oracle(

@@ -14,6 +14,7 @@ from leadloom.constants import CANONICAL_FIELDS
 from leadloom.functions import html as H
 from leadloom.functions.contacts import check_email, check_phone
 from leadloom.operators import analytics, dedup, explore, mapping, pages, places, resolve, runs, score, stages, verify
+from leadloom.operators.lead_table import LeadTable
 from leadloom.operators.normalize import normalize_leads
 from leadloom.plans.lead_run import LeadRun, clean_leads, finish_leads, run_leads, staged_leads
 from leadloom.settings import MappingOptions, PageOptions, PlaceOptions, RunOptions, ScoreOptions
@@ -437,6 +438,46 @@ def recent_runs_kpi(spark, sf):
     return analytics.kpis(runs.recent_leads(leads, all_runs, last=100))
 
 
+# --- the table of leads ---------------------------------------------------------------------------
+
+
+def yearly_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Leads as written by their runs, under one job a format and year: a lead that had several runs in a year has several versions."""
+    leads, all_runs = with_runs(spark, sf)
+    written = leads.join(all_runs.select("job_id", "status", "created_at", "input_format"), "job_id")
+    return written.select(
+        F.concat("input_format", F.lit("-"), F.year("created_at")).alias("job_id"), F.col("row_id").cast("bigint").alias("row_index"), "company_name",
+        "contact_quality", "lead_score", F.col("job_id").alias("written_by"), "status", "created_at",
+    )
+
+
+def merged_table(spark: SparkSession, written: DataFrame, parts: list[str]) -> LeadTable:
+    table = LeadTable(spark, stages.new_path(spark, "lead-table"), written.schema, buckets=4)
+    for part in parts:
+        table.merge(written.where(part), newest=["created_at", "written_by"])
+    return table
+
+
+@query
+def lead_table_merge(spark, sf):
+    """Completed runs are written first, failed and terminated ones over them, and then those still processing."""
+    written = stages.stage_table(yearly_runs(spark, sf), "written")
+    return merged_table(spark, written, ["status = 'completed'", "status IN ('failed', 'terminated')", "status = 'processing'"]).read()
+
+
+@query
+def run_lookup(spark, sf):
+    return merged_table(spark, yearly_runs(spark, sf), ["true"]).of_run("csv-1996").select("row_index", "company_name", "lead_score", "written_by")
+
+
+@query
+def recent_runs_table(spark, sf):
+    """Leads of the five newest jobs that have completed runs."""
+    written = stages.stage_table(yearly_runs(spark, sf), "written")
+    jobs = written.groupBy("job_id").agg(F.min("status").alias("status"), F.max("created_at").alias("created_at"))
+    return merged_table(spark, written, ["true"]).of_runs(runs.newest_completed(jobs, 5)).select("job_id", "row_index", "lead_score", "written_by")
+
+
 # --- incremental ------------------------------------------------------------------------------------
 
 
