@@ -51,3 +51,65 @@ fits AS (SELECT p.page_id, r.host || r.path AS rule, r.verdict,
          FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.place = 1
 """
+
+# --- records of op9, in SQL that Spark and DuckDB both read ---------------------------------------------
+
+RECORDS_A_PAGE = 8
+#: A page as it is crawled. A third of all pages stand under one url, in several spellings; one in fifty has none.
+CRAWL_FIELDS = (
+    "page_id",
+    """CASE WHEN page_id % 3 = 0 THEN concat('https://www.Front.example.org/news/?utm_source=', CAST(page_id % 9 AS STRING), '#top')
+       WHEN page_id % 50 = 1 THEN NULL ELSE url END AS url""",
+    "md5(coalesce(html, '')) AS tag",
+    "md5(concat('second ', coalesce(html, ''))) AS second_tag",
+    "length(coalesce(html, '')) AS size",
+    "1700000000 + page_id * 60 AS crawled",
+)
+#: n: 0 response, 1 revisit soon after, 2 revisit with another tag, 3 revisit a day later, 4 second response with a new tag,
+#: 5 revisit before the response, 6 failed response, 7 metadata.
+RECORD_EXISTS = "CASE n WHEN 2 THEN page_id % 5 = 0 WHEN 4 THEN page_id % 6 = 1 WHEN 5 THEN page_id % 7 = 0 WHEN 6 THEN page_id % 8 = 2 WHEN 7 THEN page_id % 11 = 0 ELSE true END"
+_AT = "crawled + CASE n WHEN 0 THEN 0 WHEN 1 THEN 30 WHEN 2 THEN 172800 WHEN 3 THEN 86400 WHEN 4 THEN 43200 WHEN 5 THEN -3600 WHEN 6 THEN 35 ELSE 1 END"
+_LINE = "concat(chr(13), chr(10), '{}: ', {})"
+_DATE, _TYPE = _LINE.format("Date", f"CAST({_AT} AS STRING)"), _LINE.format("Content-Type", "'text/html'")
+_SIZE, _AGE = _LINE.format("Content-Length", "CAST(size AS STRING)"), _LINE.format("Cache-Control", "concat('max-age=', CAST(60 * (n + 1) AS STRING))")
+_CHANGED = _LINE.format("Last-Modified", "CAST(crawled - 60 AS STRING)")
+_TAG, _SECOND, _OTHER = (_LINE.format("ETag", f"""concat('"', {tag}, '"')""") for tag in ("tag", "second_tag", "'other'"))
+_WEAK = _LINE.format("etag", """concat('W/"', tag, '"')""")
+RECORD_FIELDS = (
+    "page_id * 8 + n AS record_id",
+    "url AS target_uri",
+    f"{_AT} AS warc_date",
+    "CASE WHEN n IN (0, 4, 6) THEN 'response' WHEN n = 7 THEN 'metadata' ELSE 'revisit' END AS warc_type",
+    f"""CASE WHEN n = 0 THEN concat('HTTP/1.1 200 OK', {_DATE}, {_TAG}, {_CHANGED}, {_TYPE}, {_SIZE}, {_AGE}, chr(13), chr(10))
+       WHEN n = 1 THEN concat('HTTP/1.1 304 Not Modified', {_DATE}, CASE page_id % 4 WHEN 0 THEN {_WEAK} WHEN 1 THEN {_CHANGED} ELSE '' END, {_AGE})
+       WHEN n = 2 THEN concat('HTTP/1.1 304 Not Modified', {_OTHER}, {_DATE}) WHEN n = 3 THEN concat('HTTP/1.1 304 Not Modified', {_TAG}, {_SIZE})
+       WHEN n = 4 THEN concat('HTTP/1.1 200 OK', {_SECOND}, {_DATE}, {_TYPE}) WHEN n = 5 THEN 'HTTP/1.1 304 Not Modified'
+       WHEN n = 6 THEN concat('HTTP/1.1 503 Service Unavailable', {_DATE}) END AS http_head""",
+    "CASE WHEN n = 4 THEN concat('md5:', second_tag) WHEN n < 6 THEN concat('md5:', tag) END AS payload_digest",
+)
+
+WARC_REVISITS = rf"""
+WITH crawls AS (SELECT {', '.join(CRAWL_FIELDS)} FROM pages),
+records AS (SELECT {', '.join(RECORD_FIELDS)} FROM (SELECT *, unnest(range({RECORDS_A_PAGE})) AS n FROM crawls) WHERE {RECORD_EXISTS}),
+rests AS (SELECT *, CASE WHEN regexp_matches(target_uri, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_extract(target_uri, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1) END AS rest FROM records),
+named AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www[.]|:(80|443)$', '', 'g') || regexp_replace(regexp_extract(rest, '(?s)^[^/?]*([^?]*)', 1), '/$', '') AS place,
+            array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '(?s)[?](.*)$', 1), '&'),
+              lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid)(=|$)'))), '&') AS query FROM rests),
+parsed AS (SELECT record_id, warc_date, warc_type, payload_digest, CASE WHEN query <> '' THEN place || '?' || query ELSE place END AS canonical_url,
+             CAST(nullif(regexp_extract(http_head, '^HTTP/[0-9.]+ ([0-9]{{3}})', 1), '') AS INTEGER) AS status, warc_date::HUGEINT * 1000000000000 + record_id AS place_in_time,
+             list_transform(list_filter(string_split(replace(coalesce(http_head, ''), chr(13) || chr(10), chr(10)), chr(10))[2:], lambda x: instr(x, ':') > 1),
+               lambda x: {{name: lower(trim(split_part(x, ':', 1))), value: trim(x[instr(x, ':') + 1:])}}) AS headers FROM named),
+facts AS (SELECT *, ltrim(list_filter(headers, lambda h: h.name = 'etag')[1].value, 'W/') AS etag, list_filter(headers, lambda h: h.name = 'last-modified')[1].value AS modified,
+            list_filter(headers, lambda h: h.name IN ('age', 'cache-control', 'content-location', 'date', 'etag', 'expires', 'last-modified', 'vary', 'warning')) AS sent FROM parsed),
+stored AS (SELECT * FROM facts WHERE warc_type = 'response' AND status = 200 AND canonical_url IS NOT NULL),
+joined AS (SELECT f.*, s.record_id AS stored_id, s.headers AS stored_headers, s.payload_digest AS stored_digest,
+             CASE WHEN f.warc_type = 'response' THEN 'full' WHEN f.warc_type <> 'revisit' THEN 'other' WHEN f.canonical_url IS NULL THEN 'no_url' WHEN s.record_id IS NULL THEN 'no_response'
+               WHEN CASE WHEN f.etag IS NOT NULL THEN f.etag IS NOT DISTINCT FROM s.etag WHEN f.modified IS NOT NULL THEN f.modified IS NOT DISTINCT FROM s.modified
+                    ELSE f.payload_digest = s.payload_digest END THEN 'resolved' ELSE 'mismatch' END AS resolution
+           FROM facts f ASOF LEFT JOIN stored s ON f.canonical_url = s.canonical_url AND f.place_in_time > s.place_in_time),
+merged AS (SELECT *, CASE WHEN resolution = 'resolved' THEN list_concat(list_filter(stored_headers, lambda h: NOT list_contains(list_transform(sent, lambda s: s.name), h.name)), sent)
+             ELSE headers END AS shown FROM joined)
+SELECT record_id, canonical_url, warc_type, resolution, CASE resolution WHEN 'full' THEN record_id WHEN 'resolved' THEN stored_id END AS source_record_id,
+  CASE WHEN resolution = 'resolved' THEN 200 ELSE status END AS status, CASE WHEN resolution = 'resolved' THEN stored_digest ELSE payload_digest END AS payload_digest,
+  array_to_string(list_sort(list_transform(shown, lambda h: h.name || ': ' || h.value)), chr(10)) AS headers FROM merged
+"""

@@ -70,22 +70,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """Records of three crawls of every page: a response, a day later a not-modified revisit (by entity tag, by date or by digest, in
-    turn), and for every fifth page a revisit whose tag differs. Dates are text that sorts."""
-    base = pages.selectExpr("page_id", "url", "md5(coalesce(html, '')) AS _md5", "octet_length(coalesce(html, '')) AS _size", "timestamp_seconds(1700000000 + page_id * 60) AS _at")
-    day = "date_format(_at + make_interval(0, 0, 0, {}), 'yyyy-MM-dd HH:mm:ss')"
-    modified = "concat('Last-Modified: ', date_format(_at - make_interval(0, 0, 0, 30), 'yyyy-MM-dd'))"
-    full = f"concat_ws('\\r\\n', 'HTTP/1.1 200 OK', concat('Date: ', {day.format(0)}), concat('ETag: \"', left(_md5, 12), '\"'), {modified}, 'Content-Type: text/html', concat('Content-Length: ', _size), 'Cache-Control: max-age=60', '')"
-    validator = f"CASE page_id % 3 WHEN 0 THEN concat('ETag: W/\"', left(_md5, 12), '\"') WHEN 1 THEN {modified} ELSE 'Server: test' END"
-    same = f"concat_ws('\\r\\n', 'HTTP/1.1 304 Not Modified', concat('Date: ', {day.format(1)}), {validator}, 'Content-Length: 0', 'Cache-Control: max-age=600', '')"
-    other = f"concat_ws('\\r\\n', 'HTTP/1.1 304 Not Modified', concat('Date: ', {day.format(2)}), 'ETag: \"other\"', '')"
-    digest = "concat('md5:', _md5)"
-
-    def record(number: int, after: int, kind: str, head: str) -> str:
-        return f"named_struct('record_id', page_id * 4 + {number}, 'target_uri', url, 'warc_date', {day.format(after)}, 'warc_type', '{kind}', 'http_head', {head}, 'payload_digest', {digest})"
-
-    rows = f"filter(array({record(0, 0, 'response', full)}, {record(1, 1, 'revisit', same)}, {record(2, 2, 'revisit', other)}), x -> x.record_id % 4 < 2 OR page_id % 5 = 0)"
-    return base.selectExpr(f"inline({rows})")
+    """Records of several crawls of every page, by the rules of `oracles.RECORD_FIELDS`: responses, a second response with another tag,
+    failed responses, not-modified revisits before and after them by entity tag, date or digest, and metadata. A third of all pages
+    share one url, some have none."""
+    crawls = pages.selectExpr(*oracles.CRAWL_FIELDS).selectExpr("*", f"explode(sequence(0, {oracles.RECORDS_A_PAGE - 1})) AS n")
+    return crawls.where(oracles.RECORD_EXISTS).selectExpr(*oracles.RECORD_FIELDS)
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,5 +102,5 @@ QUERIES = {f.__name__: f for f in (
     op7_best_fit_packing, op8_source_mixing, op9_warc_revisits, op10_url_filters, op11_quality_ranking, op12_spelling_variants, op13_source_divergence,
 )}
 ORACLES: dict[str, str] = {
-    "op10_url_filters": oracles.URL_FILTERS, "op12_spelling_variants": oracles.SPELLING_VARIANTS, "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
+    "op9_warc_revisits": oracles.WARC_REVISITS, "op10_url_filters": oracles.URL_FILTERS, "op12_spelling_variants": oracles.SPELLING_VARIANTS, "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
 }
