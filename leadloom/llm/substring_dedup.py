@@ -9,7 +9,9 @@ a hash collision decides nothing. What comes back are word ranges per text, neve
 Skew: strings are combined before they travel. Within a stretch of the input (`STRETCH` bytes of text) equal strings
 are sent once, marked as repeated, and all their places are reported on the spot; so a passage that a third of all
 texts share reaches its bucket as one string per stretch. Strings travel compressed, one row per stretch and bucket;
-the number of buckets follows the input's size, which bounds what one bucket holds.
+the number of buckets follows the input's size. A minimiser that stands in very many different texts would still fill one bucket:
+such heavy minimisers are estimated from a sample of rows, and windows that have one go by their least run of LONG_GRAM words
+instead. That choice depends on the window's words alone, so equal windows still meet, whatever the sample holds.
 
 Defined results: a null or empty text has no words, nothing removed and the hash of the empty string; texts shorter than the
 window keep all words; a repeated row counts as another text, so its windows are removed from both; rows are told apart by
@@ -33,9 +35,13 @@ from leadloom.operators.stages import stage_table
 
 WINDOW = 35
 GRAM = 3
+LONG_GRAM = 12  # words of the runs that tell the windows of a heavy minimiser apart
 STRETCH = 16_000_000
 RUN = 256  # windows in one packed string at most
 BUCKET_BYTES = 4_000_000  # text per bucket; the strings of a bucket are about three times that
+HEAVY_BYTES = 8_000_000  # packed bytes from which on a minimiser is heavy
+MAX_HEAVY = 1_000_000  # the least weight grows with the input so that about this many are listed at most (8 MB)
+SAMPLED_BYTES = 20_000  # packed bytes expected in the sample of a minimiser that is just heavy: about 64 strings
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -109,14 +115,26 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def super_kmers(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+NO_HEAVY = np.zeros(0, np.uint64)
+
+
+def minimisers(hashes: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """What each window of a text goes by: its least run of GRAM words or, if that is in `heavy` (sorted), of LONG_GRAM words."""
+    least = sliding_least(run_hashes(hashes, GRAM), WINDOW - GRAM + 1)
+    if not len(heavy):
+        return least
+    hot = heavy[np.minimum(np.searchsorted(heavy, least), len(heavy) - 1)] == least
+    return np.where(hot, sliding_least(run_hashes(hashes, LONG_GRAM), WINDOW - LONG_GRAM + 1), least) if hot.any() else least
+
+
+def super_kmers(text: bytes, heavy: np.ndarray = NO_HEAVY) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Packed strings of a text with their minimisers, first words and numbers of windows."""
     data = np.frombuffer(text, np.uint8)
     starts, ends = word_spans(data)
     n = len(starts) - WINDOW + 1
     if n <= 0:
         return [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = sliding_least(run_hashes(word_hashes(data, starts, ends), GRAM), WINDOW - GRAM + 1)
+    least = minimisers(word_hashes(data, starts, ends), heavy)
     change = np.flatnonzero(least[1:] != least[:-1]) + 1
     first = np.concatenate(([0], change))
     length = np.diff(np.concatenate((first, [n])))
@@ -134,11 +152,11 @@ def super_kmers(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.nd
 class Stretch:
     """Equal strings of a stretch of texts, combined."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.places, self.bytes = buckets, {}, 0
+    def __init__(self, buckets: int, heavy: np.ndarray = NO_HEAVY) -> None:
+        self.buckets, self.heavy, self.places, self.bytes = buckets, heavy, {}, 0
 
     def add(self, key: tuple[int, int], text: bytes) -> None:
-        strings, least, first, length = super_kmers(text)
+        strings, least, first, length = super_kmers(text, self.heavy)
         bucket = (least % np.uint64(self.buckets)).tolist()
         for string, b, f, n in zip(strings, bucket, first.tolist(), length.tolist(), strict=True):
             self.places.setdefault((b, string), []).append((key, f, n))
@@ -219,10 +237,34 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], names=NAMES)
 
 
-def _spread(buckets: int):
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed bytes of each minimiser, by batch."""
+    np.seterr(over="ignore")
+    for batch in batches:
+        grams, sizes = [NO_HEAVY], [np.zeros(0, np.int64)]
+        for text in batch["_text"]:
+            strings, least, _, _ = super_kmers(text.as_py() or b"")
+            grams.append(least)
+            sizes.append(np.fromiter(map(len, strings), np.int64, len(strings)))
+        gram, at = np.unique(np.concatenate(grams), return_inverse=True)
+        weight = np.bincount(at, np.concatenate(sizes), len(gram)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(weight)], names=["gram", "weight"])
+
+
+def heavy_minimisers(texts: DataFrame, size: int) -> np.ndarray:
+    """Sorted minimisers whose packed strings are estimated at HEAVY_BYTES or more over all of `texts` (`_text`, of `size` bytes).
+    The sample decides only how evenly buckets fill. The list is bounded: each entry has at least one of MAX_HEAVY parts of the sample."""
+    least = max(HEAVY_BYTES, 3 * size // MAX_HEAVY)
+    share = min(1.0, SAMPLED_BYTES / least)
+    weights = texts.select("_text").sample(share, seed=42).mapInArrow(_weights, "gram long, weight long")
+    heavy = weights.groupBy("gram").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= share * least).select("gram")
+    return np.sort(np.array([r["gram"] for r in heavy.toLocalIterator()], np.int64).view(np.uint64))
+
+
+def _spread(buckets: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        stretch = Stretch(buckets)
+        stretch = Stretch(buckets, heavy)
 
         def flush() -> Iterator[pa.RecordBatch]:
             blobs, ranges = stretch.rows()
@@ -280,8 +322,8 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     """(_key, _key2, ranges): the word ranges covered by repeated windows, of rows `_key`, `_key2`, `_text` (binary)."""
     size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES) + 1
-    spread = keyed.select(*KEYS, "_text").mapInArrow(_spread(buckets), RANGES)
-    tasks = max(1, min(buckets, keyed.sparkSession.sparkContext.defaultParallelism * 4 + buckets // 32))
+    spread = keyed.select(*KEYS, "_text").mapInArrow(_spread(buckets, heavy_minimisers(keyed, size)), RANGES)
+    tasks = max(1, min(buckets, keyed.sparkSession.sparkContext.defaultParallelism * 4 + buckets // 8))
     found = spread.repartition(tasks, "_bucket").sortWithinPartitions("_bucket").mapInArrow(_count, RANGES)
     return found.groupBy(*KEYS).agg(F.collect_set(F.struct("first", "words")).alias("_ranges"))
 
