@@ -230,6 +230,10 @@ REASON_TEXT = f"""concat_ws('; ', 'Contact quality ' || contact_quality,
 CTES["offline"] = f"""SELECT *, {score({}, K.BASE_SCORE)} AS lead_score, {REASON_TEXT} AS lead_reason
 FROM (SELECT *, CAST(NULL AS BOOLEAN) AS has_chatbot, CAST(NULL AS VARCHAR) AS last_updated_signal, CAST(NULL AS INT) AS website_speed_score FROM graded)"""
 ORACLES["offline_score"] = "SELECT row_id, company_name, contact_quality, lead_score, lead_reason FROM offline"
+ORACLES["lead_history"] = "SELECT row_id, field, chosen_source, chosen_value, decision_reason FROM decided"
+ORACLES["scoring_off"] = "SELECT row_id, company_name, contact_quality, CAST(NULL AS INT) AS lead_score, CAST(NULL AS VARCHAR) AS lead_reason FROM offline"
+ORACLES["exported_run"] = """SELECT company_name, nullif(email, '') AS email, lead_score, 'leads_csv' AS output FROM offline UNION ALL SELECT company_name, email, lead_score, 'leads_json' FROM offline
+UNION ALL SELECT CAST(row_id AS VARCHAR), reject_reason, NULL, 'rejected_rows' FROM checked WHERE reject_reason IS NOT NULL"""
 ORACLES["incremental_leads"] = "SELECT row_id, company_name, website, email, contact_quality, lead_score FROM offline"
 ORACLES["incremental_tables"] = ORACLES["incremental_resume"] = ORACLES["incremental_leads"]
 ORACLES["lead_search"] = """SELECT row_id, company_name, location FROM offline WHERE contains(lower(concat_ws(' ', nullif(company_name, ''), nullif(agent_name, ''),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from dataclasses import replace
+from functools import partial, reduce
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -318,6 +319,32 @@ def export_canonical(spark, sf):
     return sinks.canonical(full_run(spark, sf).leads).select(*CANONICAL_FIELDS)
 
 
+@query
+def scoring_off(spark, sf):
+    """A run without scoring: leads are graded and keep the score they came with, which is none."""
+    run = run_leads(tagged(spark, sf), opts=replace(OFFLINE, score=ScoreOptions(enabled=False)))
+    return run.leads.select("row_id", "company_name", "contact_quality", "lead_score", "lead_reason")
+
+
+@query
+def exported_run(spark, sf):
+    """Leads as JSON and CSV and rejects as JSON, written and read back."""
+    run = run_leads(tagged(spark, sf), opts=OFFLINE)
+    paths = sinks.write_run(stages.new_path(spark, "export"), run.leads, run.rejects, run.summary)
+    as_json = spark.read.schema("company_name string, email string, lead_score int").json(paths["leads_json"])
+    as_csv = spark.read.csv(paths["leads_csv"], header=True, escape='"').selectExpr("company_name", "email", "CAST(lead_score AS INT) AS lead_score")
+    rejects = spark.read.schema("row_index long, reason string").json(paths["rejected_rows"]).selectExpr("CAST(row_index AS STRING) AS company_name", "reason AS email", "NULL AS lead_score")
+    outputs = {"leads_json": as_json, "leads_csv": as_csv, "rejected_rows": rejects}
+    return reduce(DataFrame.unionByName, [df.withColumn("output", F.lit(name)) for name, df in outputs.items()])
+
+
+@query
+def lead_history(spark, sf):
+    """The decisions that finished leads carry, one row a field."""
+    decided = full_run(spark, sf).leads.selectExpr("row_id", "explode(enrichment_history.decisions) AS (field, decision)")
+    return decided.select("row_id", "field", "decision.chosen_source", "decision.chosen_value", "decision.decision_reason")
+
+
 @query
 def run_summary(spark, sf):
     return full_run(spark, sf).summary
