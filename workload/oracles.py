@@ -239,6 +239,7 @@ ORACLES["incremental_tables"] = ORACLES["incremental_resume"] = ORACLES["increme
 ORACLES["lead_search"] = """SELECT row_id, company_name, location FROM offline WHERE contains(lower(concat_ws(' ', nullif(company_name, ''), nullif(agent_name, ''),
   nullif(location, ''), nullif(email, ''), nullif(website, ''), nullif(phone, ''), nullif(lead_reason, ''), nullif(source, ''))), 'cape prop')"""
 ORACLES["lead_page"] = "SELECT row_id, company_name, lead_score FROM offline ORDER BY lead_score DESC, row_id LIMIT 25 OFFSET 50"
+ORACLES["lead_page_after"] = ORACLES["lead_page"]
 
 
 def kpi(table: str) -> str:

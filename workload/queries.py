@@ -401,6 +401,17 @@ def run_diagnostics(spark, sf):
     return analytics.diagnostics(full_run(spark, sf).leads)
 
 
+@query
+def lead_page_after(spark, sf):
+    """The same page reached by the key of the last lead before it. A user has that key from the page they saw; here the page before is made for it."""
+    scored = stages.stage_table(offline_leads(spark, sf), "scored")
+    before = explore.page_of(explore.by_score(scored), page=1, page_size=25).agg(F.max_by(F.struct("lead_score", "row_id"), F.struct(-F.col("lead_score"), "row_id")).alias("last"))
+    last = before.first()["last"]
+    if last is None:
+        return scored.where("false").select("row_id", "company_name", "lead_score")
+    return explore.page_after(scored, last["lead_score"], last["row_id"], 25).select("row_id", "company_name", "lead_score")
+
+
 # --- runs and batches ----------------------------------------------------------------------------
 
 
