@@ -30,6 +30,16 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
+def shingle_set(text, k=5):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def similar(a, b, bound=0.8):
+    """Whether two sets have that Jaccard similarity; empty ones are alike."""
+    return len(a & b) >= bound * len(a | b)
+
+
 def groups(n, linked):
     """Least position reachable from each of n positions; `linked(i, j)` says what is linked."""
     label = list(range(n))

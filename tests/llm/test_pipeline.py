@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from leadloom.llm import packing, quality_rules, simhash_dedup
+from leadloom.llm import packing, quality_rules
 from leadloom.operators.stages import stage_table
 
 from . import brute
@@ -37,8 +37,8 @@ def test_stages_match_brute_force(kept):
     good = {r["doc_id"]: r["text"] for r in kept["quality_rules"].collect()}
     assert set(good) == verdict
     ids = sorted(good)
-    codes = [brute.simhash(good[i]) for i in ids]
-    label = brute.groups(len(ids), lambda i, j: (codes[i] ^ codes[j]).bit_count() <= simhash_dedup.BITS)
+    sets = [brute.shingle_set(good[i]) for i in ids]
+    label = brute.groups(len(ids), lambda i, j: brute.similar(sets[i], sets[j]))
     single = {r["doc_id"]: r["text"] for r in kept["simhash_dedup"].collect()}
     assert set(single) == {ids[k] for k in set(label)}
     order = sorted(single)
@@ -71,8 +71,8 @@ def test_simhash_stage_keeps_one_row_of_each_component(spark, edge_docs, no_docs
     more += [(3, prose(20, 60), "en", "a", 1), (None, None, None, None, None), (50, "x y z", None, "en", 1), (50, "x y z", "en", None, 1), (50, "x y z", "en", None, 1)]
     docs = edge_docs.select(*pipeline.COLUMNS).unionByName(spark.createDataFrame(more, DOCS))
     rows = [tuple(r) for r in docs.collect()]
-    codes = [brute.simhash(r[1]) for r in rows]
-    label = brute.groups(len(rows), lambda i, j: (codes[i] ^ codes[j]).bit_count() <= simhash_dedup.BITS)
+    sets = [brute.shingle_set(r[1]) for r in rows]
+    label = brute.groups(len(rows), lambda i, j: brute.similar(sets[i], sets[j]))
     best = {k: min((r[0] is None, r[0] or 0) for r, at in zip(rows, label, strict=True) if at == k) for k in set(label)}
     assert sum(none for none, _ in best.values()) >= 10 and sum(i == (False, 77) for i in best.values()) == 10
     got = [tuple(r) for r in pipeline.simhash(spark, docs, sf).collect()]
