@@ -2,7 +2,8 @@
 
 A batch is a Structured Streaming micro-batch. Its output partition carries the batch id, so a batch that is replayed after a failure
 rewrites exactly its own rows. Files hold columns (parquet) or text: JSON Lines, CSV with a header of its own in each file, or JSON and
-listing exports. Page and place lookups are built once for all batches of a call.
+listing exports. Rows of text are mapped once per batch and kept as a table, for rejects and leads read them both. Page and place lookups are
+built once for all batches and calls of a flow; newer snapshots take a new flow over the same folder.
 
 Identities that an earlier batch has stored are dropped, in one of two ways:
 
@@ -17,6 +18,8 @@ Identities that an earlier batch has stored are dropped, in one of two ways:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 from leadloom import constants as K
 from leadloom.operators.dedup import dedup_key
 from leadloom.operators.mapping import map_columns, map_headed_rows, map_records, rejected_rows, tag_rejects
-from leadloom.operators.stages import stage_table
+from leadloom.operators.stages import in_plan, stage_table
 from leadloom.plans.lead_run import LEAD_COLUMNS, Lookups, clean_leads, finish_leads, page_lookups, staged_leads
 from leadloom.settings import RunOptions
 from leadloom.sinks import write_leads_table
@@ -79,6 +82,7 @@ class IncrementalLeads:
         rows get one. Calling it again resumes: finished batches are not repeated.
         """
         kind = fmt.strip().lower()
+        keep = in_plan if kind == "parquet" else stage_table  # a filter on the reject reason would parse text again for every field it asks for
         stream = self.spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         if kind == "parquet":
             arrived = stream.schema(schema).parquet(landing)
@@ -88,10 +92,9 @@ class IncrementalLeads:
             arrived = stream.option("wholetext", True).text(landing)
         else:
             raise ValueError(f"unsupported input format: {fmt}")
-        self._lookups = None
         self._prepare("batches", NOTES)
         query = (
-            arrived.writeStream.foreachBatch(lambda raw, batch_id: self._batch(self._tagged(raw, batch_id, kind), batch_id))
+            arrived.writeStream.foreachBatch(lambda raw, batch_id: self._batch(self._tagged(raw, batch_id, kind), batch_id, keep))
             .option("checkpointLocation", f"{self.folder}/progress")
             .trigger(availableNow=True)
             .start()
@@ -117,7 +120,6 @@ class IncrementalLeads:
 
     def retry_failed(self) -> None:
         """Process the batches again that were passed over with `stop_on_error=False`."""
-        self._lookups = None
         failed = self._read("batches", NOTES).where(F.col("state") == FAILED).select("batch_id").orderBy("batch_id")
         for row in failed.toLocalIterator():  # numbers of batches, one at a time
             if self.known == "state":
@@ -126,9 +128,9 @@ class IncrementalLeads:
             else:
                 self._batch(self._read("failed").where(F.col("batch_id") == row["batch_id"]).drop("batch_id"), row["batch_id"])
 
-    def _batch(self, tagged: DataFrame, batch_id: int) -> None:
+    def _batch(self, tagged: DataFrame, batch_id: int, keep: Callable[[DataFrame, str], DataFrame] = in_plan) -> None:
         try:
-            self._store(tagged, batch_id)
+            self._store(keep(tagged, "tagged"), batch_id)
         except Exception as error:
             if self.known == "tables" and not self.stop_on_error:
                 self._write(stage_table(tagged, "failed-batch"), "failed", batch_id)

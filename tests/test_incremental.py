@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import StreamingQueryException
 
-from leadloom.operators import stages
+from leadloom.operators import pages, stages
 from leadloom.plans import lead_run
 from leadloom.streaming import incremental
 from leadloom.streaming.incremental import FAILED, IncrementalLeads
@@ -151,3 +151,36 @@ def test_row_ids_too_large_are_refused(spark):
     assert spark.sql(f"SELECT {ask} AS i FROM (SELECT (1L << 33) + 5L AS row_id)").first()["i"] == (3 << 44) + (1 << 28) + 5
     with pytest.raises(Exception, match="too large"):
         spark.sql(f"SELECT {ask} AS i FROM (SELECT (1L << 49) AS row_id)").first()
+
+
+def test_lookups_serve_every_call_of_a_flow(spark, sf, monkeypatch):
+    built = []
+    monkeypatch.setattr(incremental, "page_lookups", lambda s, o: built.append(1) or lead_run.page_lookups(s, o))
+    flow = IncrementalLeads(spark, stages.new_path(spark, "calls"), Q.FULL, Q.snapshots(spark, sf))
+    Q.arriving(flow, Q.parts_by_identity(spark, sf), "jsonl")
+    assert built == [1] and flow.batches().count() == 3
+
+
+@pytest.mark.parametrize("fmt", ["jsonl", "csv"])
+def test_text_is_mapped_once_a_batch(spark, tmp_path, monkeypatch, fmt):
+    """Rejects and leads are read from mapped rows, never from the text."""
+    plans = []
+    write = IncrementalLeads._write
+
+    def watched(self, df, name, batch_id):
+        plans.append((name, df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]))
+        write(self, df, name, batch_id)
+
+    monkeypatch.setattr(IncrementalLeads, "_write", watched)
+    (tmp_path / "a").write_text('{"company": "Ann Ltd"}\n{"company": ""}\n' if fmt == "jsonl" else "company\nAnn Ltd\n \n\"\"\n")
+    flow = IncrementalLeads(spark, stages.new_path(spark, "mapped"), Q.OFFLINE)
+    flow.process(str(tmp_path / "*"), fmt=fmt)
+    assert {n for n, _ in plans} == {"rejects", "candidates", "leads", "batches"}
+    assert not any(word in plan for _, plan in plans for word in ("parse_json", "from_csv", "FileScan text", "Scan text"))
+    assert [r["company_name"] for r in flow.stored().collect()] == ["Ann Ltd"] and flow.rejects().count() == 1
+
+
+def test_one_link_gives_the_same_sites(spark, sf):
+    found = Q.snapshots(spark, sf).search_results
+    wanted, got = (sorted(map(tuple, pages.discovered_sites(t).collect())) for t in (found, pages.one_link(found)))
+    assert got == wanted and wanted and pages.one_link(found).count() == len(wanted)
