@@ -88,18 +88,26 @@ def page_lookup(signals: DataFrame) -> DataFrame:
     return best.select("page_key", F.struct(*_LOOKUP_FIELDS).alias("page"))
 
 
-def discovered_sites(search_results: DataFrame, opts: PageOptions = PageOptions()) -> DataFrame:
-    """(company_key, discovered): first plausible link of each company's search."""
+def plausible_links(search_results: DataFrame, opts: PageOptions = PageOptions()) -> DataFrame:
+    """company_key, company_name, rank and link of the search answers that may be a company's own site."""
     taken = search_results if opts.max_search_links is None else search_results.where(f"rank <= {opts.max_search_links}")
     links = taken.selectExpr(
         "company_name", f"{company_key('company_name')} AS company_key", "rank", f"{with_scheme('link')} AS link"
     )
     plausible = plausible_site("company_name", "link", opts.blocked_host_match)
-    return (
-        links.where(f"company_key IS NOT NULL AND link IS NOT NULL AND {plausible}")
-        .groupBy("company_key")
-        .agg(F.expr("min_by(link, struct(rank, link))").alias("discovered"))
-    )
+    return links.where(f"company_key IS NOT NULL AND link IS NOT NULL AND {plausible}")
+
+
+def discovered_sites(search_results: DataFrame, opts: PageOptions = PageOptions()) -> DataFrame:
+    """(company_key, discovered): first plausible link of each company's search."""
+    first = F.expr("min_by(link, struct(rank, link))").alias("discovered")
+    return plausible_links(search_results, opts).groupBy("company_key").agg(first)
+
+
+def one_link(search_results: DataFrame, opts: PageOptions = PageOptions()) -> DataFrame:
+    """The search answer that counts of each company, in the shape of the table."""
+    first = F.expr("min_by(struct(company_name, rank, link), struct(rank, link, company_name))").alias("_f")
+    return plausible_links(search_results, opts).groupBy("company_key").agg(first).select("_f.*")
 
 
 def discover_websites(leads: DataFrame, search_results: DataFrame, opts: PageOptions = PageOptions()) -> DataFrame:
@@ -262,11 +270,14 @@ def enrich_from_pages(
 ) -> DataFrame:
     """Fill contacts and signals of each lead from its homepage and contact pages (see `page_lookup`).
 
-    With `keep=stage_table` the homepages, which are read twice, are written once.
+    With `keep=stage_table` the leads with their discovered sites and the homepages, which are both read twice, are written once.
     """
     if not opts.enabled:
         return skip_pages(leads)
-    homes = keep(fetch_homepages(discovery_candidates(leads, search_results, opts), lookup, opts.discover), "homes")
+    asked = discovery_candidates(leads, search_results, opts)
+    if opts.discover and search_results is not None:
+        asked = keep(asked, "discovered")
+    homes = keep(fetch_homepages(asked, lookup, opts.discover), "homes")
     return replace_columns(
         with_site(gather_pages(homes, lookup), phone_region),
         {

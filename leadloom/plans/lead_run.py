@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.operators.dedup import dedup_leads
 from leadloom.operators.mapping import rejected_rows, valid_leads
 from leadloom.operators.normalize import normalize_leads, typed_leads
-from leadloom.operators.pages import enrich_from_pages, page_lookup, page_signals, skip_pages
+from leadloom.operators.pages import enrich_from_pages, one_link, page_lookup, page_signals, skip_pages
 from leadloom.operators.places import enrich_from_places, one_answer, one_place
 from leadloom.operators.resolve import keep_stage, resolve_leads
 from leadloom.operators.score import score_leads
@@ -61,14 +61,16 @@ class Lookups:
 
 
 def page_lookups(snapshots: Snapshots, opts: RunOptions = RunOptions()) -> Lookups:
-    pages, geocodes, places = snapshots.site_pages, snapshots.geocodes, snapshots.places
+    pages, found, geocodes, places = snapshots.site_pages, snapshots.search_results, snapshots.geocodes, snapshots.places
     if opts.pages.enabled and pages is not None:
         pages = stage_table(page_lookup(page_signals(pages, opts.pages)), "page-lookup")
+        if opts.pages.discover and found is not None:
+            found = stage_table(one_link(found, opts.pages), "search-links")
     if opts.places.enabled and geocodes is not None:
         geocodes = stage_table(one_answer(geocodes), "geocodes")
     if opts.places.enabled and places is not None:
         places = stage_table(one_place(places), "places")
-    return Lookups(pages, replace(snapshots, geocodes=geocodes, places=places))
+    return Lookups(pages, replace(snapshots, search_results=found, geocodes=geocodes, places=places))
 
 
 def staged_leads(
