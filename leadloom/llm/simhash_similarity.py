@@ -11,7 +11,13 @@ Within a bucket codes that differ in at most `BITS` bits are candidates, by a ve
 Gray-order index in others. A bucket gives a minimum spanning forest of its candidates, so that a dense group gives one
 link per code, and a tighter rule still finds the nearest ones connected; each table has a forest of its own. All words together then tell
 links that are sure (three standard deviations inside the bound) from those far outside (3.5 beyond it). The rest, where sure
-links do not join its codes, is decided by whole shingle sets. Recall is high, not 1: README has it by similarity.
+links do not join its codes, is decided by whole shingle sets.
+
+What this leaves out (pairs that meet in no table, differ in more than `BITS` bits, or lie on a path that a forest chose and the sets
+refuse) is found by an exact join of what lies in different groups by then. Two sets that are similar share one of the first
+n - ceil(SIMILARITY * n) + 1 members of each, in any one order of all shingles; here by hash, those that a sample shows to be common last.
+The texts of a shingle are paired only across groups, so the copies in a group, however many, give no pairs; sizes and places that rule a
+pair out drop it, then all words together where the sets are not small and the odds of a similar pair are below 1e-9, then whole sets decide.
 
 Defined results: texts without words (null, empty) are near each other and nothing else; a text with fewer words than a shingle is one
 shingle; repeated rows and equal texts are one code; ties go to the least id; null ids are least only where all are null; an empty
@@ -42,6 +48,12 @@ BITS = 16
 SMALL = 64  # larger buckets are searched through an index
 SLICE = 64
 PART = 1 << 13  # shingles counted together
+SAMPLED = 0.05  # rows that tell common shingles
+COMMON = 10  # rows of the sample that make a shingle common
+MAX_COMMON = 1_000_000  # the least count grows with the sample so that about this many are listed at most (8 MB)
+FAR = 0.3  # share of all bits beyond which sets of at least FEW members are not similar
+FEW = 32
+PAIRS = 1 << 20  # pairs made at a time
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -79,16 +91,47 @@ def tables(codes: int, similarity: float) -> np.ndarray:
     return np.stack([64 + draw.permutation(64 * (WIDTH - 1))[:bits] for _ in range(count)])
 
 
-def wide_rows(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """`doc_id`, the code, and the text's key with all words, for docs of (doc_id, _key, _text)."""
-    schema = docs.selectExpr("doc_id", "0L AS code", "_key", "array(0L) AS _wide").schema
+NONE_COMMON = np.zeros(0, np.uint64)
+
+
+def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted shingles that stand in many texts of a sample. They decide only how evenly the exact join's work falls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py() or b"", shingle) for t in batch["_text"]]
+            found, n = np.unique(np.concatenate([*sets, NONE_COMMON]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    counts = stage_table(docs.select("_text").sample(SAMPLED, seed=SEED).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "similar-sample")
+    least = max(COMMON, (counts.agg(F.sum("n")).first()[0] or 0) // MAX_COMMON)
+    return np.sort(np.array([r["shingle"] for r in counts.where(F.col("n") >= least).select("shingle").toLocalIterator()], np.int64).view(np.uint64))
+
+
+def first_members(hashes: np.ndarray, common: np.ndarray = NONE_COMMON, similarity: float = SIMILARITY) -> np.ndarray:
+    """The members of a sorted set by which every similar one meets it, in the order of the join: common ones last."""
+    if len(common) and len(hashes):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate((hashes[~late], hashes[late]))
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def wide_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, common: np.ndarray = NONE_COMMON) -> DataFrame:
+    """`doc_id`, the code, the text's key with all words, its number of shingles and the first of them, for docs of (doc_id, _key, _text)."""
+    schema = docs.selectExpr("doc_id", "0L AS code", "_key", "array(0L) AS _wide", "0L AS _n", "array(0L) AS _first").schema
+
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, NONE_COMMON]).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [wide_fingerprint(shingle_hashes(t.as_py() or b"", shingle)).view(np.int64) for t in batch["_text"]]
-            flat = np.concatenate([*wide, np.zeros(0, np.int64)])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDTH, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(flat[::WIDTH]), batch["_key"], lists], names=["doc_id", "code", "_key", "_wide"])
+            sets = [shingle_hashes(t.as_py() or b"", shingle) for t in batch["_text"]]
+            wide = [wide_fingerprint(s) for s in sets]
+            codes = np.array([w[0] for w in wide], np.uint64).view(np.int64)
+            firsts = lists([first_members(s, common, similarity) for s in sets])
+            arrays = [batch["doc_id"], pa.array(codes), batch["_key"], lists(wide), pa.array([len(s) for s in sets], pa.int64()), firsts]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "code", "_key", "_wide", "_n", "_first"])
 
     return docs.mapInArrow(run, schema)
 
@@ -243,15 +286,74 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILAR
     return sure.unionByName(exact)
 
 
+def _meetings(similarity: float):
+    """Pairs of texts of different groups that share one of their first shingles; rows arrive sorted by shingle and group."""
+
+    def pairs(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shingle, group, text, size, place = t
+        new = np.diff(shingle, prepend=shingle[0] - 1 if len(shingle) else 0) != 0
+        starts = np.flatnonzero(new | (np.diff(group, prepend=0) != 0))  # of runs of one group in a shingle
+        ends = np.append(np.flatnonzero(new)[1:], len(shingle))[np.cumsum(new) - 1]
+        after = np.append(starts[1:], len(shingle))[np.searchsorted(starts, np.arange(len(shingle)), side="right") - 1]
+        counts = np.maximum(ends - after, 0)
+        total = np.concatenate(([0], np.cumsum(counts)))
+        for at in range(0, int(total[-1]), PAIRS):
+            k = np.arange(at, min(at + PAIRS, int(total[-1])))
+            a = np.searchsorted(total, k, side="right") - 1
+            b = after[a] + k - total[a]
+            shared = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6)
+            hit = np.minimum(size[a] - place[a], size[b] - place[b]) >= shared
+            x, y = text[a[hit]], text[b[hit]]
+            found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((5, 0), np.int64)
+        for batch in batches:
+            table = np.concatenate((rest, np.stack([batch[c].to_numpy() for c in ("shingle", "group", "text", "size", "place")])), axis=1)
+            last = np.flatnonzero(table[0] != table[0, -1]) if table.shape[1] else np.zeros(0, int)
+            cut = int(last[-1]) + 1 if len(last) else 0
+            rest = table[:, cut:]
+            if cut:
+                yield from pairs(table[:, :cut])
+        if rest.shape[1]:
+            yield from pairs(rest)
+
+    return run
+
+
+def missed_links(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between the groups of similar texts that lie in different ones. `texts` has one row a text: `text` (a number), `_key`,
+    `group`, `size`, `_first` and `_wide`."""
+    firsts = texts.select("group", "text", "size", F.posexplode("_first").alias("place", "shingle")).select("shingle", "group", "text", "size", F.col("place").cast("long"))
+    ordered = firsts.repartition("shingle").sortWithinPartitions("shingle", "group")
+    met = ordered.mapInArrow(_meetings(similarity), "a long, b long").distinct()
+    told = texts.select(F.col("text").alias("code"), "_wide", "size", "group", "_key")
+    differ = "aggregate(zip_with(_wide_a, _wide_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+    near = _sides(met, told).where(f"least(size_a, size_b) < {FEW} OR {differ} <= {FAR * 64 * WIDTH}D").select("group_a", "group_b", "_key_a", "_key_b")
+    near = stage_table(near, "similar-met")
+    asked = near.select(F.col("_key_a").alias("_key")).unionByName(near.select(F.col("_key_b").alias("_key"))).distinct()
+    sets = stage_table(shingle_sets(docs.join(asked, "_key", "left_semi").dropDuplicates(["_key"]), shingle).select(F.col("_key").alias("code"), "_set"), "similar-met-sets")
+    both = "size(array_intersect(_set_a, _set_b))"
+    exact = _sides(near.select(F.col("_key_a").alias("a"), F.col("_key_b").alias("b"), "group_a", "group_b"), sets)
+    return exact.filter(f"{both} >= {similarity!r}D * (size(_set_a) + size(_set_b) - {both})").select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
+
+
 def least_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """All rows as (doc_id, code), and each code with component_id, the least doc_id reachable over similar texts."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.md5(body).alias("_key"), body.alias("_text"))
-    rows = stage_table(wide_rows(plain, shingle), "similar-rows")
+    rows = stage_table(wide_rows(plain, shingle, similarity, common_shingles(plain, shingle)), "similar-rows")
     nodes = rows.groupBy("code").agg(F.min("doc_id").alias("_least"), F.min(F.struct("_key", "_wide")).alias("_one"))
     nodes = stage_table(nodes.select("code", "_least", "_one._key", "_one._wide"), "similar-nodes")
-    found = components(similar_links(nodes, plain.select("_key", "_text"), similarity, shingle), "similar-links")
-    labelled = nodes.select("code", "_least").join(found.withColumnRenamed("node", "code"), "code", "left").withColumn("component", F.coalesce("component", "code"))
+    bodies = plain.select("_key", "_text")
+    found = components(similar_links(nodes, bodies, similarity, shingle), "similar-links")
+    grouped = nodes.select("code", "_least").join(found.withColumnRenamed("node", "code"), "code", "left").withColumn("group", F.coalesce("component", "code")).drop("component")
+    grouped = stage_table(grouped, "similar-groups")
+    each = rows.groupBy("_key").agg(F.min(F.struct("code", F.col("_n").alias("size"), "_wide", "_first")).alias("_one")).select("_key", F.xxhash64("_key").alias("text"), "_one.*")
+    texts = stage_table(each.join(grouped.select("code", "group"), "code"), "similar-texts")
+    joined = components(missed_links(texts, bodies, similarity, shingle), "similar-missed")
+    labelled = grouped.join(joined.withColumnRenamed("node", "group"), "group", "left").withColumn("component", F.coalesce("component", "group"))
     least = labelled.groupBy("component").agg(F.min("_least").alias("component_id"))
     return rows.select("doc_id", "code"), labelled.join(least, "component").select("code", "component_id")
 

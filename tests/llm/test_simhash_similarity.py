@@ -73,3 +73,21 @@ def test_a_dense_bucket_gives_a_forest(spark):
     codes = np.unique(np.uint64(12345) ^ (np.uint64(1) << draw.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << draw.integers(0, 64, 400).astype(np.uint64)))
     for a, b in (near.large_bucket(codes, None, near.BITS), near.small_buckets(np.zeros(60, int), codes[:60], near.BITS)):
         assert len(a) == len({*a.tolist(), *b.tolist()}) - 1 and (np.bitwise_count(a ^ b) <= near.BITS).all()
+
+
+def test_no_similar_pair_is_left_out(spark):
+    """Pairs at the bound whose codes differ in more bits than a bucket compares, and pairs that share only a common passage."""
+    far, seed = [], 0
+    while len(far) < 6:
+        seed += 1
+        text = prose(seed, 120)
+        other = edited(text, 2, seed)
+        a, b = (near.shingle_hashes(t.encode()) for t in (text, other))
+        both = len(set(a.tolist()) & set(b.tolist()))
+        code = int(near.wide_fingerprint(a)[0] ^ near.wide_fingerprint(b)[0])
+        if both >= 0.8 * (len(a) + len(b) - both) and code.bit_count() > near.BITS:
+            far += [text, other]
+    shared = prose(5000, 40)
+    texts = far + [f"{shared} {prose(6000 + i, 60)}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert found_groups(spark, docs) == {i: i - i % 2 if i < len(far) else i for i in range(len(texts))}
