@@ -24,6 +24,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -42,6 +43,9 @@ BUCKET_BYTES = 4_000_000  # text per bucket; the strings of a bucket are about t
 HEAVY_BYTES = 8_000_000  # packed bytes from which on a minimiser is heavy
 MAX_HEAVY = 1_000_000  # the least weight grows with the input so that about this many are listed at most (8 MB)
 SAMPLED_BYTES = 20_000  # packed bytes expected in the sample of a minimiser that is just heavy: about 64 strings
+BLOOM_BITS = 16  # bits of the filter for each text that has ranges; about 0.3 % of the others pass it
+MAX_BLOOM = 1 << 28  # bits at most (32 MB)
+PROBES = 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -328,6 +332,39 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     return found.groupBy(*KEYS).agg(F.collect_set(F.struct("first", "words")).alias("_ranges"))
 
 
+def probes(bits: int) -> list:
+    """Places of a row's keys in a filter of so many bits."""
+    return [F.expr(f"pmod(xxhash64(_key, _key2, {i}), {bits}L)") for i in range(PROBES)]
+
+
+def key_filter(ranges: DataFrame) -> np.ndarray:
+    """Bloom filter of the keys of `ranges`, as words of 64 bits. It is bounded; a fuller one lets more rows pass that have no ranges."""
+    bits = min(MAX_BLOOM, max(1 << 10, 1 << int(BLOOM_BITS * ranges.count()).bit_length()))
+    places = ranges.select(F.explode(F.array(*probes(bits))).alias("at"))
+    words = places.groupBy(F.expr("at DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("value"))
+    out = np.zeros(bits // 64, np.int64)
+    for row in words.toLocalIterator():
+        out[row["word"]] = row["value"]
+    return out.view(np.uint64)
+
+
+def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows with their `_ranges`, null where they have none. Only rows that pass a filter of the keys are shuffled, so most texts stay in place."""
+    words = key_filter(ranges)
+
+    @F.pandas_udf("boolean")
+    def met(*places: pd.Series) -> pd.Series:
+        found = np.ones(len(places[0]), bool)
+        for place in places:
+            at = place.to_numpy().astype(np.uint64)
+            found &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(found)
+
+    told = rows.withColumn("_met", met(*probes(64 * len(words))))
+    plain = told.where("NOT _met").drop("_met").withColumn("_ranges", F.lit(None).cast(ranges.schema["_ranges"].dataType))
+    return plain.unionByName(told.where("_met").drop("_met").join(ranges, KEYS, "left"))
+
+
 def kept_words(n: int, ranges: list[dict]) -> np.ndarray:
     gone = np.zeros(n + 1, np.int64)
     np.add.at(gone, [r["first"] for r in ranges], 1)
@@ -368,7 +405,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", in_pla
     row = F.struct(*[F.col(c) for c in carry])
     rows = docs.select(row.alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), *row_key(F.to_json(row), F.col(text)))
     ranges = stage_table(repeated_ranges(rows.select(*KEYS, "_text")), "substring-ranges")
-    joined = rows.join(ranges, KEYS, "left").select("row", "_text", "_ranges")
+    joined = with_ranges(rows, ranges).select("row", "_text", "_ranges")
     extra = {"n_words": "bigint", "n_removed": "bigint", "kept_text": "string"}
     schema = joined.select("row", *[F.lit(None).cast(t).alias(c) for c, t in extra.items()]).schema
 

@@ -78,3 +78,17 @@ def test_windows_meet_wherever_they_stand(texts):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "_text binary")
     assert len(substring_dedup.heavy_minimisers(none, 0)) == 0
+
+
+def test_only_texts_that_may_have_ranges_are_shuffled(spark):
+    """The filter loses no text that has ranges and lets few others pass to the join."""
+    rows = spark.range(5000).selectExpr("id", "xxhash64(id) AS _key", "hash(id) AS _key2")
+    ranges = rows.where("id % 50 = 0").selectExpr("_key", "_key2", "array(struct(id AS first, 35L AS words)) AS _ranges")
+    words = substring_dedup.key_filter(ranges)
+    assert sum(int(w).bit_count() for w in words.tolist()) <= 4 * 100
+    joined = substring_dedup.with_ranges(rows, ranges)
+    assert {r["id"] for r in joined.where("_ranges IS NOT NULL").collect()} == set(range(0, 5000, 50)) and joined.count() == 5000
+    union = joined._jdf.queryExecution().analyzed().collectLeaves()
+    assert union.size() >= 3  # rows that do not pass, rows that do, ranges
+    none = substring_dedup.with_ranges(rows, ranges.limit(0))
+    assert none.where("_ranges IS NULL").count() == 5000
