@@ -54,6 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             values = [pa.array(c, t) for c, t in zip(columns, types, strict=False)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(taken, pa.int64())), *values], names=["doc_id", *numbers])
+        known.forget()
 
     return rows.mapInArrow(cut, schema)
 
