@@ -1,12 +1,12 @@
-"""Embedding near-duplicates: spherical k-means cells, blocked cosine products within them, one vector kept per group.
+"""Embedding near-duplicates: candidates by sketches, cosines of candidates alone, one vector kept per group.
 
 Only vectors with equal, non-null labels are compared; a vector that is null, zero or holds null or non-finite numbers
-links with nothing. Equal vectors are one row with a count from there on. Cells come from spherical k-means over a
-bounded sample (`SAMPLE_PER_CELL` rows per cell, `MAX_CELLS` cells at most); every vector is assigned. A partner within the
-threshold may lie in another cell, so a vector is also a guest in each cell whose border, and whose outermost member, is
-no farther away than two linked unit vectors can be from each other: no link is lost, recall is 1 by construction.
-A cell's members are cut into blocks by hash, and pairs of blocks are tasks. Each vector's links are counted in its home
-cell alone. Links themselves never leave a task: it gives counts and a spanning forest.
+links with nothing. Equal vectors are one row with a count from there on. A vector first goes by a sketch of 48 bytes
+(`vector_links`): its coordinates in the directions in which a sample differs most, and the length of the rest. Two sketches are
+no less alike than their vectors, so no link is lost: recall is 1 by construction, whatever the sample holds. Sketches
+that are alike form groups; only vectors in a group of two or more are read again, each is sent to its group, and links are
+decided and counted there by whole cosines. A group may hold vectors that are not linked; a vector of no group has no links.
+Links themselves never leave a task: it gives counts and a spanning forest. Labels and groups are told apart by 64 bits of hash.
 
 Defined results: unlinkable rows have no links and are their own component, kept; repeated rows and equal vectors link with
 each other; null ids count as rows but are never a component's id unless all are null; vectors of different length are not compared;
@@ -15,7 +15,6 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,198 +22,117 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from leadloom.llm import vector_links
 from leadloom.llm.components import components
-from leadloom.llm.simhash_dedup import joined_labels
+from leadloom.llm.substring_dedup import key_filter, probes
 from leadloom.operators.stages import stage_table
 
 THRESHOLD = 0.98
-MAX_CELLS = 4096
-ROWS_PER_CELL = 10
-SAMPLE_PER_CELL = 8
-ITERATIONS = 3
-BLOCK = 1024
-SLICE = 1024  # vectors compared with all centroids at a time
-MAX_RADII = 500_000  # about 100 MB in each worker
-
-
-def distinct_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """All rows as (vec_id, _node), and the linkable vectors as (_node, _label, _unit, copies, least): `_node` names a
-    label and vector by 96 bits of hash and is null for what cannot link."""
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("_v"), F.col(label).cast("string").alias("_label"))
-    norm = "sqrt(aggregate(_v, 0D, (a, x) -> a + x * x))"
-    finite = "_label IS NOT NULL AND _v IS NOT NULL AND NOT exists(_v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
-    rows = rows.selectExpr("*", f"CASE WHEN {finite} THEN {norm} END AS _norm")
-    node = "CASE WHEN _norm > 0 THEN concat(hex(xxhash64(_label, _v)), '-', hex(hash(_v, _label))) END AS _node"
-    rows = rows.selectExpr("vec_id", "_label", "_v", "_norm", node)
-    unit = "transform(_v, x -> x / _norm) AS _unit"
-    linkable = rows.filter("_node IS NOT NULL").groupBy("_node", "_label", "_v", "_norm").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
-    return rows.select("vec_id", "_node"), linkable.selectExpr("_node", "_label", unit, "copies", "least")
-
-
-def spherical_kmeans(sample: np.ndarray, cells: int, iterations: int = ITERATIONS) -> np.ndarray:
-    """Unit centroids; empty cells keep their centroid. Cosines are made a slice of the sample at a time, which bounds the driver's memory."""
-    centroids = sample[np.linspace(0, len(sample) - 1, min(cells, len(sample))).astype(int)].copy()
-    for _ in range(iterations):
-        nearest = np.concatenate([np.argmax(sample[at : at + SLICE] @ centroids.T, axis=1) for at in range(0, len(sample), SLICE)])
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, nearest, sample)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centroids = np.where(size > 0, sums / np.where(size > 0, size, 1), centroids)
-    return np.unique(centroids, axis=0)
-
-
-def fit_cells(units: DataFrame) -> dict[int, np.ndarray]:
-    """Centroids for each vector length that the sample holds: a cell per `ROWS_PER_CELL` vectors, `MAX_CELLS` at most."""
-    cells = max(1, min(MAX_CELLS, units.count() // ROWS_PER_CELL))
-    rows = units.select("_unit").orderBy("_node").limit(cells * SAMPLE_PER_CELL).collect()
-    by_length: dict[int, list] = {}
-    for r in rows:
-        by_length.setdefault(len(r["_unit"]), []).append(r["_unit"])
-    return {k: spherical_kmeans(np.array(v), max(1, cells * len(v) // max(1, len(rows)))) for k, v in by_length.items()}
-
-
-def nearness(batch: pa.RecordBatch, centroids: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Vector length, rows, their cosines with all centroids of that length, and their home cells, a slice at a time."""
-    lengths = pc.list_value_length(batch["_unit"]).to_numpy()
+BLOCK = 8192  # vectors from which on a group may be cut into chunks
+SLICE = 1024  # vectors sketched at a time
+SAMPLE = 2048  # vectors that the directions of the sketches are taken from
+SKETCH = [f"_s{i}" for i in range(vector_links.DIMS // 4)]  # four numbers of 16 bits in each
+DEALT = "xxhash64(_node, 1) AS _dealt"
+
+
+def named_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
+    """All rows as (vec_id, _label, _v, _node): `_node` names a label and vector by 96 bits of hash and is null for what cannot link."""
+    number = "float" if vectors.select(F.col(embedding)).schema[0].dataType == T.ArrayType(T.FloatType()) else "double"
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("string").alias("_label"), F.col(embedding).cast(f"array<{number}>").alias("_v"))
+    finite = "_label IS NOT NULL AND _v IS NOT NULL AND NOT exists(_v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(_v, x -> x <> 0)"
+    node = "concat(lpad(hex(xxhash64(_label, _v)), 16, '0'), lpad(hex(hash(_v, _label)), 8, '0'))"
+    return rows.selectExpr("*", f"CASE WHEN {finite} THEN {node} END AS _node")
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, rows and whole vectors as double numbers, a slice at a time, without those whose length counts as zero."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     for length in np.unique(lengths).tolist():
         rows = np.flatnonzero(lengths == length)
-        cells = centroids.get(length, np.eye(1, length))
         for at in range(0, len(rows), SLICE):
             some = rows[at : at + SLICE]
-            near = batch["_unit"].take(pa.array(some)).flatten().to_numpy().reshape(len(some), length) @ cells.T
-            yield length, some, near, np.argmax(near, axis=1)
+            values = column.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), length).astype(np.float64)
+            with np.errstate(over="ignore"):
+                seen = (values * values).sum(axis=1) > 0
+            yield length, some[seen], values[seen]
 
 
-def apart(cosine: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * cosine, 0))
+def sketch_bases(some: DataFrame) -> dict[int, np.ndarray]:
+    """Directions for each vector length that a bounded sample holds. They decide how many candidates there are, not the result."""
+    some = some.filter("_node IS NOT NULL").select("_v").limit(2 * SAMPLE).toArrow()
+    held: dict[int, list[np.ndarray]] = {}
+    for length, _, values in by_length(some["_v"].combine_chunks()):
+        held.setdefault(length, []).append(vector_links.unit_vectors(values))
+    units = {k: np.concatenate(v) for k, v in held.items() if k > vector_links.DIMS}
+    return {k: vector_links.sketch_basis(v) for k, v in units.items() if len(v)}
 
 
-def cell_radius(units: DataFrame, centroids: dict[int, np.ndarray]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Cells with members and the distance of their outermost member, by label and vector length. Beyond
-    `MAX_RADII` of them, by vector length alone (label None), of which there are no more than cells."""
-    shared = units.sparkSession.sparkContext.broadcast(centroids)
+def sketched(rows: DataFrame, bases: dict[int, np.ndarray]) -> DataFrame:
+    """A row per linkable row: vec_id, _node, _group (its label and length), _length and the sketch."""
+    source = rows.filter("_node IS NOT NULL").selectExpr("vec_id", "_node", "xxhash64(_label, size(_v)) AS _group", "size(_v) AS _length", "_v")
+    names = ["vec_id", "_node", "_group", "_length"]
+    schema = T.StructType([source.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in SKETCH])
+    shared = rows.sparkSession.sparkContext.broadcast(bases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch["_label"]
-            for length, some, near, home in nearness(batch, shared.value):
-                far = apart(near[np.arange(len(home)), home])
-                columns = [labels.take(pa.array(some)), pa.array(np.full(len(home), length, np.int32)), pa.array(home.astype(np.int32)), pa.array(far)]
-                yield pa.RecordBatch.from_arrays(columns, names=["label", "length", "cell", "radius"])
-
-    homes = units.select("_label", "_unit").mapInArrow(run, "label string, length int, cell int, radius double")
-    found = stage_table(homes.groupBy("label", "length", "cell").agg(F.max("radius").alias("radius")), "vector-cells")
-    if found.limit(MAX_RADII + 1).count() > MAX_RADII:
-        found = found.groupBy(F.lit(None).cast("string").alias("label"), "length", "cell").agg(F.max("radius").alias("radius"))
-    out: dict[tuple, tuple[list, list]] = {}
-    for r in found.collect():
-        cells, radii = out.setdefault((r["label"], r["length"]), ([], []))
-        cells.append(r["cell"])
-        radii.append(r["radius"])
-    return {k: (np.array(c), np.array(x)) for k, (c, x) in out.items()}
-
-
-def assigned(units: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """A row per vector and cell: the home cell, and those where it is a guest."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    shared = units.sparkSession.sparkContext.broadcast((centroids, cell_radius(units, centroids)))
-    schema = units.select("_node", "_label", "_unit", "copies", F.lit(0).alias("_length"), F.lit(0).alias("_cell"), F.lit(True).alias("_home")).schema
+            for length, some, values in by_length(batch["_v"]):
+                numbers = vector_links.sketches(vector_links.unit_vectors(values), shared.value.get(length)).view(np.int64)
+                taken = batch.select(names).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(np.ascontiguousarray(x)) for x in numbers.T)], names=[*names, *SKETCH])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, radius = shared.value
-        for batch in batches:
-            labels = np.array(batch["_label"].to_pylist(), object)
-            for length, some, near, home in nearness(batch, cells):
-                gap = np.maximum(apart(cells[length][home] @ cells[length].T), 1e-9) if length in cells else np.ones_like(near)
-                border = (near[np.arange(len(home)), home][:, None] - near) / gap
-                most = np.full(near.shape, -9.0)
-                for label in set(labels[some]):
-                    known, radii = radius.get((label, length)) or radius[None, length]
-                    most[np.ix_(labels[some] == label, known)] = radii
-                row, cell = np.nonzero((border <= reach) & (apart(near) <= most + reach))
-                taken = batch.take(pa.array(some[row]))
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(np.full(len(row), length, np.int32)), pa.array(cell.astype(np.int32)), pa.array(cell == home[row])],
-                    names=["_node", "_label", "_unit", "copies", "_length", "_cell", "_home"],
-                )
-
-    return units.select("_node", "_label", "_unit", "copies").mapInArrow(run, schema)
-
-
-def linked(left: np.ndarray, right: np.ndarray, same: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For unit vectors: links of each left vector (weighted by copies), and the linked pairs that a forest needs.
-    `same` is for each left vector the place of itself on the right, or -1."""
-    hit = left @ right.T >= threshold
-    own = np.flatnonzero(same >= 0)
-    hit[own, same[own]] = False
-    counts = hit @ copies
-    label = np.arange(len(right))
-    first = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
-    a, b = np.nonzero(hit)
-    label = joined_labels(label, first[a], b)  # right vectors with a left vector in common
-    met = np.flatnonzero(label != np.arange(len(right)))
-    chosen = np.flatnonzero(first >= 0)
-    return counts, np.stack((chosen, first[chosen])), np.stack((label[met], met))
-
-
-def block_links(members: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, b, n): n links of vector a counted in one task (b null), or a link a-b of the task's forest (n null)."""
-    key = ["_label", "_length", "_cell"]
-    sizes = members.groupBy(*key).agg(F.expr(f"CAST(ceil(count(1) / {BLOCK}) AS INT) AS _blocks"), F.max("_home").alias("_any")).filter("_any").drop("_any")
-    placed = members.join(sizes, key).selectExpr("*", "CAST(pmod(xxhash64(_node), _blocks) AS INT) AS _own")
-    every = "sequence(0, _blocks - 1)"
-    as_left = f"transform({every}, x -> named_struct('_i', _own, '_j', x, '_left', true, '_right', x = _own))"
-    as_right = f"transform(filter({every}, x -> x <> _own OR NOT _home), x -> named_struct('_i', x, '_j', _own, '_left', false, '_right', true))"
-    sent = placed.selectExpr(*key, "_node", "_unit", "copies", f"inline(concat(CASE WHEN _home THEN {as_left} ELSE slice({as_left}, 1, 0) END, {as_right}))")
-    task = [*key, "_i", "_j"]
-    dealt = sent.repartition(*task).sortWithinPartitions(*task)
+    return source.mapInArrow(run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            keys = list(zip(*(batch[c].to_pylist() for c in task), strict=True))
-            bounds = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b > a:
-                    if current is not None and keys[a] != current:
-                        yield settle(held)
-                        held = []
-                    current = keys[a]
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield settle(held)
-
-    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        units = rows["_unit"].combine_chunks()
-        matrix = units.flatten().to_numpy().reshape(len(rows), -1)
-        name, copies = rows["_node"].to_pylist(), rows["copies"].to_numpy()
-        left, right = np.flatnonzero(rows["_left"].to_numpy()), np.flatnonzero(rows["_right"].to_numpy())
-        place = {r: i for i, r in enumerate(right.tolist())}
-        same = np.array([place.get(i, -1) for i in left.tolist()], np.int64)
-        a, b, n = [], [], []
-        if len(left) and len(right):
-            counts, across, among = linked(matrix[left], matrix[right], same, copies[right], threshold)
-            some = np.flatnonzero(counts)
-            a += [name[left[i]] for i in some] + [name[left[i]] for i in across[0]] + [name[right[i]] for i in among[0]]
-            b += [None] * len(some) + [name[right[i]] for i in across[1]] + [name[right[i]] for i in among[1]]
-            n += counts[some].tolist() + [None] * (across.shape[1] + among.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-    return dealt.mapInArrow(run, "a string, b string, n long")
+
+def candidate_groups(units: DataFrame, threshold: float) -> DataFrame:
+    """(_node, component) of vectors whose sketches are alike, directly or by others."""
+    sizes = units.groupBy("_group").agg(F.count(F.lit(1)).alias("n"))
+    deal = vector_links.deal_of(sizes, 4 * vector_links.DIMS, BLOCK)
+    members = units.selectExpr("_node", "_group", DEALT, *SKETCH)
+    found = stage_table(vector_links.links(members, deal, threshold, True).select("a", "b"), "vector-candidates")
+    return stage_table(components(found, "vector-candidates").withColumnRenamed("node", "_node"), "vector-groups")
+
+
+def passing(rows: DataFrame, groups: DataFrame, count: int) -> DataFrame:
+    """Rows of which a filter of the names in `groups` lets pass few that are not in them, so that other vectors are not shuffled.
+    All rows where it would let most of them pass."""
+    if 2 * groups.count() > count:
+        return rows
+    words = key_filter(groups.selectExpr("_node AS _key", "0 AS _key2"))
+    table = pa.table({"_bits": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words.view(np.int64)))})
+    bits = F.broadcast(rows.sparkSession.createDataFrame(table, "_bits array<bigint>"))
+    met = " AND ".join(f"getbit(get(_bits, CAST({at} DIV 64 AS INT)), CAST({at} % 64 AS INT)) = 1" for at in probes(64 * len(words)))
+    return rows.selectExpr("*", "_node AS _key", "0 AS _key2").crossJoin(bits).where(met).select(*rows.columns)
+
+
+def group_links(rows: DataFrame, groups: DataFrame, length: int, threshold: float) -> DataFrame:
+    """Rows (a, b, n) as `vector_links.links` gives them, from the whole vectors of `groups`."""
+    sizes = groups.groupBy(F.expr("xxhash64(component)").alias("_group")).agg(F.count(F.lit(1)).alias("n"))
+    deal = vector_links.deal_of(sizes, 8 * length, BLOCK)
+    whole = rows.select("_node", "_v").join(groups, "_node")
+    members = whole.groupBy("_node", "component").agg(F.count(F.lit(1)).alias("copies"), F.first("_v").alias("_v"))
+    double = rows.schema["_v"].dataType.elementType == T.DoubleType()
+    return vector_links.links(members.selectExpr("_node", "xxhash64(component) AS _group", DEALT, "copies", "_v"), deal, threshold, False, double)
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    rows, units = distinct_vectors(vectors, vec_id, embedding, label)
-    units = stage_table(units, "vectors")
-    found = stage_table(block_links(assigned(units, fit_cells(units), threshold), threshold), "vector-links")
+    rows = named_vectors(vectors, vec_id, embedding, label)
+    count = vectors.count()
+    bases = sketch_bases(named_vectors(vectors.sample(min(1.0, SAMPLE / max(1, count)), 1), vec_id, embedding, label))
+    once = [F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), *(F.first(c).alias(c) for c in ("_group", "_length", *SKETCH))]
+    units = stage_table(sketched(rows, bases).groupBy("_node").agg(*once), "vectors")
+    longest = units.agg(F.max("_length")).first()[0] or 1
+    alike = candidate_groups(units, threshold)
+    found = stage_table(group_links(passing(rows.filter("_node IS NOT NULL"), alike, count), alike, longest, threshold), "vector-links")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("_node")).agg(F.sum("n").alias("_others"))
     groups = components(found.filter("b IS NOT NULL").select("a", "b"), "vector-components").withColumnRenamed("node", "_node")
-    named = units.select("_node", "copies", "least").join(counts, "_node", "left").join(groups, "_node", "left")
-    named = named.withColumn("component", F.coalesce("component", "_node"))
+    linked = counts.join(groups, "_node")
+    # A vector without links or copies needs no answer: it is its own component.
+    named = units.select("_node", "copies", "least").join(linked, "_node", "left").filter("_others IS NOT NULL OR copies > 1")
+    named = stage_table(named.withColumn("component", F.coalesce("component", "_node")), "vector-named")
     least = named.groupBy("component").agg(F.min("least").alias("_component_id"))
     answers = named.join(least, "component").selectExpr("_node", "coalesce(_others, 0L) + copies - 1 AS _links", "_component_id")
     # Rows that cannot link get a key of their own, so that their nulls do not meet in one task.
