@@ -154,7 +154,7 @@ class Held:
         """Places of near queries and held vectors; where links are not counted, pairs may be left out whose labels are known to be one.
         `first` has a held vector that a query is linked with, or -1; without it the queries are the held vectors, and a pair is told once."""
         own = first is None
-        front = heads(queries) if self.short else queries
+        front = self.heads if own else heads(queries) if self.short else queries
         for rows, low, high in self.tree.near(queries, self.reach, own):
             for at in range(0, len(rows), TILE):
                 some = rows[at : at + TILE]
@@ -371,6 +371,7 @@ def links(members: DataFrame, deal: Deal, threshold: float, sketched: bool, doub
     def unpacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
         length = rows[0][1]
         names, groups, copies, vectors = (b"".join(r[i] for r in rows) for i in range(3, 7))
+        rows.clear()  # whoever handed them on may keep the list
         values = np.frombuffer(vectors, kind).reshape(-1, length)
         points = values.astype(np.float32) / np.float32(UNIT) if sketched else unit_vectors(values.astype(np.float64))
         return np.frombuffer(names, f"S{NAME}"), np.frombuffer(groups, np.int64), None if sketched else np.frombuffer(copies, np.int64), points
